@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, topk
+from . import common, idstore, langid, packing, quality, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,3 +83,26 @@ s AS (
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
 """
+
+
+@query
+def op4_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), length=4096, end=2)
+
+
+@query
+def op9_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as ids in ascending order of doc_id and read back from the files."""
+    docs = table(spark, sf_dir, "documents")
+    manifest = idstore.write(docs, common.scratch_path(spark, "idstore"), idstore.shard_count(docs), end=1)
+    return idstore.read(spark, manifest)
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose crc32 leaves another remainder than 2."""
+    docs = table(spark, sf_dir, "documents")
+    learn = langid.trainable(4, 2)
+    out = langid.predict(docs, langid.train(docs, learn))
+    return out.select("row.doc_id", "lang_pred", "score").withColumn("held_out", ~learn)
