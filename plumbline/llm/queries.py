@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, idstore, langid, packing, quality, sharding, topk
+from . import common, idstore, langid, lm, packing, pieces, quality, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -106,3 +106,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = langid.trainable(4, 2)
     out = langid.predict(docs, langid.train(docs, learn))
     return out.select("row.doc_id", "lang_pred", "score").withColumn("held_out", ~learn)
+
+
+@query
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded to pieces and decoded again."""
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored; learned from those whose crc32 modulo 7 isn't 2."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
