@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, idstore, langid, lm, packing, pieces, quality, sharding, topk
+from . import common, idstore, langid, lm, neardup, packing, pieces, quality, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -120,3 +120,9 @@ def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+
+
+@query
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents at a similarity of 0.75 or more on 5-word shingles."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
