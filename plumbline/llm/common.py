@@ -52,8 +52,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")  # the shuffle files of this one write go with it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._kept_at = path
     return back

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, idstore, langid, lm, neardup, packing, pieces, quality, sharding, topk
+from . import common, idstore, langid, linedup, lm, neardup, packing, pieces, quality, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -126,3 +126,27 @@ def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents at a similarity of 0.75 or more on 5-word shingles."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of all documents: class of equal lines, links within 2 edits, and whether the line stays."""
+    return linedup.line_classes(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op1_line_edit_join"] = """
+WITH each AS (
+  SELECT doc_id, line_no, trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS form FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no FROM documents)),
+named AS (SELECT form, min({'d': doc_id, 'l': line_no}) AS first, length(form) AS n FROM each WHERE form <> '' GROUP BY form),
+pairs AS (
+  SELECT a.form AS x, b.form AS y, a.first AS fx, b.first AS fy FROM named a JOIN named b ON b.n BETWEEN a.n AND a.n + 2 AND a.form <> b.form AND (a.n < b.n OR a.form < b.form)
+  WHERE a.n >= 32 AND (substr(a.form, 1, a.n // 3) = substr(b.form, 1, a.n // 3) OR substr(a.form, a.n - a.n // 3 + 1) = substr(b.form, b.n - a.n // 3 + 1)
+    OR substr(a.form, a.n // 3 + 2, a.n // 3 - 2) IN (substr(b.form, a.n // 3 + 1, a.n // 3 - 2), substr(b.form, a.n // 3 + 2, a.n // 3 - 2), substr(b.form, a.n // 3 + 3, a.n // 3 - 2), substr(b.form, a.n // 3 + 4, a.n // 3 - 2), substr(b.form, a.n // 3, a.n // 3 - 2)))
+    AND levenshtein(a.form, b.form) <= 2),
+ways AS (SELECT x AS form, fy AS near FROM pairs UNION ALL SELECT y, fx FROM pairs),
+links AS (SELECT form, count(*) AS n_links, min(near) AS near FROM ways GROUP BY form)
+SELECT doc_id, line_no, first.d AS class_doc_id, first.l AS class_line_no, near.d AS near_doc_id, near.l AS near_line_no, coalesce(n_links, 0) AS n_links,
+       doc_id = first.d AND line_no = first.l AND (near IS NULL OR first < near) AS kept
+FROM each JOIN named USING (form) LEFT JOIN links USING (form)
+"""
