@@ -51,14 +51,21 @@ def windows(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def segment_key(less: int, i: int, shift: int, edits: int) -> str:
-    """Hash of a substring of ``form`` (of ``n`` characters) that stands for segment i of a form with ``less`` characters fewer."""
+def segments(long: DataFrame, edits: int) -> DataFrame:
+    """Start and size of every segment of a form with 0 to ``edits`` characters fewer, as columns (small expressions compile well)."""
     k = edits + 1
-    length, longer = f"(n - {less})", f"(n - {less}) % {k}"
-    start = f"({1 + shift} + {i - 1} * ({length} div {k}) + greatest(0, {i - 1 - k} + {longer}))"
-    size = f"({length} div {k} + if({i} > {k} - {longer}, 1, 0))"
-    inside = f"{start} >= 1 AND {start} + {size} - 1 <= n"
-    return f"if({inside}, xxhash64({length}, {i}, substring(form, cast({start} AS int), cast({size} AS int))), NULL)"
+    long = long.select("h1", "h2", "form", "n", *[F.expr(f"cast((n - {d}) div {k} AS int)").alias(f"size{d}") for d in range(k)], *[F.expr(f"cast((n - {d}) % {k} AS int)").alias(f"more{d}") for d in range(k)])
+    starts = [F.expr(f"{1} + {i - 1} * size{d} + greatest(0, {i - 1 - k} + more{d})").alias(f"start{d}_{i}") for d in range(k) for i in range(1, k + 1)]
+    sizes = [F.expr(f"size{d} + if({i} > {k} - more{d}, 1, 0)").alias(f"size{d}_{i}") for d in range(k) for i in range(1, k + 1)]
+    return long.select("h1", "h2", "form", "n", *starts, *sizes)
+
+
+def segment_key(less: int, i: int, shift: int) -> str:
+    """Hash of a substring of ``form`` that stands for segment i of a form with ``less`` characters fewer.
+
+    A place outside the form gives a shorter or another text: at worst a pair that fails to verify.
+    """
+    return f"xxhash64((n - {less}) * 16 + {i}, substring(form, start{less}_{i} + {shift}, size{less}_{i}))"
 
 
 def parities() -> str:
@@ -66,18 +73,41 @@ def parities() -> str:
     return " | ".join(f"shiftleft((length(low) - length(replace(low, '{c}', ''))) % 2, {k})" for k, c in enumerate(LETTERS))
 
 
-def candidates(named: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """Pairs (a1, a2), (b1, b2) of forms that share a segment and pass the parity bound."""
+def index_rows(long: DataFrame, edits: int) -> DataFrame:
+    """A row for each segment of each form."""
+    keys = [segment_key(0, i, 0) for i in range(1, edits + 2)]
+    return long.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"))
+
+
+def probe_rows(long: DataFrame, edits: int) -> DataFrame:
+    """A row for each substring that can hold a segment; ``level`` marks probes of forms of equal length."""
+    found = windows(edits)
+    keys = [segment_key(d, i, s) for d, i, s in found]
+    rows = long.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.posexplode(F.expr(f"array({', '.join(keys)})")).alias("pos", "key"))
+    return rows.select("a1", "a2", "key", (F.col("pos") < sum(d == 0 for d, _, _ in found)).alias("level"))
+
+
+def candidates(named: DataFrame, edits: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a1, a2), (b1, b2) of forms that share a segment and pass the parity bound; and the forms that take part.
+
+    First only the probes and index rows that meet another form are found, by semi-joins, which
+    give no pairs.  Letter parities are then computed for the forms behind them alone, and the
+    pairs are made under the parity bound, so a segment that many forms share gives few of them.
+    """
     long = named.select("h1", "h2", "form", F.char_length("form").alias("n")).filter(F.col("n") >= least)
-    long = long.withColumn("low", F.lower("form")).withColumn("bits", F.expr(parities())).drop("low")
-    keys = lambda found: "filter(array(" + ", ".join(found) + "), k -> k.key IS NOT NULL)"
-    index = long.select("h1", "h2", "bits", F.explode(F.expr(keys([f"struct({segment_key(0, i, 0, edits)} AS key)" for i in range(1, edits + 2)]))).alias("k"))
-    probe = long.select("h1", "h2", "bits", F.explode(F.expr(keys([f"struct({segment_key(d, i, s, edits)} AS key, {'true' if d == 0 else 'false'} AS level)" for d, i, s in windows(edits)]))).alias("k"))
-    a = probe.select(F.col("k.key").alias("key"), F.col("k.level").alias("level"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("bits").alias("a_bits"))
-    b = index.select(F.col("k.key").alias("key"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("bits").alias("b_bits"))
+    long = segments(long, edits)
+    index, probe = index_rows(long, edits), probe_rows(long, edits)
+    other = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
+    live_a = common.keep(probe.join(index.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & other, "left_semi"), "lineprobes")
+    live_b = common.keep(index.join(live_a.select("key").distinct(), "key", "left_semi"), "lineindex")
+    part = live_a.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).unionByName(live_b.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).distinct()
+    few = common.keep(named.join(part, ["h1", "h2"]).select("h1", "h2", "form", "first"), "lineforms")
+    bits = common.keep(few.select("h1", "h2", F.lower("form").alias("low")).select("h1", "h2", F.expr(parities()).alias("bits")), "linebits")
+    a = live_a.join(bits.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("bits").alias("a_bits")), ["a1", "a2"])
+    b = live_b.join(bits.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("bits").alias("b_bits")), ["b1", "b2"])
     one_way = F.expr("NOT level OR a1 > b1 OR (a1 = b1 AND a2 > b2)")
     near = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2 * edits
-    return a.join(b.hint("merge"), (a["key"] == b["key"]) & near & one_way).select("a1", "a2", "b1", "b2").distinct()
+    return a.join(b.hint("merge"), (a["key"] == b["key"]) & near & one_way & other).select("a1", "a2", "b1", "b2").distinct(), few
 
 
 def shared_part(side: str) -> str:
@@ -90,8 +120,13 @@ def shared_part(side: str) -> str:
     return f"aggregate({powers}, 0, (p, w) -> p + if(p + w <= room, if({equal}, w, 0), 0))"
 
 
+def bind(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for a value that is computed once: a column would be copied into every use of it."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def within(edits: int) -> str:
-    """Banded bit-parallel edit distance of ``x`` and ``y``, at most ``edits`` or not, as an SQL expression over character arrays.
+    """Banded bit-parallel edit distance of ``c.xs`` and ``c.ys``, at most ``edits`` or not, as an SQL expression over character arrays.
 
     The band has 2 * edits + 1 diagonals, one bit each.  The register for e errors has a bit set
     where the prefixes that end on this diagonal are within e edits.  A character of y moves all
@@ -101,38 +136,32 @@ def within(edits: int) -> str:
     w, full = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
     registers = [sum(1 << (edits + r) for r in range(e + 1)) for e in range(edits + 1)]
     start = "struct(" + ", ".join(f"{v} AS r{e}" for e, v in enumerate(registers)) + ")"
-    match = " | ".join(f"if(get(xs, j + {i}) = ys[j], {1 << i}, 0)" for i in range(w))
+    match = " | ".join(f"if(get(c.xs, j + {i}) = c.ys[j], {1 << i}, 0)" for i in range(w))
     new = ["s.r0 & m"]
     for e in range(1, edits + 1):
-        before = new[-1]
-        new.append(f"((s.r{e} & m) | s.r{e - 1} | shiftright(s.r{e - 1}, 1) | (shiftleft({before}, 1) & {full}))")
+        new.append(f"((s.r{e} & m) | s.r{e - 1} | shiftright(s.r{e - 1}, 1) | (shiftleft({new[-1]}, 1) & {full}))")
     step = "struct(" + ", ".join(f"{x} AS r{e}" for e, x in enumerate(new)) + ")"
-    moved = f"if(s.r{edits} = 0, s, transform(array({match}), m -> {step})[0])"
-    return (
-        f"if(abs(size(xs) - {2 * edits} - size(ys)) > {edits}, false, if(size(ys) = 0, true,"
-        f" aggregate(sequence(0, size(ys) - 1), {start}, (s, j) -> {moved},"
-        f" s -> (shiftright(s.r{edits}, size(xs) - {2 * edits} - size(ys) + {edits}) & 1) = 1)))"
-    )
+    moved = f"if(s.r{edits} = 0, s, {bind('m', match, step)})"
+    apart = f"size(c.xs) - {2 * edits} - size(c.ys)"
+    return f"if(size(c.ys) = 0, true, aggregate(sequence(0, size(c.ys) - 1), {start}, (s, j) -> {moved}, s -> (shiftright(s.r{edits}, {apart} + {edits}) & 1) = 1))"
 
 
 def verified(pairs: DataFrame, edits: int = EDITS) -> DataFrame:
     """The rows of ``pairs`` whose columns x and y are within ``edits`` edits."""
-    rows = pairs.withColumn("room", F.least(F.char_length("x"), F.char_length("y"))).withColumn("pre", F.expr(shared_part("prefix")))
-    rows = rows.withColumn("room", F.col("room") - F.col("pre")).withColumn("suf", F.expr(shared_part("suffix")))
-    middle = lambda c: F.expr(f"substring({c}, pre + 1, char_length({c}) - pre - suf)")
-    rows = rows.withColumn("mx", middle("x")).withColumn("my", middle("y")).filter(F.abs(F.char_length("mx") - F.char_length("my")) <= edits)
-    letters = lambda c: f"filter(split({c}, ''), c -> c <> '')"
+    middle = lambda t: f"filter(split(substring({t}, pre + 1, char_length({t}) - pre - suf), ''), l -> l <> '')"
     pad = f"array_repeat('', {edits})"
-    rows = rows.withColumn("xs", F.expr(f"concat({pad}, {letters('mx')}, {pad})")).withColumn("ys", F.expr(letters("my")))
-    return rows.filter(F.expr(within(edits))).select(*pairs.columns)
+    test = bind("c", f"struct(concat({pad}, {middle('x')}, {pad}) AS xs, {middle('y')} AS ys)", within(edits))
+    test = bind("suf", bind("room", "least(char_length(x), char_length(y)) - pre", shared_part("suffix")), test)
+    test = bind("pre", bind("room", "least(char_length(x), char_length(y))", shared_part("prefix")), test)
+    return pairs.filter(F.expr(f"abs(char_length(x) - char_length(y)) <= {edits} AND {test}"))
 
 
 def verdicts(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """All lines, and for each form its first place, copies, number of forms linked to it and their earliest place."""
     each = lines(common.columns(docs, "doc_id", "text"))
     named = forms(each)
-    pairs = common.keep(candidates(named, edits, least), "linepairs")
-    side = lambda s, t: named.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("form").alias(t), F.col("first").alias(f"first_{t}"))
+    pairs, few = candidates(named, edits, least)
+    side = lambda s, t: few.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("form").alias(t), F.col("first").alias(f"first_{t}"))
     both = pairs.join(side("a", "x"), ["a1", "a2"]).join(side("b", "y"), ["b1", "b2"])
     links = common.keep(verified(both, edits).select("a1", "a2", "b1", "b2", "first_x", "first_y"), "linelinks")
     ways = links.select(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("first_y").alias("near")).unionByName(links.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("first_x").alias("near")))
