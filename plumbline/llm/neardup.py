@@ -6,8 +6,9 @@ node gets ``HASHES`` minima of universal hashes; the minima in bands give bucket
 1. Every member of a bucket is paired with the bucket's least id.  Pairs whose signatures agree
    enough are confirmed on the full sets, one pair for each document, and tied into components.
 2. Buckets that still hold more than one component are cut into blocks of bounded size; blocks meet
-   in tiles, where signatures are compared and only agreeing pairs of different components come
-   out.  These are confirmed on the full sets too, and components are made again.
+   in tiles, where signatures are compared.  The documents (not the pairs) that agree with one of
+   another component meet in tiles again, now with their full sets, and only links that join two
+   components come out.  Then components are made again.
 
 So every pair that shares a bucket is either inside one component already or compared; no bucket is
 capped, and none is a single task.  Sets are made only for documents in such pairs: a bit map of
@@ -34,7 +35,7 @@ HASHES, BANDS, WORDS = 128, 32, 5
 LEAST = 0.75
 #: Signatures of a pair at LEAST agree in a smaller part than this with probability below 1e-4.
 AGREE = LEAST - 4 * (LEAST * (1 - LEAST) / HASHES) ** 0.5
-BLOCK = 512
+BLOCK = 2048
 MAP_BITS = 25
 
 
@@ -172,9 +173,9 @@ def bit_map(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= 75 * union."""
-    marks = docs.sparkSession.sparkContext.broadcast(bit_map(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))))
+def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and its shingle hashes, in order, for at least the documents in ``ids``; written to the shared folder."""
+    marks = docs.sparkSession.sparkContext.broadcast(bit_map(ids))
 
     def sets(batches):
         for batch in batches:
@@ -189,6 +190,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     found, _ = shingles(texts.filter(pa.array(hit)))
                     yield pa.record_batch({"id": ids[hit], "hashes": pa.array([np.unique(s).tobytes() for s in found], pa.binary())})
 
+    return common.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "id long, hashes binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have 100 * intersection >= 75 * union."""
+
     def compare(batches):
         for t in batches:
             good = []
@@ -198,56 +205,109 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 good.append(100 * common_part >= 75 * (len(p) + len(q) - common_part))
             yield t.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    full = common.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "id long, hashes binary"), "sets")
+    full = full_sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), docs)
     side = lambda x: full.select(F.col("id").alias(x), F.col("hashes").alias(f"set_{x}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(compare, "a long, b long").distinct()
 
 
-def tiles(members: DataFrame) -> DataFrame:
-    """Pairs of different components whose signatures agree, from tiles of at most two blocks.
-
-    members: key, m (members of the bucket), id, component, n_shingles, sig.
-    """
+def dealt(members: DataFrame) -> DataFrame:
+    """Members of buckets (key, m, id, component, ...) copied to the tiles of two blocks that they belong to, tile by tile."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
     rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    rows = rows.select("key", "low", "high", "block", "id", "component", "n_shingles", "sig")
-    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return rows.drop("blocks", "other", "m").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+
+def each_tile(batches):
+    """The tiles of a partition, one table at a time."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        if not t.num_rows:
+            continue
+        k = [t[c].to_numpy() for c in ("key", "low", "high")]
+        edges = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1).tolist()]
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            yield t.slice(s, e - s)
+        rest = t.slice(edges[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def strips(t: pa.Table):
+    """For runs of rows of a tile's lower block: their numbers, the numbers of the upper block, and which pairs may link.
+
+    A pair may link if its components differ and sizes and signatures allow a similarity of LEAST.
+    """
+    comp, n, block = (t[c].to_numpy() for c in ("component", "n_shingles", "block"))
+    if (comp == comp[0]).all():
+        return
+    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u4").reshape(-1, HASHES)
+    left, right = np.flatnonzero(block == t["low"][0].as_py()), np.flatnonzero(block == t["high"][0].as_py())
+    for at in range(0, len(left), 32):
+        x = left[at : at + 32]
+        far = comp[x][:, None] != comp[right][None]
+        far &= 100 * np.minimum(n[x][:, None], n[right][None]) >= 75 * np.maximum(n[x][:, None], n[right][None])
+        i, j = np.nonzero(far)
+        far[i, j] = (sig[x[i]] == sig[right[j]]).mean(axis=1) >= AGREE
+        some = far.any(axis=0)
+        if some.any():
+            yield x, right[some], far[:, some]
+
+
+def involved(members: DataFrame) -> DataFrame:
+    """key and id of the members that may link with one of another component: rows for members, none for pairs."""
+
+    def go(batches):
+        for t in each_tile(batches):
+            hit = np.zeros(t.num_rows, bool)
+            for x, right, far in strips(t):
+                hit[x] |= far.any(axis=1)
+                hit[right] |= far.any(axis=0)
+            if hit.any():
+                yield pa.record_batch({"key": t["key"].to_numpy()[hit], "id": t["id"].to_numpy()[hit]})
+
+    return dealt(members).mapInArrow(go, "key long, id long").distinct()
+
+
+def linked(members: DataFrame) -> DataFrame:
+    """Links (a, b) between components, confirmed on the full sets inside the tiles.
+
+    Once two components are joined in a tile, further links between them are left out there, so a
+    tile gives fewer links than it has rows.
+    """
 
     def one(t: pa.Table):
-        block, low, high = t["block"].to_numpy(), t["low"][0].as_py(), t["high"][0].as_py()
-        ids, comp, n = (t[c].to_numpy() for c in ("id", "component", "n_shingles"))
-        if (comp == comp[0]).all():
-            return
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u4").reshape(-1, HASHES)
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        for at in range(0, len(left), 32):
-            x = left[at : at + 32]
-            far = comp[x][:, None] != comp[right][None]
-            far &= 100 * np.minimum(n[x][:, None], n[right][None]) >= 75 * np.maximum(n[x][:, None], n[right][None])
-            i, j = np.nonzero(far)
-            ok = (sig[x[i]] == sig[right[j]]).mean(axis=1) >= AGREE
-            p, q = ids[x[i[ok]]], ids[right[j[ok]]]
-            if len(p):
-                yield pa.record_batch({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+        ids, label = t["id"].to_numpy(), t["component"].to_numpy().copy()
+        sets = [np.frombuffer(s, np.uint64) for s in t["hashes"].to_pylist()]
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(size) - size
+        present = np.zeros(len(flat) + 1, np.int64)
+        for x, right, far in strips(t):
+            span = np.concatenate([flat[starts[r] : starts[r] + size[r]] for r in right])
+            at = np.cumsum(size[right]) - size[right]
+            for k, row in enumerate(x.tolist()):
+                if not far[k].any():
+                    continue
+                own = flat[starts[row] : starts[row] + size[row]]
+                present[own] = 1
+                shared = np.add.reduceat(present[span], at)
+                present[own] = 0
+                good = far[k] & (100 * shared >= 75 * (size[row] + size[right] - shared))
+                for j in right[good].tolist():
+                    if label[j] != label[row]:
+                        label[label == label[j]] = label[row]
+                        yield min(ids[row], ids[j]), max(ids[row], ids[j])
 
     def go(batches):
-        rest = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            if not t.num_rows:
-                continue
-            k = [t[c].to_numpy() for c in ("key", "low", "high")]
-            cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1
-            edges = [0, *cut.tolist()]
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                yield from one(t.slice(s, e - s))
-            rest = t.slice(edges[-1])
-        if rest is not None and rest.num_rows:
-            yield from one(rest)
-
-    return rows.mapInArrow(go, "a long, b long").distinct()
+        for t in each_tile(batches):
+            found = list(one(t))
+            if found:
+                yield pa.record_batch({"a": np.array([f[0] for f in found], np.int64), "b": np.array([f[1] for f in found], np.int64)})
+
+    return dealt(members).mapInArrow(go, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -267,8 +327,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = shared.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
     members = labelled.join(mixed, "key").join(nodes, "id").select("key", "m", "id", "component", "n_shingles", "sig")
-    second = common.keep(tiles(members), "pairs")
-    more = confirmed(second, docs)
+    second = common.keep(involved(members), "involved")
+    counts = second.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    few = second.join(counts, "key").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    few = few.join(nodes.select("id", "n_shingles", "sig"), "id").join(full_sets(second.select("id").distinct(), docs), "id")
+    more = linked(few.select("key", "m", "id", "component", "n_shingles", "sig", "hashes"))
     whole = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
     final = components.components(whole)
     ids = nodes.select("d1", "d2", "id").join(final.select(F.col("node").alias("id"), "component"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("group"))
