@@ -79,12 +79,10 @@ def index_rows(long: DataFrame, edits: int) -> DataFrame:
     return long.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"))
 
 
-def probe_rows(long: DataFrame, edits: int) -> DataFrame:
-    """A row for each substring that can hold a segment; ``level`` marks probes of forms of equal length."""
-    found = windows(edits)
-    keys = [segment_key(d, i, s) for d, i, s in found]
-    rows = long.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.posexplode(F.expr(f"array({', '.join(keys)})")).alias("pos", "key"))
-    return rows.select("a1", "a2", "key", (F.col("pos") < sum(d == 0 for d, _, _ in found)).alias("level"))
+def probe_rows(long: DataFrame, edits: int, level: bool) -> DataFrame:
+    """A row for each substring that can hold a segment of a form of equal length (``level``) or of a shorter one."""
+    keys = [segment_key(d, i, s) for d, i, s in windows(edits) if (d == 0) == level]
+    return long.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"))
 
 
 def candidates(named: DataFrame, edits: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -96,9 +94,13 @@ def candidates(named: DataFrame, edits: int = EDITS, least: int = LEAST) -> tupl
     """
     long = named.select("h1", "h2", "form", F.char_length("form").alias("n")).filter(F.col("n") >= least)
     long = segments(long, edits)
-    index, probe = index_rows(long, edits), probe_rows(long, edits)
+    index = index_rows(long, edits)
     other = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
-    live_a = common.keep(probe.join(index.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & other, "left_semi"), "lineprobes")
+    halves = [  # one after the other, so that the disk holds the probes of one alone
+        common.keep(probe_rows(long, edits, level).join(index.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & other, "left_semi"), "lineprobes").withColumn("level", F.lit(level))
+        for level in (True, False)
+    ]
+    live_a = halves[0].unionByName(halves[1])
     live_b = common.keep(index.join(live_a.select("key").distinct(), "key", "left_semi"), "lineindex")
     part = live_a.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).unionByName(live_b.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).distinct()
     few = common.keep(named.join(part, ["h1", "h2"]).select("h1", "h2", "form", "first"), "lineforms")
