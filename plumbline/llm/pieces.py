@@ -19,7 +19,6 @@ empty result; columns other than those named keep their values.
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 from collections.abc import Iterator
@@ -246,7 +245,6 @@ _codecs: dict[str, Codec] = {}
 def codec(path: str) -> Codec:
     os.environ.setdefault("OMP_NUM_THREADS", "1")
     if path not in _codecs:
-        gc.disable()
         _codecs[path] = Codec(path)
     return _codecs[path]
 

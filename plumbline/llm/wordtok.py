@@ -59,9 +59,16 @@ class RaggedCache:
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new = [words[i] for i in missing]
-            runs = self.encode(new)
-            n = np.fromiter(map(len, runs), np.int64, len(runs))
-            flat = np.fromiter((i for r in runs for i in r), np.uint32, int(n.sum()))
+            collects = gc.isenabled()
+            gc.disable()  # for the many small lists alone; later stages in this worker need it
+            try:
+                runs = self.encode(new)
+                n = np.fromiter(map(len, runs), np.int64, len(runs))
+                flat = np.fromiter((i for r in runs for i in r), np.uint32, int(n.sum()))
+                del runs
+            finally:
+                if collects:
+                    gc.enable()
             base = len(self.starts)
             self.starts = np.concatenate([self.starts, len(self.values) + np.cumsum(n) - n])
             self.lengths = np.concatenate([self.lengths, n])
@@ -72,7 +79,7 @@ class RaggedCache:
 
 
 class WordEncoder:
-    def __init__(self, vocabulary: str, cache_words: int = 1_200_000):
+    def __init__(self, vocabulary: str, cache_words: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -146,6 +153,5 @@ _encoders: dict[str, WordEncoder] = {}
 def encoder(vocabulary: str) -> WordEncoder:
     """The process's encoder for a vocabulary; Python workers keep it from task to task."""
     if vocabulary not in _encoders:
-        gc.disable()  # millions of small lists and strings, none of them in cycles
         _encoders[vocabulary] = WordEncoder(vocabulary)
     return _encoders[vocabulary]
