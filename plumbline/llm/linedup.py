@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 EDITS, LEAST = 2, 32
-BLANK = r"' \t\r\f' || chr(11)"
+BLANK = r"' \t\r' || chr(12) || chr(11)"  # SQL text has no escape for a form feed
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -144,6 +144,14 @@ def test_line_classes(spark):
     assert linedup.line_classes(empty(spark)).count() == 0
 
 
+def test_letter_f_is_no_blank(spark):
+    docs = [(1, "fan\nan\nlea\nleaf\nfff\nfff", "en", "s", 1), (2, "\f an \f\n\f\nother", "en", "s", 1)]
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.kept) for r in linedup.line_classes(frame(spark, docs)).collect()}
+    own = {(1, n): (1, n, True) for n in range(5)}
+    assert got == {**own, (1, 5): (1, 4, False), (2, 0): (1, 1, False), (2, 2): (2, 2, True)}
+    assert {r.doc_id: r.text for r in linedup.filter_documents(frame(spark, docs)).collect()} == {1: "fan\nan\nlea\nleaf\nfff", 2: "\f\nother"}
+
+
 def check_pieces(rows, docs, length, end):
     for d, text, *_ in docs:
         want = ids_of(text, end)
