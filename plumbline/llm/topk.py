@@ -6,8 +6,9 @@ The per-query lists of the tiles are merged in a tree.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part;
 only vectors of equal length are compared; a query isn't compared with rows of its own id; rows
-that repeat an id are one candidate each; ties go to the smaller id; an empty table gives an empty
-result; columns other than the id and the vector are not read.
+that repeat an id are one candidate and, where asked for, one query each, and the k best of all rows
+of an id are its result; ties go to the smaller id; an empty table gives an empty result; columns
+other than the id and the vector are not read.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, i
     q_blocks, c_blocks = max(1, -(-(asks or 0) // QUERY_BLOCK)), max(1, -(-n // CANDIDATE_BLOCK))
     place = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
     candidates = rows.select("vec_id", "vector", "dim", F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qblock"), place(c_blocks, 1).alias("cblock"))
-    queries = rows.filter("asks").dropDuplicates(["vec_id"]).select("vec_id", "vector", "dim", F.lit(True).alias("is_query"), place(q_blocks, 2).alias("qblock"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cblock"))
+    queries = rows.filter("asks").select("vec_id", "vector", "dim", F.lit(True).alias("is_query"), place(q_blocks, 2).alias("qblock"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cblock"))
     tiles = queries.unionByName(candidates)
     lists = tiles.groupBy("dim", "qblock", "cblock").applyInArrow(lambda t: tile(t, k), "query_id long, cblock int, vec_id long, score long")
     rank = lambda *by: F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "vec_id"))

@@ -47,6 +47,18 @@ def test_topk(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_topk_asks_with_every_row_of_an_id(spark, duck):
+    from plumbline.llm import queries
+
+    rnd = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rnd.normal(size=3)]) for i in range(1, 60)]
+    rows += [(50, [9.0, 0.0, 0.0]), (50, [0.0, -9.0, 0.0]), (50, [1.0, 2.0]), (100, [1.0, 1.0]), (100, [0.0, 0.0, 5.0]), (100, [0.0, 0.0, 5.0])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5).collect()
+    values = ", ".join(f"({i}, {v})" for i, v in rows)
+    sql = f"WITH embeddings AS (SELECT a::BIGINT AS vec_id, b::DOUBLE[] AS embedding FROM (VALUES {values}) AS t(a, b)), {queries.ORACLE['op7_exact_topk'].strip().removeprefix('WITH')}"
+    assert sorted(tuple(r) for r in got) == sorted(duck.execute(sql).fetchall())
+
+
 def brute(docs):
     sets = {}
     for d, t, *_ in docs:
