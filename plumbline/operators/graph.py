@@ -1,11 +1,12 @@
 """Reachability, impact, cycles and cascades over edges.
 
-Frontiers grow by joins; every hop's new nodes are anti-joined with those seen, so a cyclic graph
-ends.  Lineage is cut every few hops by writing the frontier to the shared checkpoint folder.
+Frontiers grow by joins until they are empty, or for ``hops`` (``longest``) steps where a caller sets
+them; every hop's new nodes are anti-joined with those seen, so a cyclic graph ends.  Lineage is cut every few hops by writing the frontier to the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +23,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reach(edges: DataFrame, start: DataFrame, hops: int = 20) -> DataFrame:
+def steps(hops: int | None):
+    return itertools.count(1) if hops is None else range(1, hops + 1)
+
+
+def reach(edges: DataFrame, start: DataFrame, hops: int | None = None) -> DataFrame:
     """Least hops from the start nodes to every node, along src to dst (GR-3, GR-5)."""
     seen = start.select(C("node"), F.lit(0).alias("hop")).distinct()
     front = seen
-    for h in range(1, hops + 1):
+    for h in steps(hops):
         step = front.join(edges, front["node"] == edges["src"]).select(C("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(h))
         front = cut(step)
         if front.isEmpty():
@@ -36,7 +41,7 @@ def reach(edges: DataFrame, start: DataFrame, hops: int = 20) -> DataFrame:
     return seen
 
 
-def blast_radius(edges: DataFrame, changed: list[int], total: int, hops: int = 20) -> DataFrame:
+def blast_radius(edges: DataFrame, changed: list[int], total: int, hops: int | None = None) -> DataFrame:
     """What depends on changed modules, and how bad that is (GR-3, SET-5, GR-11).  edges: src imports dst."""
     spark = edges.sparkSession
     start = spark.createDataFrame([(c,) for c in changed], "node int")
@@ -48,11 +53,11 @@ def blast_radius(edges: DataFrame, changed: list[int], total: int, hops: int = 2
     return out.withColumn("radius", radius).withColumn("risk", risk).withColumn("gate_passed", C("radius") <= 0.3)
 
 
-def shortest_paths(edges: DataFrame, entries: DataFrame, hops: int = 6) -> DataFrame:
+def shortest_paths(edges: DataFrame, entries: DataFrame, hops: int | None = None) -> DataFrame:
     """For every entry point and node the shortest chain, the least in text order of equals (GR-6 to GR-9)."""
     best = entries.select(C("node").alias("entry"), "node", F.array("node").alias("path"))
     front = best
-    for h in range(1, hops + 1):
+    for h in steps(hops):
         step = front.join(edges, front["node"] == edges["src"]).select("entry", C("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         front = cut(step.groupBy("entry", "node").agg(F.min("path").alias("path")).join(best.select("entry", "node"), ["entry", "node"], "left_anti"))
         if front.isEmpty():
@@ -62,33 +67,54 @@ def shortest_paths(edges: DataFrame, entries: DataFrame, hops: int = 6) -> DataF
     return best
 
 
-def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
-    """Node sets of cycles of up to ``longest`` edges, one row each (DET-32).
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Edges without those that no cycle can hold: from a node that nothing leads to, or to one that leads nowhere."""
+    left, n = cut(edges.select("src", "dst").filter("src <> dst").distinct()), -1
+    while (now := left.count()) != n:
+        n = now
+        left = cut(left.join(left.select(C("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(C("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+    return left
+
 
-    A path only grows over nodes above its first, so each cycle is found from its least node.
+def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """Node sets of all cycles, or of those of up to ``longest`` edges, one row each (DET-32).
+
+    A path only grows over nodes above its first, so each cycle is found from its least node; paths
+    over the same nodes to the same tip are one.
     """
+    edges = on_cycles(edges) if longest is None else edges
     paths = edges.filter("src < dst").select(C("src").alias("first"), C("dst").alias("tip"), F.array("src", "dst").alias("path"))
     found = None
-    for _ in range(longest - 1):
-        closed = paths.join(edges, (paths["tip"] == edges["src"]) & (paths["first"] == edges["dst"])).select(F.array_sort("path").alias("members"))
+    for size in itertools.count(2):
+        closed = paths.join(edges, (paths["tip"] == edges["src"]) & (paths["first"] == edges["dst"])).select(C("path").alias("members"))
         found = closed if found is None else found.unionByName(closed)
-        paths = paths.join(edges, paths["tip"] == edges["src"]).filter((C("dst") > C("first")) & ~F.array_contains("path", C("dst"))).select("first", C("dst").alias("tip"), F.concat("path", F.array("dst")).alias("path"))
+        if size == longest:
+            break
+        longer = paths.join(edges, paths["tip"] == edges["src"]).filter((C("dst") > C("first")) & ~F.array_contains("path", C("dst")))
+        paths = cut(longer.select("first", C("dst").alias("tip"), F.array_sort(F.concat("path", F.array("dst"))).alias("path")).distinct())
+        if paths.isEmpty():
+            break
+        found = cut(found) if size % EVERY == 0 else found
     return found.distinct()
 
 
-def levels(edges: DataFrame, nodes: DataFrame, hops: int = 50) -> DataFrame:
-    """Longest distance from a stage without dependencies: an order of stages (SRT-10).  edges: src depends on dst, no cycles."""
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Longest distance from a stage without dependencies: an order of stages (SRT-10).  edges: src depends on dst; a cycle is an error."""
     level = nodes.select("node", F.lit(0).alias("level"))
     front = level
-    for h in range(1, hops + 1):
+    most = edges.select(C("src").alias("node")).union(edges.select("dst")).distinct().count()
+    for h in itertools.count(1):
         front = cut(front.join(edges, front["node"] == edges["dst"]).select(C("src").alias("node")).distinct())
         if front.isEmpty():
             break
+        if h >= most:
+            raise ValueError("stages depend on each other in a cycle")
         level = level.unionByName(front.withColumn("level", F.lit(h)))
+        level = cut(level) if h % EVERY == 0 else level
     return level.groupBy("node").agg(F.max("level").alias("level"))
 
 
-def cascade(edges: DataFrame, failed: DataFrame, nodes: DataFrame, hops: int = 50) -> DataFrame:
+def cascade(edges: DataFrame, failed: DataFrame, nodes: DataFrame, hops: int | None = None) -> DataFrame:
     """Stages that depend on a failed one are rolled back (GR-10)."""
     hit = reach(edges.select(C("dst").alias("src"), C("src").alias("dst")), failed, hops)
     return nodes.join(hit, "node", "left").select("node", F.when(C("hop") == 0, "failed").when(C("hop") > 0, "rolled_back").otherwise("completed").alias("status"))

@@ -45,7 +45,7 @@ SELECT DISTINCT array_to_string(list_sort(path), ',') AS members, len(path)::INT
     "edges",
 )
 def circular_deps(v):
-    return graph.cycles(v.edges).select(F.array_join(C("members").cast("array<string>"), ",").alias("members"), F.size("members").alias("size"))
+    return graph.cycles(v.edges, 4).select(F.array_join(C("members").cast("array<string>"), ",").alias("members"), F.size("members").alias("size"))
 
 
 DAG = "dag AS (SELECT DISTINCT greatest(src, dst) AS src, least(src, dst) AS dst FROM edges WHERE src % 10 < 4), nds AS (SELECT unnest(range(60))::INT AS node)"

@@ -50,6 +50,39 @@ def test_cyclic_graph_ends(spark):
     assert [r.members for r in graph.cycles(edges).collect()] == [[1, 2, 3]]
 
 
+def test_deep_graphs_are_followed_to_the_end(spark):
+    n = 54
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "src int, dst int").coalesce(1).cache()
+    back = chain.select(F.col("dst").alias("src"), F.col("src").alias("dst")).cache()
+    start, nodes = graph.frame(spark, [0]), spark.range(n + 1).select(F.col("id").cast("int").alias("node"))
+    assert {r.node: r.hop for r in graph.reach(chain, start).collect()} == {i: i for i in range(n + 1)}
+    assert graph.blast_radius(back, [0], 100).first().affected == n + 1
+    assert {r.node: r.path for r in graph.shortest_paths(chain, start).collect()} == {i: list(range(i + 1)) for i in range(n + 1)}
+    assert {r.node: r.level for r in graph.levels(back, nodes).collect()} == {i: i for i in range(n + 1)}
+    assert {r.status for r in graph.cascade(back, start, nodes).filter("node > 0").collect()} == {"rolled_back"}
+
+
+def test_cycles_of_any_length(spark):
+    import itertools
+
+    edges = {(i, (i + 1) % 7) for i in range(7)} | {(2, 0), (3, 5), (5, 3), (7, 8), (8, 9), (6, 7), (4, 4)}
+    want = set()
+    for k in range(2, 8):
+        for p in itertools.permutations(range(7), k):
+            if all(e in edges for e in zip(p, (*p[1:], p[0]), strict=True)):
+                want.add(tuple(sorted(p)))
+    df = spark.createDataFrame(sorted(edges), "src int, dst int")
+    assert sorted(tuple(r.members) for r in graph.cycles(df).collect()) == sorted(want) and max(map(len, want)) == 7
+    assert {len(r.members) for r in graph.cycles(df, 3).collect()} == {2, 3}
+
+
+def test_levels_of_a_cycle_are_an_error(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="cycle"):
+        graph.levels(spark.createDataFrame([(1, 2), (2, 1)], "src int, dst int"), graph.frame(spark, [1, 2]))
+
+
 def test_versions(spark):
     pairs = [("2.8", "2.8.0", True), ("2.10", "2.9", False), ("none", "1.2", True)]
     df = spark.createDataFrame(pairs, "a string, b string, want boolean").select("want", (dims.version(F.col("a")) < dims.version(F.col("b"))).alias("got"))
