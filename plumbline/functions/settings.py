@@ -53,7 +53,7 @@ class Thresholds:
 
 @dataclass
 class Registry:
-    """Scanners by name: functions from a table of files to findings (UDF-1 to UDF-3, FIL-5, SET-1)."""
+    """Scanners by name: functions from a table of files to findings (UDF-1, UDF-2, FIL-5, SET-1)."""
 
     scanners: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
     disabled: set[str] = field(default_factory=set)

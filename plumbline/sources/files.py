@@ -145,7 +145,7 @@ class Facts(ast.NodeVisitor):
 def syntax_facts(files: DataFrame) -> DataFrame:
     """Functions with their measures, imports, calls, attributes and references; ``error`` rows for code that doesn't parse.
 
-    DET-7, DET-10 to DET-13, DET-18 to DET-22, DET-25, DET-26, DET-31, DET-37, TXT-25 to TXT-29, TXT-45.
+    DET-7, DET-10 to DET-13, DET-18, DET-19, DET-21, DET-22, DET-25, DET-26, DET-31, DET-37, TXT-25, TXT-28, TXT-29, TXT-45.
     """
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

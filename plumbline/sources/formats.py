@@ -85,7 +85,7 @@ SENSITIVE = ["auth", "payments", "security", "billing", "secrets"]
 
 
 def project_facts(files: DataFrame) -> DataFrame:
-    """Package managers, build services, languages and sensitive folders of each repository's file list (TXT-31 to TXT-36, AGG-33)."""
+    """Package managers, build services, languages and sensitive folders of each repository's file list (TXT-31, TXT-33, TXT-35, AGG-33)."""
     folders = F.slice(F.split("path", "/"), 1, 2)
     inner = F.filter(F.when(F.size(F.split("path", "/")) > 1, F.array_except(F.array_intersect(folders, F.array(*map(F.lit, SENSITIVE))), F.slice(F.split("path", "/"), -1, 1))).otherwise(F.array().cast("array<string>")), lambda x: x.isNotNull())
     service = None

@@ -23,7 +23,7 @@ def sarif(results: DataFrame, tool: str = "plumbline") -> DataFrame:
 
 
 def markdown(df: DataFrame, title: str, limit: int = 100) -> str:
-    """A small report table as text (SNK-6 to SNK-9); ``limit`` bounds what is shown."""
+    """A small report table as text (SNK-6, SNK-8, SNK-9); ``limit`` bounds what is shown."""
     head = "| " + " | ".join(df.columns) + " |\n|" + "-|" * len(df.columns)
     body = "\n".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.limit(limit).collect())
     return f"# {title}\n\n{head}\n{body}\n"
