@@ -237,24 +237,71 @@ def test_windows_give_the_same_counts(monkeypatch):
 
 @pytest.mark.parametrize("head", [lm.HEAD, 5])
 def test_lm_scores(spark, monkeypatch, head):
+    """Counts, base and score of every text against plain Python, from the trained vectors."""
+    seen = {}
     monkeypatch.setattr(lm.vocabulary, "__defaults__", (head,))
-    docs = corpus()
+    monkeypatch.setattr(lm, "PASSES", 4)
+    before, train = lm.vocabulary, lm.train
+    monkeypatch.setattr(lm, "vocabulary", lambda *a: seen.setdefault("vocab", before(*a)))
+    monkeypatch.setattr(lm, "train", lambda *a: seen.setdefault("model", train(*a)))
+    docs = [*corpus(), (None, "a row without an id", "en", "s", 1)]
     tokens = [(d, [*words(ascii_lower(t)), None]) for d, t, *_ in docs]
-    out = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in tokens}
+    out = {d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2 for d, _ in tokens}
     c = Counter(w for d, t in tokens if not out[d] for w in t)
     n, v = sum(c.values()), len(c)
     got = {r.doc_id: r for r in lm.score(frame(spark, docs)).collect()}
+    vocab, m = seen["vocab"][0], seen["model"]
+    size = m.context.shape[1]
+    own = {w for w, u in zip(vocab.head, vocab.units, strict=True) if u not in set(vocab.clusters)}
+    assert len(own) == min(head, sum(k > 1 and w is not None for w, k in c.items()))
+    inside = {k: [x for w, x in c.items() if w is not None and w not in own and lm.cluster(w) == k] for k in range(lm.CLUSTERS)}
+
+    def unit(w):
+        return vocab.end if w is None else int(vocab.units[vocab.head[w]]) if w in own else int(vocab.clusters[lm.cluster(w)])
+
+    def log_p(past, u):
+        q = sum(m.context[x].astype(float) @ m.mixing[j].reshape(size, size).astype(float) for j, x in enumerate(past))
+        score = lambda row: float(row[:size].astype(float) @ q + row[size])
+        softmax = lambda rows, k: score(rows[k]) - np.log(sum(np.exp(score(r)) for r in rows))
+        g = int(m.group_of[u])
+        return softmax(m.group, g) + softmax(m.target[m.starts[g] : m.starts[g + 1]], u - int(m.starts[g]))
+
     for d, t in tokens:
         r = got[d]
         want = sum(np.log10((c[w] + 1) / (n + v + 1)) for w in t)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[d], len(t), sum(c[w] > 0 for w in t), n)
         assert abs(r.base_score - want) < 1e-6 * abs(want) and r.score < 0
+        if d in (None, 5, 6, 9, 12, 20, 33):
+            units, model = [unit(w) for w in t], 0.0
+            for i, w in enumerate(t):
+                past = [units[i - j] if i >= j else vocab.end for j in range(1, lm.BACK + 1)]
+                share = 0.0 if w is None or w in own else np.log10((c[w] + 1) / (sum(inside[lm.cluster(w)]) + len(inside[lm.cluster(w)]) + 1))
+                model += log_p(past, units[i]) / np.log(10) + share
+            assert abs(r.score - model) < 1e-4 * abs(model)
     assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
     assert lm.score(empty(spark)).count() == 0
 
 
-def test_lm_is_normalised():
-    pairs = np.random.default_rng(0).poisson(3, (40, 40)).astype(float)
-    table = lm.train(pairs, size=8, steps=200).table()
-    assert np.allclose((10**table).sum(axis=1), 1)
-    assert (pairs * table).sum() > (pairs * np.log10(pairs.sum(0) / pairs.sum())).sum()
+def test_lm_is_normalised_and_learns():
+    rng = np.random.default_rng(0)
+    follow = rng.permutation(40)
+    flat = [0]
+    for _ in range(30_000):
+        flat.append(int(follow[flat[-1]]) if rng.random() < 0.8 else int(rng.integers(40)))
+    flat = np.array(flat, np.uint16)
+    m = lm.LogBilinear(np.bincount(flat, minlength=40), size=8, back=2)
+    lm.Trainer(m, few=4).stream([(flat, np.array([len(flat)]))], 0, batch=256)
+    past = np.tile(rng.integers(0, 40, (2, 7)), 40)
+    p = 10 ** m.log_probs(past, np.repeat(np.arange(40), 7))
+    assert np.allclose(p.reshape(40, 7).sum(axis=0), 1, atol=1e-4)
+    share = np.bincount(flat, minlength=40) / len(flat)
+    assert m.log_probs(lm.before(flat, np.array([len(flat)]), 0, 2), flat).mean() > np.log10(share[flat]).mean() + 0.4
+
+
+def test_trainers_share_what_they_learned(spark, monkeypatch):
+    """Several trainers and rounds give about the likelihood of one."""
+    docs = corpus(120)
+    whole = sum(r.score for r in lm.score(frame(spark, docs).repartition(4)).collect())
+    monkeypatch.setattr(lm, "SHARE", 2_000)
+    split = sum(r.score for r in lm.score(frame(spark, docs).repartition(4)).collect())
+    assert abs(split - whole) < 0.1 * abs(whole)
