@@ -8,7 +8,8 @@ import uuid
 import zipfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A dimension table is broadcast up to so many rows; beyond that it is joined by a shuffle.
@@ -41,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -79,6 +82,26 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def row_ids(docs: DataFrame) -> DataFrame:
+    """doc_id, text, a key of the row (``rid``), and all columns but the text as a struct (``row``), so that no name can clash.
+
+    The key comes from the file and the place in it where the rows are read from files; else the rows
+    are written once, with a number each.  Either way it is the same whenever a task is run again.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    base = [F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text")]
+    try:
+        return docs.select(*base, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("rid"), row)
+    except AnalysisException:
+        return keep(docs.select(*base, F.monotonically_increasing_id().alias("rid"), row), "rows")
+
+
+def restored(rows: DataFrame, docs: DataFrame, **changed: Column | None) -> DataFrame:
+    """The columns of ``docs`` again from ``row`` and ``text``, with some of them changed."""
+    changed = {"text": F.col("text"), **changed}
+    return rows.select(*[(changed[c] if changed.get(c) is not None else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def join_dimension(df: DataFrame, dim: DataFrame, key: str, how: str = "left", rows: int | None = None) -> DataFrame:
     """Join a table with one row for each key: broadcast behind a row count, else a shuffle that Spark may split."""
     n = dim.count() if rows is None else rows

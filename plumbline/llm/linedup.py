@@ -1,19 +1,25 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Equal lines are one form.  A form of at least ``LEAST`` characters is cut into ``edits + 1`` segments;
-a form within ``edits`` edits of it must hold one of them unchanged, near its place.  So each form
-is indexed under its segments, together with its length, and probes the lengths from its own down
-to ``edits`` less with the few substrings that can match.  Pairs that meet are first held against a
-bound from letter parities, then verified by banded bit-parallel edit distance.
-
-A line is dropped if an equal line, or one within ``edits`` edits, comes earlier in (doc_id, line
-number) order.  Forms are told apart by 96 bits of hash; every exchange deals by such hashes after
-partial aggregation, so a line that fills a third of the corpus is one form like any other.
+Equal lines are one form.  Two forms are linked if they are within one edit for every ``PER_EDIT``
+characters of the longer one, ``EDITS`` at most.  For t edits the shorter form is cut into t + 1
+segments; the longer one must hold one of them unchanged, near its place.  So forms are indexed under
+their segments, together with their length, and a form probes the lengths from its own down to t
+less with the few substrings that can match.  Pairs that meet are first held against a bound from
+letter parities, then verified by banded bit-parallel edit distance.  Forms of fewer than
+``PER_EDIT`` characters have no edit to spare: for them the rule is equality.
+
+A line is dropped if an equal line, or one linked with it, comes earlier in (doc_id, row, line
+number) order; rows are told apart by a key of their own.  Forms are told apart by 96 bits of hash.
+
+Hot keys: a form that fills more than a ``1 / HOT_PARTS`` part of all lines (fewer than ``HOT_PARTS``
+forms can) is broadcast with its verdict and its lines stay where they are.  A segment that more than
+``HOT_SEGMENT`` probes share is cut by hash: its probes are dealt to several tasks, each of which
+sees all index rows of the segment.
 
 Defined results: blank lines are neither compared nor dropped; white space around a line doesn't
-count; shorter lines match only when equal; null texts have no lines; null ids come first; rows
-that repeat an id are told apart by nothing, so their lines count as equal ones in the same place;
-an empty table gives an empty result; columns other than id and text keep their values.
+count; null texts have no lines; null ids come first; rows that repeat an id are rows of their own,
+in an order fixed by the files they lie in; an empty table gives an empty result; columns other than
+id and text keep their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,21 +29,27 @@ from pyspark.sql import functions as F
 
 from . import common
 
-EDITS, LEAST = 2, 32
+EDITS, PER_EDIT = 2, 16
+HOT_PARTS, HOT_SEGMENT = 1_000, 4_096
 BLANK = r"' \t\r' || chr(12) || chr(11)"  # SQL text has no escape for a form feed
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), form and its two hashes, for every line that isn't blank."""
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    each = each.select("doc_id", "line_no", F.expr(f"btrim(line, {BLANK})").alias("form")).filter("form <> ''")
-    return each.select("doc_id", "line_no", "form", F.xxhash64("form").alias("h1"), F.hash("form").alias("h2"))
+    """doc_id, rid, line_no (from 0), form and its two hashes, for every line that isn't blank."""
+    each = docs.select("doc_id", "rid", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    each = each.select("doc_id", "rid", "line_no", F.expr(f"btrim(line, {BLANK})").alias("form")).filter("form <> ''")
+    return each.select("doc_id", "rid", "line_no", "form", F.xxhash64("form").alias("h1"), F.hash("form").alias("h2"))
 
 
 def forms(each: DataFrame) -> DataFrame:
     """h1, h2, form, the first place and the number of its lines."""
-    return each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("form").alias("form"))
+    return each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rid", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("form").alias("form"))
+
+
+def allowed(longer: str) -> str:
+    """Edits that a pair may be apart, from the longer one's number of characters."""
+    return f"least({EDITS}, cast({longer} div {PER_EDIT} AS int))"
 
 
 def windows(edits: int) -> list[tuple[int, int, int]]:
@@ -60,12 +72,12 @@ def segments(long: DataFrame, edits: int) -> DataFrame:
     return long.select("h1", "h2", "form", "n", *starts, *sizes)
 
 
-def segment_key(less: int, i: int, shift: int) -> str:
+def segment_key(edits: int, less: int, i: int, shift: int) -> str:
     """Hash of a substring of ``form`` that stands for segment i of a form with ``less`` characters fewer.
 
     A place outside the form gives a shorter or another text: at worst a pair that fails to verify.
     """
-    return f"xxhash64((n - {less}) * 16 + {i}, substring(form, start{less}_{i} + {shift}, size{less}_{i}))"
+    return f"xxhash64((n - {less}) * 64 + {edits} * 16 + {i}, substring(form, start{less}_{i} + {shift}, size{less}_{i}))"
 
 
 def parities() -> str:
@@ -73,31 +85,53 @@ def parities() -> str:
     return " | ".join(f"shiftleft((length(low) - length(replace(low, '{c}', ''))) % 2, {k})" for k, c in enumerate(LETTERS))
 
 
-def index_rows(long: DataFrame, edits: int) -> DataFrame:
-    """A row for each segment of each form."""
-    keys = [segment_key(0, i, 0) for i in range(1, edits + 2)]
-    return long.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"))
+def span(edits: int) -> tuple[str, str]:
+    """Which forms probe under ``edits`` edits, by their length n, and which can be met by them."""
+    upper = f" AND n < {(edits + 1) * PER_EDIT}" if edits < EDITS else ""
+    return f"n >= {edits * PER_EDIT}{upper}", f"n >= {edits * PER_EDIT - edits}{upper}"
+
+
+def index_rows(named: DataFrame) -> DataFrame:
+    """A row for each segment of each form, for every number of edits it can be met under."""
+    out = None
+    for edits in range(1, EDITS + 1):
+        keys = [segment_key(edits, 0, i, 0) for i in range(1, edits + 2)]
+        rows = segments(named.filter(span(edits)[1]), edits).select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-def probe_rows(long: DataFrame, edits: int, level: bool) -> DataFrame:
+def probe_rows(named: DataFrame, level: bool) -> DataFrame:
     """A row for each substring that can hold a segment of a form of equal length (``level``) or of a shorter one."""
-    keys = [segment_key(d, i, s) for d, i, s in windows(edits) if (d == 0) == level]
-    return long.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"))
+    out = None
+    for edits in range(1, EDITS + 1):
+        keys = [segment_key(edits, d, i, s) for d, i, s in windows(edits) if (d == 0) == level]
+        rows = segments(named.filter(span(edits)[0]), edits).select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
 
+def spread(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Probes and index rows with keys that more than HOT_SEGMENT probes share cut into several: probes by hash, index rows copied."""
+    hot = common.keep(a.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > HOT_SEGMENT).select("key", F.ceil(F.col("m") / HOT_SEGMENT).cast("int").alias("parts")), "linehot")
+    parts = F.coalesce("parts", F.lit(1))
+    a = a.join(hot, "key", "left").withColumn("cut", F.xxhash64("key", F.pmod(F.xxhash64("a1", "a2", F.lit(7)), parts).cast("int"))).drop("parts")
+    b = b.join(hot, "key", "left").withColumn("cut", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("cut", F.xxhash64("key", "cut")).drop("parts")
+    return a, b.withColumnRenamed("key", "b_key")
 
-def candidates(named: DataFrame, edits: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+
+def candidates(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a1, a2), (b1, b2) of forms that share a segment and pass the parity bound; and the forms that take part.
 
     First only the probes and index rows that meet another form are found, by semi-joins, which
     give no pairs.  Letter parities are then computed for the forms behind them alone, and the
     pairs are made under the parity bound, so a segment that many forms share gives few of them.
     """
-    long = named.select("h1", "h2", "form", F.char_length("form").alias("n")).filter(F.col("n") >= least)
-    long = segments(long, edits)
-    index = index_rows(long, edits)
+    long = named.select("h1", "h2", "form", F.char_length("form").alias("n"))
+    index = index_rows(long)
     other = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
     halves = [  # one after the other, so that the disk holds the probes of one alone
-        common.keep(probe_rows(long, edits, level).join(index.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & other, "left_semi"), "lineprobes").withColumn("level", F.lit(level))
+        common.keep(probe_rows(long, level).join(index.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & other, "left_semi"), "lineprobes").withColumn("level", F.lit(level))
         for level in (True, False)
     ]
     live_a = halves[0].unionByName(halves[1])
@@ -105,11 +139,13 @@ def candidates(named: DataFrame, edits: int = EDITS, least: int = LEAST) -> tupl
     part = live_a.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).unionByName(live_b.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).distinct()
     few = common.keep(named.join(part, ["h1", "h2"]).select("h1", "h2", "form", "first"), "lineforms")
     bits = common.keep(few.select("h1", "h2", F.lower("form").alias("low")).select("h1", "h2", F.expr(parities()).alias("bits")), "linebits")
-    a = live_a.join(bits.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("bits").alias("a_bits")), ["a1", "a2"])
-    b = live_b.join(bits.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("bits").alias("b_bits")), ["b1", "b2"])
+    cut_a, cut_b = spread(live_a, live_b)
+    a = cut_a.join(bits.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("bits").alias("a_bits")), ["a1", "a2"])
+    b = cut_b.join(bits.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("bits").alias("b_bits")), ["b1", "b2"])
     one_way = F.expr("NOT level OR a1 > b1 OR (a1 = b1 AND a2 > b2)")
-    near = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2 * edits
-    return a.join(b.hint("merge"), (a["key"] == b["key"]) & near & one_way & other).select("a1", "a2", "b1", "b2").distinct(), few
+    near = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2 * EDITS
+    met = a.join(b.withColumnRenamed("cut", "b_cut").hint("merge"), (F.col("cut") == F.col("b_cut")) & (F.col("key") == F.col("b_key")) & near & one_way & other)
+    return met.select("a1", "a2", "b1", "b2").distinct(), few
 
 
 def shared_part(side: str) -> str:
@@ -158,26 +194,51 @@ def verified(pairs: DataFrame, edits: int = EDITS) -> DataFrame:
     return pairs.filter(F.expr(f"abs(char_length(x) - char_length(y)) <= {edits} AND {test}"))
 
 
-def verdicts(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """All lines, and for each form its first place, copies, number of forms linked to it and their earliest place."""
-    each = lines(common.columns(docs, "doc_id", "text"))
-    named = forms(each)
-    pairs, few = candidates(named, edits, least)
+def linked(pairs: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` whose columns x and y are within the edits that their length allows."""
+    mine = pairs.withColumn("may", F.expr(allowed("greatest(char_length(x), char_length(y))")))
+    out = None
+    for edits in range(1, EDITS + 1):
+        some = verified(mine.filter(F.col("may") == edits), edits)
+        out = some if out is None else out.unionByName(some)
+    return out.drop("may")
+
+
+def verdicts(rows: DataFrame) -> DataFrame:
+    """For each form its first place, copies, number of forms linked to it and their earliest place; rows: doc_id, rid, text."""
+    named = common.keep(forms(lines(rows)), "linenames")
+    pairs, few = candidates(named)
     side = lambda s, t: few.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("form").alias(t), F.col("first").alias(f"first_{t}"))
-    both = pairs.join(side("a", "x"), ["a1", "a2"]).join(side("b", "y"), ["b1", "b2"])
-    links = common.keep(verified(both, edits).select("a1", "a2", "b1", "b2", "first_x", "first_y"), "linelinks")
+    both = common.keep(pairs.join(side("a", "x"), ["a1", "a2"]).join(side("b", "y"), ["b1", "b2"]), "linepairs")
+    links = common.keep(linked(both).select("a1", "a2", "b1", "b2", "first_x", "first_y"), "linelinks")
     ways = links.select(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("first_y").alias("near")).unionByName(links.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("first_x").alias("near")))
     near = ways.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_links"), F.min("near").alias("near"))
-    places = each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    return each, places.join(near, ["h1", "h2"], "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    return named.drop("form").join(near, ["h1", "h2"], "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+
+
+def with_verdicts(each: DataFrame, found: DataFrame) -> DataFrame:
+    """Every line with its form's verdict (struct ``v``); forms that fill a large part of all lines are broadcast, the rest shuffled."""
+    found = common.keep(found.select("h1", "h2", "copies", F.struct("first", "near", "n_links").alias("v")), "lineverdicts")
+    bound = (found.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]) // HOT_PARTS
+    hot = found.filter(F.col("copies") > bound).filter(F.col("copies") > 1) if bound else found.limit(0)
+    rest = found.filter(F.col("copies") <= bound) if bound else found
+    met = each.join(F.broadcast(hot.select("h1", "h2", F.col("v").alias("hot"))), ["h1", "h2"], "left")
+    own = F.when(F.col("hot").isNull(), F.col("h1")).otherwise(F.xxhash64("doc_id", "rid", "line_no"))
+    met = met.withColumn("k1", own).withColumn("k2", F.when(F.col("hot").isNull(), F.col("h2")).otherwise(F.hash("line_no", "rid"))).withColumn("cold", F.col("hot").isNull())
+    rest = rest.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.lit(True).alias("cold"), F.col("v").alias("rest"))
+    return met.join(rest, ["k1", "k2", "cold"], "left").select("doc_id", "rid", "line_no", F.coalesce("hot", "rest").alias("v"))
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """Every line of doc_id, rid, text with its verdict and whether it stays."""
+    out = with_verdicts(lines(rows).drop("form"), verdicts(rows))
+    here, first, near = F.struct("doc_id", "rid", "line_no"), F.col("v.first"), F.col("v.near")
+    return out.select("doc_id", "rid", "line_no", first.alias("first"), near.alias("near"), F.col("v.n_links").alias("n_links"), ((here == first) & (near.isNull() | (first < near))).alias("kept"))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def line_classes(docs: DataFrame) -> DataFrame:
     """Every line with its class (first place of an equal line), the earliest line near it, its links and whether it stays."""
-    each, found = verdicts(docs, edits, least)
-    out = each.drop("form").join(found, ["h1", "h2"])
-    here = F.struct("doc_id", "line_no")
-    kept = (here == F.col("first")) & (F.col("near").isNull() | (F.col("first") < F.col("near")))
+    out = classes(common.row_ids(docs).select("doc_id", "rid", "text"))
     return out.select(
         "doc_id",
         "line_no",
@@ -186,19 +247,18 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Dat
         F.col("near.doc_id").alias("near_doc_id"),
         F.col("near.line_no").alias("near_line_no"),
         "n_links",
-        kept.alias("kept"),
+        "kept",
     )
 
 
-def filter_documents(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def filter_documents(docs: DataFrame) -> DataFrame:
     """``docs`` without the dropped lines; documents that lose every line go."""
-    classes = line_classes(docs, edits, least).filter(~F.col("kept"))
-    dropped = common.keep(classes.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("doc_id", "gone_id"), "lines")
-    names = docs.columns
-    joined = docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("gone_id")), "left")
+    rows = common.row_ids(docs)
+    dropped = classes(rows.select("doc_id", "rid", "text")).filter(~F.col("kept"))
+    dropped = common.keep(dropped.groupBy("rid").agg(F.collect_set("line_no").alias("gone")), "lines")
+    joined = rows.join(dropped, "rid", "left")
     stay = "array_except(sequence(0, size(split(text, '\\n')) - 1), gone)"
     text = F.expr(f"if(gone IS NULL OR text IS NULL, text, transform(array(split(text, '\\n')), ls -> array_join(transform({stay}, i -> ls[i]), '\\n'))[0])")
     rest = joined.withColumn("text", text).filter(F.col("gone").isNull() | F.expr(f"btrim(text, {BLANK} || '\\n') <> ''"))
-    if "n_chars" in names:
-        rest = rest.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return rest.select(*[F.col(f"`{c}`") for c in names])
+    chars = F.when(F.col("gone").isNull(), F.col("row.`n_chars`")).otherwise(F.char_length("text").cast("long")) if "n_chars" in docs.columns else None
+    return common.restored(rest, docs, n_chars=chars)

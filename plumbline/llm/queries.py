@@ -141,9 +141,7 @@ WITH each AS (
 named AS (SELECT form, min({'d': doc_id, 'l': line_no}) AS first, length(form) AS n FROM each WHERE form <> '' GROUP BY form),
 pairs AS (
   SELECT a.form AS x, b.form AS y, a.first AS fx, b.first AS fy FROM named a JOIN named b ON b.n BETWEEN a.n AND a.n + 2 AND a.form <> b.form AND (a.n < b.n OR a.form < b.form)
-  WHERE a.n >= 32 AND (substr(a.form, 1, a.n // 3) = substr(b.form, 1, a.n // 3) OR substr(a.form, a.n - a.n // 3 + 1) = substr(b.form, b.n - a.n // 3 + 1)
-    OR substr(a.form, a.n // 3 + 2, a.n // 3 - 2) IN (substr(b.form, a.n // 3 + 1, a.n // 3 - 2), substr(b.form, a.n // 3 + 2, a.n // 3 - 2), substr(b.form, a.n // 3 + 3, a.n // 3 - 2), substr(b.form, a.n // 3 + 4, a.n // 3 - 2), substr(b.form, a.n // 3, a.n // 3 - 2)))
-    AND levenshtein(a.form, b.form) <= 2),
+  WHERE levenshtein(a.form, b.form) <= least(2, b.n // 16)),
 ways AS (SELECT x AS form, fy AS near FROM pairs UNION ALL SELECT y, fx FROM pairs),
 links AS (SELECT form, count(*) AS n_links, min(near) AS near FROM ways GROUP BY form)
 SELECT doc_id, line_no, first.d AS class_doc_id, first.l AS class_line_no, near.d AS near_doc_id, near.l AS near_line_no, coalesce(n_links, 0) AS n_links,

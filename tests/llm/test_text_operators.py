@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from plumbline.llm import idstore, langid, linedup, lm, packing, pieces, quality, wordtok
+from plumbline.llm import common, idstore, langid, linedup, lm, packing, pieces, quality, wordtok
 
 from .helpers import ascii_lower, corpus, empty, frame, words
 
@@ -88,6 +88,8 @@ def test_bad_host_goes(spark):
 
 
 def brute_edit(a, b):
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
@@ -111,39 +113,83 @@ def test_banded_distance(spark, edits):
     assert got == {p for p in pairs if brute_edit(*p) <= edits}
 
 
-def test_line_classes(spark):
-    rnd = random.Random(4)
-    base = ["".join(rnd.choice("abcdef ") for _ in range(rnd.randint(33, 60))).strip() + "z" for _ in range(25)]
+BLANKS = " \t\r\f\v"
+
+
+def line_rule(docs):
+    """Every line's (class place, links, stays) by comparing all pairs; places are (doc_id or -1, number of the row, line)."""
+    each = [((-1 if d is None else d, k, n), x.strip(BLANKS)) for k, (d, t, *_) in enumerate(docs) if t is not None for n, x in enumerate(t.split("\n")) if x.strip(BLANKS)]
+    first = {}
+    for place, f in sorted(each):
+        first.setdefault(f, place)
+    near = {f: [g for g in first if g != f and abs(len(f) - len(g)) <= 2 and brute_edit(f, g) <= min(2, max(len(f), len(g)) // 16)] for f in first}
+    return {p: (first[f], len(near[f]), p == first[f] and all(first[f] < first[g] for g in near[f])) for p, f in each}
+
+
+def line_corpus(seed=4):
+    rnd = random.Random(seed)
+    base = ["".join(rnd.choice("abcdef ") for _ in range(rnd.randint(2, 60))).strip() + "z" for _ in range(25)]
     docs = []
     for i in range(30):
         ls = []
-        for _ in range(4):
+        for _ in range(5):
             x = list(rnd.choice(base))
             for _ in range(rnd.randint(0, 3)):
-                x[rnd.randrange(len(x))] = rnd.choice("abcdefg")
+                k = rnd.randrange(len(x))
+                x[k : k + rnd.choice([0, 1, 1])] = rnd.choice(["", "a", "g"])
+                x = x or ["q"]
             ls.append(rnd.choice(["", " "]) + "".join(x))
-        docs.append((i, "\n".join([*ls, "short", ""]), "en", "s", 1))
-    docs += [(50, None, "en", "s", 0), (51, "", "en", "s", 0)]
-    each = [(d, n, x.strip(" \t\r\f\v")) for d, t, *_ in docs if t is not None for n, x in enumerate(t.split("\n")) if x.strip(" \t\r\f\v")]
-    first = {}
-    for d, n, f in each:
-        first.setdefault(f, (d, n))
-    long = [f for f in first if len(f) >= 32]
-    near = {f: [g for g in long if g != f and brute_edit(f, g) <= 2] for f in long}
-    got = {(r.doc_id, r.line_no): r for r in linedup.line_classes(frame(spark, docs)).collect()}
-    assert len(got) == len(each)
-    stays = set()
-    for d, n, f in each:
-        links = near.get(f, [])
-        r = got[d, n]
-        keep = (d, n) == first[f] and all(first[f] < first[g] for g in links)
-        assert (r.class_doc_id, r.class_line_no, r.n_links, r.kept) == (*first[f], len(links), keep)
-        stays |= {d} if keep else set()
-    out = linedup.filter_documents(frame(spark, docs))
-    assert {r.doc_id for r in out.collect()} - {50, 51} == stays
+        docs.append((i, "\n".join([*ls, "the same short line", ""]), "en", "s", 1))
+    docs += [(50, None, "en", "s", 0), (51, "", "en", "s", 0), (52, "x" * 5_000, "en", "s", 0), (53, "x" * 4_999 + "y", "en", "s", 0)]
+    docs += [(7, "a line that no other row of all these holds\nand" + "\n".join(base[:2]), "en", "s", 1), (7, docs[3][1] + "\nsomething quite of its own, too", "en", "s", 1), (None, base[3] + "\n" + docs[7][1], "en", "s", 1), (None, "nothing like it anywhere, not at all", "en", "s", 1)]
+    return docs
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_line_classes(spark, monkeypatch, tmp_path, hot):
+    if hot:
+        monkeypatch.setattr(linedup, "HOT_PARTS", 40)
+        monkeypatch.setattr(linedup, "HOT_SEGMENT", 3)
+    docs = line_corpus()
+    want = line_rule(docs)
+    df = frame(spark, docs).coalesce(1)  # rows are numbered in their order
+    got = linedup.classes(common.row_ids(df).select("doc_id", "rid", "text")).collect()
+    numbers = {r: k for k, r in enumerate(x.rid for x in common.row_ids(df).select("rid").collect())}
+    place = lambda s: (-1 if s.doc_id is None else s.doc_id, numbers[s.rid], s.line_no)
+    assert {place(r): (place(r.first), r.n_links, r.kept) for r in got} == want and len(got) == len(want)
+    public = linedup.line_classes(df).collect()
+    assert sum(r.kept for r in public) == sum(w[2] for w in want.values()) and len(public) == len(want)
     assert linedup.line_classes(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("files", [False, True])
+def test_lines_go_by_row(spark, tmp_path, files):
+    """Rows of one id lose their own lines only, and no column's name does harm."""
+    docs = line_corpus(5)
+    stays = {p for p, w in line_rule(docs).items() if w[2]}
+    want = []
+    for k, (d, t, *_) in enumerate(docs):
+        if t is not None:
+            ls = [(x, (-1 if d is None else d, k, n)) for n, x in enumerate(t.split("\n"))]
+            left = [x for x, p in ls if p in stays or not x.strip(BLANKS)]
+            t = t if len(left) == len(ls) else "\n".join(left)
+            if len(left) < len(ls) and not t.strip(BLANKS + "\n"):
+                continue
+        want.append((-1 if d is None else d, t))
+    df = frame(spark, docs).coalesce(1).selectExpr("*", "1 AS gone", "2 AS gone_id", "3 AS rid", "4 AS line_no", "5 AS first", "6 AS n")
+    if files:
+        df.write.parquet(str(tmp_path / "docs"))
+        df = spark.read.parquet(str(tmp_path / "docs"))
+    out = linedup.filter_documents(df)
+    assert out.columns == df.columns
+    show = lambda rows: sorted(rows, key=str)
+    got = out.collect()
+    if files:  # which of two rows of one id is the first depends on the files; as many lines stay
+        assert len(got) == len(want) and {r.doc_id for r in got} == {None if d < 0 else d for d, _ in want}
+    else:
+        assert show((-1 if r.doc_id is None else r.doc_id, r.text) for r in got) == show(want)
+
+
 def test_letter_f_is_no_blank(spark):
     docs = [(1, "fan\nan\nlea\nleaf\nfff\nfff", "en", "s", 1), (2, "\f an \f\n\f\nother", "en", "s", 1)]
     got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.kept) for r in linedup.line_classes(frame(spark, docs)).collect()}
