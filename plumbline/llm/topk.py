@@ -1,14 +1,16 @@
 """Exact top-k search by tiled matrix products.
 
-Queries and candidates are dealt by hash into blocks of bounded size.  Every pair of a query block
-and a candidate block is one tile: a matrix product, of which the k best of each query survive.
-The per-query lists of the tiles are merged in a tree.
+Queries go out in chunks of bounded bytes.  For each chunk every partition of the candidates is
+walked once, a tile of rows at a time: a matrix product, of which the k best of each query survive,
+merged with those of the partition's tiles before it.  So a partition gives at most k rows for each
+query, candidates are never moved, and the partitions' lists are merged in a tree.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part;
 only vectors of equal length are compared; a query isn't compared with rows of its own id; rows
 that repeat an id are one candidate and, where asked for, one query each, and the k best of all rows
-of an id are its result; ties go to the smaller id; an empty table gives an empty result; columns
-other than the id and the vector are not read.
+of an id are its result; ties go to the smaller id; sums beyond 64 bits are held at the end of the
+range, where they tie; an empty table gives an empty result; columns other than the id and the
+vector are not read.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-QUERY_BLOCK, CANDIDATE_BLOCK, FAN = 2_048, 8_192, 16
+#: Bytes of queries that are broadcast at once, candidates and queries of a tile, lists merged at once.
+CHUNK_BYTES, CANDIDATE_BLOCK, QUERY_BLOCK, FAN = 32_000_000, 8_192, 256, 16
 EXACT = 2**53
 
 
@@ -34,60 +38,96 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64) if exact.size else exact.astype(np.int64)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the k best of each row; columns are in ascending order of id."""
+def best(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the k best allowed entries of each row: by score, then by the smaller id."""
     rows, cols = [], []
     for r in range(len(scores)):
-        s = scores[r]
-        allowed = np.flatnonzero(ids != own[r])
-        if len(allowed) > k:
-            v = s[allowed]
+        mine = np.flatnonzero(allowed[r])
+        if len(mine) > k:
+            v = scores[r, mine]
             edge = np.partition(v, len(v) - k)[len(v) - k]
-            above = allowed[v > edge]
-            allowed = np.concatenate([above, allowed[v == edge][: k - len(above)]])
-        rows.append(np.full(len(allowed), r))
-        cols.append(allowed)
+            above, level = mine[v > edge], mine[v == edge]
+            mine = np.concatenate([above, level[np.argsort(ids[r, level], kind="stable")][: k - len(above)]])
+        rows.append(np.full(len(mine), r))
+        cols.append(mine)
     return np.concatenate(rows).astype(np.int64), np.concatenate(cols).astype(np.int64)
 
 
-def tile(table: pa.Table, k: int) -> pa.Table:
-    def part(is_query: bool) -> tuple[np.ndarray, np.ndarray]:
-        t = table.filter(pc.equal(table["is_query"], is_query))
-        ids = t["vec_id"].to_numpy()
-        flat = t["vector"].combine_chunks()
-        flat = flat.flatten().to_numpy(zero_copy_only=False) if len(ids) else np.zeros(0)
-        m = flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
-        order = np.argsort(ids, kind="stable")
-        return ids[order], m[order]
+class Lists:
+    """The k best candidates so far of every query (rows of a matrix of whole numbers)."""
 
-    (qi, q), (ci, c) = part(True), part(False)
-    out = []
-    for at in range(0, len(qi) if len(ci) else 0, 256):
-        s = products(q[at : at + 256], c)
-        r, j = best(s, ci, qi[at : at + 256], k)
-        out.append((qi[at : at + 256][r], ci[j], s[r, j]))
-    got = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-    return pa.table({"query_id": got[0], "cblock": np.full(len(got[0]), table["cblock"][0].as_py(), np.int32), "vec_id": got[1], "score": got[2]})
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.own, self.vectors, self.k = ids, vectors, k
+        self.ids, self.scores, self.full = np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k), bool)
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """One tile: all queries against these candidates."""
+        for at in range(0, len(self.own), QUERY_BLOCK):
+            q = slice(at, at + QUERY_BLOCK)
+            s = products(self.vectors[q], vectors)
+            r, j = best(s, np.broadcast_to(ids, s.shape), ids[None] != self.own[q, None], self.k)
+            n = np.bincount(r, minlength=len(s))
+            place = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
+            both = [np.hstack([old[q], np.zeros((len(s), self.k), old.dtype)]) for old in (self.ids, self.scores, self.full)]
+            both[0][r, self.k + place], both[1][r, self.k + place], both[2][r, self.k + place] = ids[j], s[r, j], True
+            r, j = best(both[1], both[0], both[2], self.k)
+            n = np.bincount(r, minlength=len(s))
+            place = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
+            self.full[q] = False
+            for target, source in ((self.ids, both[0]), (self.scores, both[1]), (self.full, both[2])):
+                target[at + r, place] = source[r, j]
+
+    def batch(self, part: int) -> pa.RecordBatch:
+        r, j = np.nonzero(self.full)
+        return pa.record_batch({"query_id": self.own[r], "cblock": pa.array(np.full(len(r), part), pa.int32()), "vec_id": self.ids[r, j], "score": self.scores[r, j]})
+
+
+def matrices(table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors by length."""
+    vectors, out = table["vector"], {}
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    ids, sizes = table["vec_id"].to_numpy(), pc.list_value_length(vectors).to_numpy()
+    for dim in np.unique(sizes).tolist():
+        some = np.flatnonzero(sizes == dim)
+        out[dim] = ids[some], vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), dim)
+    return out
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score (inner product of floor(scale * x)) of the k best of every query."""
-    common.prepare(vectors.sparkSession)
-    v = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("double"))
-    sound = F.coalesce(F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
-    rows = common.columns(vectors, id_col, vector_col).filter(F.col(id_col).isNotNull() & sound & (F.size(vector_col) > 0)).select(
-        F.col(id_col).cast("long").alias("vec_id"), v.alias("vector"), F.size(vector_col).alias("dim"), is_query.alias("asks")
+    spark = common.prepare(vectors.sparkSession)
+    v = F.transform(F.col(f"`{vector_col}`"), lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("double"))
+    sound = F.coalesce(F.forall(F.col(f"`{vector_col}`"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
+    rows = common.columns(vectors, id_col, vector_col).filter(F.col(f"`{id_col}`").isNotNull() & sound & (F.size(f"`{vector_col}`") > 0)).select(
+        F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("vector"), is_query.alias("asks")
     )
     rows = common.keep(rows, "topk")
-    n, asks = rows.agg(F.count(F.lit(1)), F.sum(F.col("asks").cast("long"))).first()
-    q_blocks, c_blocks = max(1, -(-(asks or 0) // QUERY_BLOCK)), max(1, -(-n // CANDIDATE_BLOCK))
-    place = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
-    candidates = rows.select("vec_id", "vector", "dim", F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qblock"), place(c_blocks, 1).alias("cblock"))
-    queries = rows.filter("asks").select("vec_id", "vector", "dim", F.lit(True).alias("is_query"), place(q_blocks, 2).alias("qblock"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cblock"))
-    tiles = queries.unionByName(candidates)
-    lists = tiles.groupBy("dim", "qblock", "cblock").applyInArrow(lambda t: tile(t, k), "query_id long, cblock int, vec_id long, score long")
+    asking = rows.filter("asks").select("vec_id", "vector")
+    size = asking.agg(F.coalesce(F.sum(8 * (F.size("vector") + 2)), F.lit(0))).first()[0]
+    chunks, lists = max(1, -(-size // CHUNK_BYTES)), None
+    chunk = F.pmod(F.xxhash64("vec_id"), F.lit(chunks))
+
+    def walk(shared):
+        def go(batches):
+            found = {dim: Lists(*q, k) for dim, q in shared.value.items()}
+            for b in batches:
+                for at in range(0, b.num_rows, CANDIDATE_BLOCK):
+                    for dim, (ids, vectors) in matrices(b.slice(at, CANDIDATE_BLOCK)).items():
+                        if dim in found:
+                            found[dim].meet(ids, vectors)
+            for each in found.values():
+                yield each.batch(TaskContext.get().partitionId())
+
+        return go
+
+    for c in range(chunks):
+        shared = spark.sparkContext.broadcast(matrices(asking.filter(chunk == c).toArrow()))
+        part = common.keep(rows.select("vec_id", "vector").mapInArrow(walk(shared), "query_id long, cblock int, vec_id long, score long"), "toplists")
+        shared.unpersist()
+        lists = part if lists is None else lists.unionByName(part)
     rank = lambda *by: F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "vec_id"))
-    while c_blocks > FAN:
-        c_blocks = -(-c_blocks // FAN)
+    parts = (lists.agg(F.max("cblock")).first()[0] or 0) + 1
+    while parts > FAN:
+        parts = -(-parts // FAN)
         lists = lists.withColumn("cblock", F.floor(F.col("cblock") / FAN).cast("int")).withColumn("rank", rank("cblock")).filter(F.col("rank") <= k).drop("rank")
     return lists.withColumn("rank", rank()).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
