@@ -6,16 +6,19 @@ where each part begins.  Looking up a key hashes it to a bucket, reads the bucke
 and so knows the key's slot at once; the fingerprint there tells strange keys from stored ones.
 
 Files go to the shared folder under a temporary name and are renamed when whole, so a task that is
-run again, or twice, leaves one whole file.  The manifest (one row for each shard) gives the order.
+run again, or twice, leaves one whole file.  The manifest, a table with one row for each shard, gives
+the order; the ids before each shard are summed over blocks of shards, then within them.
 
 Defined results: a null text is an empty document, which still has its end id; null ids come first
-and are found by scans only; records that repeat an id lie side by side under one index entry; an
-empty table gives an empty result; columns other than id and text are not read.
+and are found by scans only; records that repeat an id lie side by side, in order of their texts'
+checksums, under one index entry of each shard they reach into; ids that don't fit ``width`` bytes
+are an error; an empty table gives an empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -25,13 +28,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, wordtok
 
 MAGIC, END = b"PLMBIDS1", 1
 BUCKET = 4
+SHARDS_OF_BLOCK = 4_096
 SINGLE = np.int64(1) << np.int64(40)
 
 
@@ -88,11 +92,16 @@ def build(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shift, slot
 
 
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path; Spark's name for the store of objects is pyarrow's under another scheme."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
 class ShardWriter:
     """Appends records in ascending order of key; ``close`` adds the index."""
 
     def __init__(self, uri: str, width: int):
-        self.fs, self.path = pafs.FileSystem.from_uri(uri)
+        self.fs, self.path = opened(uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.temporary = f"{self.path}.{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.temporary)
@@ -132,7 +141,7 @@ class Shard:
     uri: str
 
     def __post_init__(self):
-        fs, path = pafs.FileSystem.from_uri(self.uri)
+        fs, path = opened(self.uri)
         self.file = fs.open_input_file(path)
         size = self.file.size()
         tail = self.file.read_at(16, size - 16)
@@ -158,6 +167,16 @@ class Shard:
         a, b = int(self.offsets[record]), int(self.offsets[record + 1])
         return np.frombuffer(self.file.read_at((b - a) * w, a * w), f"<u{w}")
 
+    def runs(self, size: int = 16_000_000):
+        """(first record, end record, raw ids) of all records in order, read in ranges of about ``size`` bytes."""
+        w, at, n = self.head["width"], 0, self.head["records"]
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(self.offsets, self.offsets[at] + size // w, "right")) - 1)
+            to = min(to, n)
+            a, b = int(self.offsets[at]), int(self.offsets[to])
+            yield at, to, np.frombuffer(self.file.read_at((b - a) * w, a * w), f"<u{w}")
+            at = to
+
     def get(self, key: int) -> list[np.ndarray]:
         first, n = self.find(np.array([key], np.int64))
         return [self.ids(r) for r in range(int(first[0]), int(first[0] + n[0]))]
@@ -166,8 +185,8 @@ class Shard:
 MANIFEST = "shard int, uri string, records long, ids long, first_id long, last_id long"
 
 
-def write(docs: DataFrame, folder: str, shards: int, vocabulary: str | None = None, end: int = END, width: int = 2) -> list:
-    """Encode all documents and write the shards in ascending order of doc_id; returns the manifest's rows."""
+def write(docs: DataFrame, folder: str, shards: int, vocabulary: str | None = None, end: int = END, width: int = 2) -> DataFrame:
+    """Encode all documents and write the shards in ascending order of doc_id; returns the manifest."""
     common.prepare(docs.sparkSession)
     vocabulary = vocabulary or wordtok.default_vocabulary()
 
@@ -180,7 +199,7 @@ def write(docs: DataFrame, folder: str, shards: int, vocabulary: str | None = No
             uri = f"{folder}/shard-{shard:06d}.ids"
             writer = writer or ShardWriter(uri, width)
             offsets, ids = encoder.encode(b["text"])
-            if len(ids) and int(ids.max()) >= 1 << (8 * width):
+            if max(int(ids.max(initial=0)), end) >= 1 << (8 * width):
                 raise ValueError("ids don't fit the width")
             writer.add(b["doc_id"], np.diff(offsets) + 1, np.insert(ids, offsets[1:], end))
             ends += [b["doc_id"][0].as_py(), b["doc_id"][-1].as_py()]
@@ -188,18 +207,20 @@ def write(docs: DataFrame, folder: str, shards: int, vocabulary: str | None = No
             head = writer.close()
             yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "uri": [uri], "records": [head["records"]], "ids": [head["ids"]], "first_id": pa.array([ends[0]], pa.int64()), "last_id": pa.array([ends[-1]], pa.int64())})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranged = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32(F.encode("text", "UTF-8")))
-    return sorted(ranged.mapInArrow(go, MANIFEST).collect())
+    rows = common.row_ids(docs).select("doc_id", "rid", "text", F.crc32(F.encode("text", "UTF-8")).alias("crc"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("crc").asc_nulls_first(), F.col("rid").asc()]  # a repeated id may reach over shards
+    ranged = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    return common.keep(ranged.mapInArrow(go, MANIFEST), "manifest")
 
 
-def read(spark: SparkSession, manifest: list) -> DataFrame:
+def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every record, each found through the index of its shard's file."""
     common.prepare(spark)
-    start, rows = 0, []
-    for r in manifest:
-        rows.append((r.uri, start))
-        start += r.ids
+    blocked = manifest.withColumn("block", F.floor(F.col("shard") / SHARDS_OF_BLOCK))
+    totals = blocked.groupBy("block").agg(F.sum("ids").alias("total"))
+    bases = totals.select("block", F.coalesce(F.sum("total").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("ids").over(Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    table = common.keep(blocked.withColumn("inside", inside).join(bases, "block").select("uri", (F.col("base") + F.col("inside")).alias("before")), "places")
 
     def go(batches):
         for b in batches:
@@ -210,17 +231,21 @@ def read(spark: SparkSession, manifest: list) -> DataFrame:
                 first, n = shard.find(known)
                 if int(n.sum()) + nulls != shard.head["records"]:
                     raise ValueError(f"the index of {uri} misses records")
-                record = np.concatenate([np.arange(nulls), np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]).astype(np.int64)
-                for at in range(0, len(record), 20_000):
-                    part = record[at : at + 20_000]
-                    crc = [zlib.crc32(shard.ids(k).astype("<u4").tobytes()) for k in part.tolist()]
+                place = np.concatenate([np.arange(nulls), np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]).astype(np.int64)
+                if (place != np.arange(len(place))).any():
+                    raise ValueError(f"the index of {uri} leads to other records")
+                for at, to, raw in shard.runs():
+                    part, ends = np.arange(at, to), shard.offsets[at : to + 1] - shard.offsets[at]
+                    data = memoryview(np.ascontiguousarray(raw, "<u4")).cast("B") if len(raw) else b""
+                    crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                     keys = pa.array(shard.record_keys[part], pa.int64(), mask=part < nulls)
-                    yield pa.record_batch({"doc_id": keys, "start": before + shard.offsets[part], "n_tokens": shard.offsets[part + 1] - shard.offsets[part], "ids_crc32": pa.array(crc, pa.int64())})
+                    yield pa.record_batch({"doc_id": keys, "start": before + shard.offsets[part], "n_tokens": np.diff(ends), "ids_crc32": pa.array(crc, pa.int64())})
 
     shape = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    table = spark.createDataFrame(rows, "uri string, before long")
-    return table.repartition(max(1, len(rows))).mapInArrow(go, shape)
+    return table.repartition(max(1, table.count())).mapInArrow(go, shape)
 
 
-def shard_count(docs: DataFrame, per_shard: int = 20_000) -> int:
-    return max(1, -(-docs.count() // per_shard))
+def shard_count(docs: DataFrame, rows: int = 20_000, size: int = 64_000_000) -> int:
+    """Shards of at most about so many records and bytes of text."""
+    n, b = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return max(1, -(-n // rows), -(-b // size))
