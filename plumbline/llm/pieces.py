@@ -10,7 +10,10 @@ For a unigram vocabulary the best path has the largest sum of scores.  For a byt
 every two neighbouring pieces are what merging yields for their joint text; exactly one path to
 each position is, and it is the merge result.  The lattice, the window and the commits are the same.
 
-No piece joins two words, so each distinct word of a batch is walked once.
+In this vocabulary no piece joins two words or lines, so at the end of every word all paths meet in
+one boundary and what lies before is committed.  What lies between two such boundaries is walked once
+and remembered, in a memory of bounded size; vocabularies whose pieces cross spaces are walked over
+whole texts.  Inside a word, however long, the window and the commits bound what is held.
 
 Defined results: null and empty texts have no ids; characters outside the vocabulary become byte
 pieces (or the unknown id, if there are none); repeated texts get equal ids; an empty table gives an
@@ -121,7 +124,7 @@ class Viterbi:
     def neighbours(self, a: str, b: str) -> bool:
         found = self.fits.get((a, b))
         if found is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
             found = self.fits[a, b] = self.merged(a + b) == [a, b]
         return found
@@ -180,7 +183,7 @@ class Viterbi:
 class Codec:
     """Encodes and decodes batches."""
 
-    def __init__(self, path: str, cache_words: int = 1_500_000):
+    def __init__(self, path: str, cache_words: int = 600_000):
         self.p = Pieces(path)
         self.v = Viterbi(self.p)
         self.cache = RaggedCache(lambda words: [self.v.encode(w) for w in words], cache_words)
