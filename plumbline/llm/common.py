@@ -102,6 +102,28 @@ def restored(rows: DataFrame, docs: DataFrame, **changed: Column | None) -> Data
     return rows.select(*[(changed[c] if changed.get(c) is not None else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
+#: A key that holds more than this part of all rows is hot; fewer keys than HOT_PARTS can be.
+HOT_PARTS = 1_000
+
+
+def split_join(rows: DataFrame, table: DataFrame, keys: list[str], place: list[str], parts: int | None = None) -> DataFrame:
+    """``rows`` with the struct ``v`` of their key; ``table`` has one row for each key with ``v`` and its number of rows, ``copies``.
+
+    Hot keys, of which there are fewer than ``parts`` by counting, are broadcast, and their rows are dealt by
+    the columns ``place``; all others meet by a shuffle on the key.
+    """
+    parts = parts or HOT_PARTS
+    bound = table.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] // parts
+    names = [f"key_{i}" for i in range(len(keys))]
+    hot = table.filter(F.col("copies") > max(bound, 1)) if bound else table.limit(0)
+    rest = table.filter(F.col("copies") <= max(bound, 1)) if bound else table
+    met = rows.join(F.broadcast(hot.select(*keys, F.col("v").alias("hot"))), keys, "left").withColumn("cold", F.col("hot").isNull())
+    for i, (k, name) in enumerate(zip(keys, names, strict=True)):
+        met = met.withColumn(name, F.when(F.col("cold"), F.col(k)).otherwise(F.pmod(F.xxhash64(F.lit(i), *place), F.lit(2**31 - 1)).cast(table.schema[k].dataType)))
+    rest = rest.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.lit(True).alias("cold"), F.col("v").alias("rest"))
+    return met.join(rest, [*names, "cold"], "left").select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce("hot", "rest").alias("v"))
+
+
 def join_dimension(df: DataFrame, dim: DataFrame, key: str, how: str = "left", rows: int | None = None) -> DataFrame:
     """Join a table with one row for each key: broadcast behind a row count, else a shuffle that Spark may split."""
     n = dim.count() if rows is None else rows

@@ -26,11 +26,11 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(pairs: DataFrame, limit: int = 100) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """node and its component's least node, for the nodes of ``pairs`` (u, v) that aren't the least themselves."""
     edges = pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = common.keep(edges, "edges"), None
-    for _ in range(limit):
+    while True:
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if mark == before:
             break

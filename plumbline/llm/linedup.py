@@ -11,8 +11,8 @@ letter parities, then verified by banded bit-parallel edit distance.  Forms of f
 A line is dropped if an equal line, or one linked with it, comes earlier in (doc_id, row, line
 number) order; rows are told apart by a key of their own.  Forms are told apart by 96 bits of hash.
 
-Hot keys: a form that fills more than a ``1 / HOT_PARTS`` part of all lines (fewer than ``HOT_PARTS``
-forms can) is broadcast with its verdict and its lines stay where they are.  A segment that more than
+Hot keys: a form that fills more than a thousandth of all lines (fewer than a thousand forms can) is
+broadcast with its verdict and its lines are dealt evenly.  A segment that more than
 ``HOT_SEGMENT`` probes share is cut by hash: its probes are dealt to several tasks, each of which
 sees all index rows of the segment.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 EDITS, PER_EDIT = 2, 16
-HOT_PARTS, HOT_SEGMENT = 1_000, 4_096
+HOT_SEGMENT = 4_096
 BLANK = r"' \t\r' || chr(12) || chr(11)"  # SQL text has no escape for a form feed
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -216,22 +216,10 @@ def verdicts(rows: DataFrame) -> DataFrame:
     return named.drop("form").join(near, ["h1", "h2"], "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
 
 
-def with_verdicts(each: DataFrame, found: DataFrame) -> DataFrame:
-    """Every line with its form's verdict (struct ``v``); forms that fill a large part of all lines are broadcast, the rest shuffled."""
-    found = common.keep(found.select("h1", "h2", "copies", F.struct("first", "near", "n_links").alias("v")), "lineverdicts")
-    bound = (found.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]) // HOT_PARTS
-    hot = found.filter(F.col("copies") > bound).filter(F.col("copies") > 1) if bound else found.limit(0)
-    rest = found.filter(F.col("copies") <= bound) if bound else found
-    met = each.join(F.broadcast(hot.select("h1", "h2", F.col("v").alias("hot"))), ["h1", "h2"], "left")
-    own = F.when(F.col("hot").isNull(), F.col("h1")).otherwise(F.xxhash64("doc_id", "rid", "line_no"))
-    met = met.withColumn("k1", own).withColumn("k2", F.when(F.col("hot").isNull(), F.col("h2")).otherwise(F.hash("line_no", "rid"))).withColumn("cold", F.col("hot").isNull())
-    rest = rest.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.lit(True).alias("cold"), F.col("v").alias("rest"))
-    return met.join(rest, ["k1", "k2", "cold"], "left").select("doc_id", "rid", "line_no", F.coalesce("hot", "rest").alias("v"))
-
-
 def classes(rows: DataFrame) -> DataFrame:
     """Every line of doc_id, rid, text with its verdict and whether it stays."""
-    out = with_verdicts(lines(rows).drop("form"), verdicts(rows))
+    found = common.keep(verdicts(rows).select("h1", "h2", "copies", F.struct("first", "near", "n_links").alias("v")), "lineverdicts")
+    out = common.split_join(lines(rows).drop("form"), found, ["h1", "h2"], ["doc_id", "rid", "line_no"])
     here, first, near = F.struct("doc_id", "rid", "line_no"), F.col("v.first"), F.col("v.near")
     return out.select("doc_id", "rid", "line_no", first.alias("first"), near.alias("near"), F.col("v.n_links").alias("n_links"), ((here == first) & (near.isNull() | (first < near))).alias("kept"))
 

@@ -11,12 +11,17 @@ node gets ``HASHES`` minima of universal hashes; the minima in bands give bucket
    components come out.  Then components are made again.
 
 So every pair that shares a bucket is either inside one component already or compared; no bucket is
-capped, and none is a single task.  Sets are made only for documents in such pairs: a bit map of
-bounded size, built from the pairs, marks them for the second scan (strays do no harm).
+capped, and none is a single task.  Blocks are bounded by rows and by the bytes of their sets.  Sets
+are made only for documents in such pairs: a bit map that grows with them, up to a bound, marks them
+for the second scan (strays do no harm).  A word sequence that fills more than a thousandth of all
+rows is broadcast with its component, so that its copies aren't one task.
 
 Defined results: texts without words are linked with nothing; with fewer words than a shingle the
-whole sequence is one; rows that repeat an id are one document; rows without an id get no
-component and stay; an empty table gives an empty result; columns other than id and text are not read.
+whole sequence is one; every row is a document of its own, also where rows repeat an id: a component
+is known by the least id in it; a row without an id takes part, and has no component id where no row
+of its component has one; the filter keeps the first row of each component (by id, rows without an id
+last, then in an order fixed by the files); an empty table gives an empty result; columns other than
+id and text are not read, and the filter keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,8 +40,9 @@ HASHES, BANDS, WORDS = 128, 32, 5
 LEAST = 0.75
 #: Signatures of a pair at LEAST agree in a smaller part than this with probability below 1e-4.
 AGREE = LEAST - 4 * (LEAST * (1 - LEAST) / HASHES) ** 0.5
-BLOCK = 2048
-MAP_BITS = 25
+#: Rows and bytes of sets of a block; bits of the map of documents whose sets are made (its size follows their number).
+BLOCK, BLOCK_BYTES = 2_048, 16_000_000
+LEAST_BITS, MOST_BITS = 20, 28
 
 
 def constants(n: int, seed: int) -> np.ndarray:
@@ -95,7 +101,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (d1, d2; null without words), n_shingles, signature."""
+    """doc_id, rid, digest (d1, d2; null without words), n_shingles, signature."""
 
     def go(batches):
         for batch in batches:
@@ -116,6 +122,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch(
                     {
                         "doc_id": batch["doc_id"].slice(at, len(texts)),
+                        "rid": batch["rid"].slice(at, len(texts)),
                         "d1": pa.array(two[:, 0], mask=none),
                         "d2": pa.array(two[:, 1], mask=none),
                         "n_shingles": pa.array([size[k] if k >= 0 else 0 for k in mine], pa.int64()),
@@ -124,7 +131,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 )
                 at += len(texts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(go, "doc_id long, d1 long, d2 long, n_shingles long, sig binary")
+    return docs.select("doc_id", "rid", "text").mapInArrow(go, "doc_id long, rid long, d1 long, d2 long, n_shingles long, sig binary")
 
 
 def with_bands(nodes: DataFrame) -> DataFrame:
@@ -153,24 +160,25 @@ def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(go, "a long, b long")
 
 
-def positions(ids: np.ndarray) -> list[np.ndarray]:
+def positions(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     h = common.mix64(ids.astype(np.int64).view(np.uint64))
-    return [((h >> np.uint64(s)) & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64) for s in (0, 20, 39)]
+    return [((h >> np.uint64(s)) & np.uint64((1 << bits) - 1)).astype(np.int64) for s in (0, 18, 36)]
 
 
-def bit_map(ids: DataFrame) -> np.ndarray:
-    """A map of 2**MAP_BITS bits with three set for every id, put together by the executors."""
+def bit_map(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A map with three bits set for every id, put together by the executors, and the logarithm of its size: about 16 bits an id, within bounds."""
+    size = min(max(LEAST_BITS, (16 * ids.count()).bit_length()), MOST_BITS)
 
     def go(batches):
         for b in batches:
-            at = np.unique(np.concatenate(positions(b["id"].to_numpy())))
+            at = np.unique(np.concatenate(positions(b["id"].to_numpy(), size)))
             word, one = at >> 6, np.uint64(1) << (at & 63).astype(np.uint64)
             yield pa.record_batch({"word": word, "bits": one.view(np.int64)})
 
     rows = ids.mapInArrow(go, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out = np.zeros(1 << (size - 6), np.int64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return out.view(np.uint64)
+    return out.view(np.uint64), size
 
 
 def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -181,16 +189,17 @@ def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             at = 0
             for texts in slices(batch["text"], 2_000_000):
-                ids = batch["doc_id"].slice(at, len(texts)).fill_null(0).to_numpy()
+                ids = batch["rid"].slice(at, len(texts)).to_numpy()
                 hit = np.ones(len(ids), bool)
-                for p in positions(ids):
-                    hit &= (marks.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+                marked, size = marks.value
+                for p in positions(ids, size):
+                    hit &= (marked[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
                 at += len(texts)
                 if hit.any():
                     found, _ = shingles(texts.filter(pa.array(hit)))
                     yield pa.record_batch({"id": ids[hit], "hashes": pa.array([np.unique(s).tobytes() for s in found], pa.binary())})
 
-    return common.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "id long, hashes binary"), "sets")
+    return common.keep(docs.select("rid", "text").mapInArrow(sets, "id long, hashes binary"), "sets")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -211,11 +220,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def dealt(members: DataFrame) -> DataFrame:
-    """Members of buckets (key, m, id, component, ...) copied to the tiles of two blocks that they belong to, tile by tile."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
+    """Members of buckets (key, m, size, id, component, ...) copied to the tiles of two blocks that they belong to, tile by tile.
+
+    m and size are the rows and the bytes of the bucket.
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")
     rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    return rows.drop("blocks", "other", "m").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return rows.drop("blocks", "other", "m", "size").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
 
 def each_tile(batches):
@@ -310,12 +322,12 @@ def linked(members: DataFrame) -> DataFrame:
     return dealt(members).mapInArrow(go, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
-    common.prepare(docs.sparkSession)
-    docs = common.columns(docs, "doc_id", "text")
+def grouped(docs: DataFrame) -> DataFrame:
+    """Every row of doc_id, rid, text with n_shingles and ``v``: the component's least id and its first row."""
     rows = common.keep(describe(docs), "minhash")
-    nodes = common.keep(rows.filter("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "nodes")
+    here = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
+    nodes = rows.filter("d1 is not null").groupBy("d1", "d2").agg(F.min("rid").alias("id"), F.count(F.lit(1)).alias("copies"), F.min(here).alias("place"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    nodes = common.keep(nodes, "nodes")
     bands = common.keep(with_bands(nodes), "bands")
     buckets = bands.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     shared = common.keep(bands.join(buckets, "key"), "buckets")
@@ -326,21 +338,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     labelled = shared.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    members = labelled.join(mixed, "key").join(nodes, "id").select("key", "m", "id", "component", "n_shingles", "sig")
+    members = labelled.join(mixed, "key").join(nodes, "id").select("key", "m", (F.col("m") * (4 * HASHES)).alias("size"), "id", "component", "n_shingles", "sig")
     second = common.keep(involved(members), "involved")
-    counts = second.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    few = second.join(counts, "key").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    few = few.join(nodes.select("id", "n_shingles", "sig"), "id").join(full_sets(second.select("id").distinct(), docs), "id")
-    more = linked(few.select("key", "m", "id", "component", "n_shingles", "sig", "hashes"))
+    few = second.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    few = few.join(nodes.select("id", "n_shingles", "sig"), "id")
+    counts = few.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(8 * F.col("n_shingles") + 4 * HASHES).alias("size"))
+    few = few.join(counts, "key").join(full_sets(second.select("id").distinct(), docs), "id")
+    more = linked(few.select("key", "m", "size", "id", "component", "n_shingles", "sig", "hashes"))
     whole = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
     final = components.components(whole)
-    ids = nodes.select("d1", "d2", "id").join(final.select(F.col("node").alias("id"), "component"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("group"))
-    out = rows.select("doc_id", "d1", "d2", "n_shingles").join(ids, ["d1", "d2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    labels = nodes.select("d1", "d2", "id", "copies", "place").join(final.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    heads = labels.groupBy("component").agg(F.min("place").alias("head"))
+    table = common.keep(labels.join(heads, "component").select("d1", "d2", "copies", F.struct(F.col("head.doc_id").alias("component_id"), F.col("head.rid").alias("first")).alias("v")), "groups")
+    return common.split_join(rows.select("doc_id", "rid", "n_shingles", "d1", "d2"), table, ["d1", "d2"], ["rid"])
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id in reach) and kept (whether that is the row's own) of every row."""
+    common.prepare(docs.sparkSession)
+    out = grouped(common.row_ids(docs).select("doc_id", "rid", "text"))
+    component = F.coalesce("v.component_id", "doc_id")
+    kept = F.when(F.col("doc_id").isNull(), F.coalesce(F.col("v.first") == F.col("rid"), F.lit(True))).otherwise(F.col("doc_id") == component)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """One document of each component, with the columns of ``docs``."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """The first row of each component, with the columns of ``docs``."""
+    common.prepare(docs.sparkSession)
+    rows = common.row_ids(docs)
+    gone = grouped(rows.select("doc_id", "rid", "text")).filter(F.col("v.first") != F.col("rid")).select("rid")
+    return common.restored(rows.join(gone, "rid", "left_anti"), docs)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import components, neardup, sharding, topk
+from plumbline.llm import common, components, neardup, sharding, topk
 
 from .helpers import ascii_lower, corpus, empty, frame, words
 
@@ -110,6 +110,56 @@ def test_near_duplicates_of_nothing(spark):
     assert all(r.kept for r in rows) and len(rows) == 2
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_near_filter_keeps_one_row_of_each_component(spark, monkeypatch, hot):
+    """By rows, not ids: ids may repeat or be missing, and no column's name does harm."""
+    if hot:
+        monkeypatch.setattr(common, "HOT_PARTS", 3)
+        monkeypatch.setattr(neardup, "BLOCK_BYTES", 4_000)
+    texts = [t for _, t, *_ in corpus(60)]
+    docs = [(4, texts[1]), (4, texts[2]), (9, texts[1]), (4, texts[1]), (None, texts[1]), (None, texts[12]), (None, texts[12]), (2, texts[13] + " and more"), (3, texts[13]), (8, None), (8, None), (5, ""), *[(20 + i, texts[14]) for i in range(40)], (1, texts[14] + " x")]
+    docs = [(d, t, "en", "s", 1) for d, t in docs]
+    df = frame(spark, docs).coalesce(1).selectExpr("*", "1 AS gone_id", "2 AS rid", "3 AS v", "4 AS first")
+    out = neardup.filter_documents(df)
+    assert out.columns == df.columns
+    want = Counter([(4, texts[1]), (4, texts[2]), (None, texts[12]), (2, texts[13] + " and more"), (8, None), (8, None), (5, ""), (1, texts[14] + " x")])
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == want
+    ids = Counter((r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect())
+    assert ids[(9, 4)] == 1 and ids[(None, 4)] == 1 and ids[(None, None)] == 2 and ids[(3, 2)] == 1 and ids[(21, 1)] == 1
+
+
+def test_near_duplicates_of_thousands(spark):
+    """Recall over documents at many similarities, against all pairs found by an index of shingles."""
+    rnd = random.Random(12)
+    docs = []
+    for i in range(500):
+        base = [f"w{rnd.randrange(10**5)}" for _ in range(rnd.randint(40, 160))]
+        for k in range(rnd.choice([1, 3, 8])):
+            w = list(base)
+            for _ in range(rnd.randint(0, max(1, len(w) // 20))):
+                w[rnd.randrange(len(w))] = f"v{rnd.randrange(10**6)}"
+            docs.append((len(docs), " ".join(w), "en", "s", 1))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t, *_ in docs}
+    met = {}
+    for d, s in sets.items():
+        for g in s:
+            met.setdefault(g, []).append(d)
+    up = {d: d for d in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in {(x, y) for m in met.values() for x in m for y in m if x < y}:
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            p, q = top(a), top(b)
+            up[max(p, q)] = min(p, q)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    wrong = [d for d in sets if got[d] != top(d)]
+    assert len(docs) > 1_500 and len(wrong) <= 0.002 * len(docs)
+
+
 def test_components(spark):
     rnd = random.Random(7)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]

@@ -148,7 +148,7 @@ def line_corpus(seed=4):
 @pytest.mark.parametrize("hot", [False, True])
 def test_line_classes(spark, monkeypatch, tmp_path, hot):
     if hot:
-        monkeypatch.setattr(linedup, "HOT_PARTS", 40)
+        monkeypatch.setattr(common, "HOT_PARTS", 40)
         monkeypatch.setattr(linedup, "HOT_SEGMENT", 3)
     docs = line_corpus()
     want = line_rule(docs)
@@ -234,22 +234,32 @@ def test_cuts_are_optimal():
         assert chosen[-1] == 25 and cost == best[25]
 
 
-def test_id_store(spark, tmp_path):
-    docs = corpus()
-    manifest = idstore.write(frame(spark, docs), f"file://{tmp_path}/ids", 3)
-    got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in idstore.read(spark, manifest).collect()), key=lambda r: r[1])
+@pytest.mark.parametrize("block", [4096, 2])
+def test_id_store(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(idstore, "SHARDS_OF_BLOCK", block)
+    docs = [*corpus(), *[(3, f"other words {i}", "en", "s", 1) for i in range(30)], (None, "no id", "en", "s", 1), (None, None, "en", "s", 1)]
+    table = idstore.write(frame(spark, docs), f"file://{tmp_path}/ids", 5)
+    manifest = table.orderBy("shard").collect()
+    got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in idstore.read(spark, table).collect()), key=lambda r: r[1])
     at, want = 0, []
-    for d, text, *_ in sorted(docs, key=lambda r: r[0]):
+    crc = lambda t: -1 if t is None else zlib.crc32(t.encode())
+    for d, text, *_ in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, crc(r[1]))):
         x = ids_of(text, 1)
         want.append((d, at, len(x), zlib.crc32(x.tobytes())))
         at += len(x)
     assert got == want
-    shard = idstore.Shard(manifest[0].uri)
-    assert shard.get(int(manifest[0].first_id))[0][-1] == 1 and len(shard.get(3)) == 2
-    assert sum(len(shard.get(k)) for k in range(10**6, 10**6 + 200)) == 0
+    opened = [idstore.Shard(m.uri) for m in manifest]
+    assert sum(len(s.get(3)) for s in opened) == 32 and opened[-1].get(int(manifest[-1].last_id))[0][-1] == 1
+    assert sum(len(opened[0].get(k)) for k in range(10**6, 10**6 + 200)) == 0
+    assert [x for s in opened for a, b, raw in s.runs(64) for x in raw.tolist()] == [i for d, text, *_ in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, crc(r[1]))) for i in ids_of(text, 1).tolist()]
     assert idstore.read(spark, idstore.write(empty(spark), f"file://{tmp_path}/none", 2)).count() == 0
 
 
+def test_ids_beyond_the_width_are_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="fit the width"):
+        idstore.write(frame(spark, corpus()), f"file://{tmp_path}/ids", 1, width=1)
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 5000))
     shift, slot = idstore.build(keys)
