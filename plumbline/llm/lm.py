@@ -395,7 +395,7 @@ def score(docs: DataFrame, out: Column | None = None) -> DataFrame:
                 yield pa.record_batch([b[c] for c in KEPT] + [pa.array(lm)], names=[*KEPT, "lm"])
 
     vocab_end = vocab.end
-    scored = texts.drop("tail").mapInArrow(add_up, "rid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, other_logs double, lm double")
+    scored = common.keep(texts.drop("tail").mapInArrow(add_up, "rid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, other_logs double, lm double"), "lm-scores")
     rare = texts.select("rid", F.explode("tail").alias("word")).join(counts.filter(F.col("c") < least), "word")
     found = rare.groupBy("rid").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("tail_logs"))
     more, tail_logs = F.coalesce("more", F.lit(0)), F.coalesce("tail_logs", F.lit(0.0))
