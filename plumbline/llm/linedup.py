@@ -101,11 +101,11 @@ def index_rows(named: DataFrame) -> DataFrame:
     return out
 
 
-def probe_rows(named: DataFrame, level: bool) -> DataFrame:
-    """A row for each substring that can hold a segment of a form of equal length (``level``) or of a shorter one."""
+def probe_rows(named: DataFrame) -> DataFrame:
+    """A row for each substring that can hold a segment of another form, but for those that are segments of the form itself."""
     out = None
     for edits in range(1, EDITS + 1):
-        keys = [segment_key(edits, d, i, s) for d, i, s in windows(edits) if (d == 0) == level]
+        keys = [segment_key(edits, d, i, s) for d, i, s in windows(edits) if (d, s) != (0, 0)]
         rows = segments(named.filter(span(edits)[0]), edits).select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -123,26 +123,30 @@ def spread(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
 def candidates(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a1, a2), (b1, b2) of forms that share a segment and pass the parity bound; and the forms that take part.
 
-    First only the probes and index rows that meet another form are found, by semi-joins, which
-    give no pairs.  Letter parities are then computed for the forms behind them alone, and the
-    pairs are made under the parity bound, so a segment that many forms share gives few of them.
+    First only the probes and index rows that meet another form are found: by a count of the index's
+    own keys, and for all other probes by a semi-join; neither gives pairs.  Letter parities are then
+    computed for the forms behind them alone, and the pairs are made under the parity bound, so a
+    segment that many forms share gives few of them.
     """
     long = named.select("h1", "h2", "form", F.char_length("form").alias("n"))
-    index = index_rows(long)
+    index = common.keep(index_rows(long), "linesegments")
     other = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
-    halves = [  # one after the other, so that the disk holds the probes of one alone
-        common.keep(probe_rows(long, level).join(index.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & other, "left_semi"), "lineprobes").withColumn("level", F.lit(level))
-        for level in (True, False)
-    ]
-    live_a = halves[0].unionByName(halves[1])
+    as_probe = lambda rows: rows.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), "key")
+    twice = index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    level = common.keep(as_probe(index.join(twice, "key", "left_semi")), "lineprobes")
+    moved = common.keep(probe_rows(long).join(index.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & other, "left_semi"), "lineprobes")
+    live_a = level.unionByName(moved)
     live_b = common.keep(index.join(live_a.select("key").distinct(), "key", "left_semi"), "lineindex")
+    common.forget(index)
     part = live_a.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).unionByName(live_b.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).distinct()
     few = common.keep(named.join(part, ["h1", "h2"]).select("h1", "h2", "form", "first"), "lineforms")
-    bits = common.keep(few.select("h1", "h2", F.lower("form").alias("low")).select("h1", "h2", F.expr(parities()).alias("bits")), "linebits")
+    bits = few.select("h1", "h2", F.char_length("form").alias("n"), F.lower("form").alias("low")).select("h1", "h2", "n", F.expr(parities()).alias("bits"))
+    bits = common.keep(bits, "linebits")
     cut_a, cut_b = spread(live_a, live_b)
-    a = cut_a.join(bits.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("bits").alias("a_bits")), ["a1", "a2"])
-    b = cut_b.join(bits.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("bits").alias("b_bits")), ["b1", "b2"])
-    one_way = F.expr("NOT level OR a1 > b1 OR (a1 = b1 AND a2 > b2)")
+    side = lambda x: bits.select(*[F.col(c).alias(f"{x}{n}") for c, n in (("h1", "1"), ("h2", "2"), ("n", "_n"), ("bits", "_bits"))])
+    a = cut_a.join(side("a"), ["a1", "a2"])
+    b = cut_b.join(side("b"), ["b1", "b2"])
+    one_way = F.expr("a_n > b_n OR a1 > b1 OR (a1 = b1 AND a2 > b2)")
     near = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2 * EDITS
     met = a.join(b.withColumnRenamed("cut", "b_cut").hint("merge"), (F.col("cut") == F.col("b_cut")) & (F.col("key") == F.col("b_key")) & near & one_way & other)
     return met.select("a1", "a2", "b1", "b2").distinct(), few
