@@ -223,25 +223,26 @@ class LogBilinear:
         """Normalised log10 probabilities of units after their contexts, in matrix products by group."""
 
         def normal(scores, rows):
-            scores -= scores.max(axis=1, keepdims=True)
+            if np.abs(scores).max(initial=0) > 60:  # else no exponential can leave the range
+                scores -= scores.max(axis=1, keepdims=True)
             chosen = scores[np.arange(len(scores)), rows]
-            return chosen - np.log(np.exp(scores, out=scores).sum(axis=1))
+            return chosen - np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32))
 
         out = np.zeros(len(units))
-        for at in range(0, len(units), 65_536):
-            u = units[at : at + 65_536].astype(np.int64)
+        for at in range(0, len(units), 32_768):
+            u = units[at : at + 32_768].astype(np.int64)
             g = self.group_of[u]
             order = np.argsort(g.astype(np.uint16), kind="stable")
             u, g = u[order], g[order]
-            q = self.queries(prev[:, at : at + 65_536][:, order])
+            q = self.queries(prev[:, at : at + 32_768][:, order])
             part = np.empty(len(u))
-            for k in range(0, len(u), 4_096):
-                part[k : k + 4_096] = normal(q[k : k + 4_096] @ self.group.T, g[k : k + 4_096])
+            for k in range(0, len(u), 1_024):  # small enough for the caches
+                part[k : k + 1_024] = normal(q[k : k + 1_024] @ self.group.T, g[k : k + 1_024])
             edges = np.searchsorted(g, np.arange(len(self.group) + 1)).tolist()
             for k in np.unique(g).tolist():
                 s, e = int(self.starts[k]), int(self.starts[k + 1])
                 if e - s > 1:
-                    step = max(1, 1_000_000 // (e - s))
+                    step = max(1, 200_000 // (e - s))
                     for a in range(edges[k], edges[k + 1], step):
                         b = min(a + step, edges[k + 1])
                         part[a:b] += normal(q[a:b] @ self.target[s:e].T, u[a:b] - s)
@@ -311,7 +312,7 @@ class Trainer:
             self.move(name, *summed(index, rows))
         self.move("mixing", np.arange(len(prev)), np.stack(change), np.full(len(prev), n))
 
-    def stream(self, pieces, end: int, batch: int = 8_192) -> None:
+    def stream(self, pieces, end: int, batch: int = 2_048) -> None:
         """All tokens of (flat units, lengths of texts), in order."""
         for flat, n in pieces:
             prev = before(flat, n, end, len(self.m.mixing))
