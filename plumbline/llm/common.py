@@ -53,16 +53,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
+def keep(df: DataFrame, name: str, **settings: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``settings`` hold while it is written (dots as double underscores).
+    """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean, "false")
-    spark.conf.set(clean, "true")  # the shuffle files of this one write go with it
+    settings = {k.replace("__", "."): v for k, v in settings.items()}
+    settings["spark.sql.classic.shuffleDependency.fileCleanup.enabled"] = "true"  # the shuffle files of this one write go with it
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(clean, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._kept_at = path
     return back

@@ -31,6 +31,8 @@ from . import common
 
 EDITS, PER_EDIT = 2, 16
 HOT_SEGMENT = 4_096
+#: Partitions of keys up to this size are hashed in a join, not sorted.
+HASHED = "64MB"
 BLANK = r"' \t\r' || chr(12) || chr(11)"  # SQL text has no escape for a form feed
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,18 +68,20 @@ def windows(edits: int) -> list[tuple[int, int, int]]:
 def segments(long: DataFrame, edits: int) -> DataFrame:
     """Start and size of every segment of a form with 0 to ``edits`` characters fewer, as columns (small expressions compile well)."""
     k = edits + 1
-    long = long.select("h1", "h2", "form", "n", *[F.expr(f"cast((n - {d}) div {k} AS int)").alias(f"size{d}") for d in range(k)], *[F.expr(f"cast((n - {d}) % {k} AS int)").alias(f"more{d}") for d in range(k)])
+    long = long.select("h1", "h2", "form", "n", F.expr("octet_length(form) = n").alias("plain"), *[F.expr(f"cast((n - {d}) div {k} AS int)").alias(f"size{d}") for d in range(k)], *[F.expr(f"cast((n - {d}) % {k} AS int)").alias(f"more{d}") for d in range(k)])
     starts = [F.expr(f"{1} + {i - 1} * size{d} + greatest(0, {i - 1 - k} + more{d})").alias(f"start{d}_{i}") for d in range(k) for i in range(1, k + 1)]
     sizes = [F.expr(f"size{d} + if({i} > {k} - more{d}, 1, 0)").alias(f"size{d}_{i}") for d in range(k) for i in range(1, k + 1)]
-    return long.select("h1", "h2", "form", "n", *starts, *sizes)
+    return long.select("h1", "h2", "form", "n", "plain", *starts, *sizes)
 
 
 def segment_key(edits: int, less: int, i: int, shift: int) -> str:
     """Hash of a substring of ``form`` that stands for segment i of a form with ``less`` characters fewer.
 
     A place outside the form gives a shorter or another text: at worst a pair that fails to verify.
+    Forms of one byte a character are cut by bytes, which needs no walk to the place; the hash is that of the bytes either way.
     """
-    return f"xxhash64((n - {less}) * 64 + {edits} * 16 + {i}, substring(form, start{less}_{i} + {shift}, size{less}_{i}))"
+    place = f"start{less}_{i} + {shift}, size{less}_{i}"
+    return f"xxhash64((n - {less}) * 64 + {edits} * 16 + {i}, if(plain, substring(cast(form AS binary), {place}), cast(substring(form, {place}) AS binary)))"
 
 
 def parities() -> str:
@@ -124,19 +128,21 @@ def candidates(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a1, a2), (b1, b2) of forms that share a segment and pass the parity bound; and the forms that take part.
 
     First only the probes and index rows that meet another form are found: by a count of the index's
-    own keys, and for all other probes by a semi-join; neither gives pairs.  Letter parities are then
-    computed for the forms behind them alone, and the pairs are made under the parity bound, so a
-    segment that many forms share gives few of them.
+    keys, and for all other probes by a semi-join with them (which lets a form meet itself, and hashes
+    in place of sorting where all partitions of the keys are small); neither gives pairs.  Letter
+    parities are then computed for the forms behind them alone, and the pairs are made under the
+    parity bound, so a segment that many forms share gives few of them.
     """
     long = named.select("h1", "h2", "form", F.char_length("form").alias("n"))
     index = common.keep(index_rows(long), "linesegments")
     other = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
-    as_probe = lambda rows: rows.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), "key")
-    twice = index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
-    level = common.keep(as_probe(index.join(twice, "key", "left_semi")), "lineprobes")
-    moved = common.keep(probe_rows(long).join(index.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & other, "left_semi"), "lineprobes")
-    live_a = level.unionByName(moved)
-    live_b = common.keep(index.join(live_a.select("key").distinct(), "key", "left_semi"), "lineindex")
+    keys = common.keep(index.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "linekeys")
+    moved = common.keep(probe_rows(long).join(keys.select("key"), "key", "left_semi").select("a1", "a2", "key"), "lineprobes", spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED)
+    twice = keys.filter("m > 1").select("key")
+    hits = common.keep(moved.select("key").union(twice).distinct(), "linehits")
+    live_b = common.keep(index.join(hits, "key", "left_semi"), "lineindex")
+    level = live_b.join(twice, "key", "left_semi").select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), "key")
+    live_a = common.keep(level, "lineprobes").unionByName(moved)
     common.forget(index)
     part = live_a.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).unionByName(live_b.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).distinct()
     few = common.keep(named.join(part, ["h1", "h2"]).select("h1", "h2", "form", "first"), "lineforms")
