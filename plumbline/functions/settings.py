@@ -65,12 +65,25 @@ class Registry:
         return [n for n in self.scanners if n not in self.disabled]
 
     def scan(self, files: DataFrame, names: list[str] | None = None) -> DataFrame | None:
-        """The union of the chosen scanners' findings; an unknown name is an error."""
+        """The union of the chosen scanners' findings; an unknown name is an error.
+
+        A scanner that fails while its plan is made gives one row that says so, in the column ``scan_error``;
+        ``checked`` looks for failures while it runs.
+        """
         chosen = names or self.enabled()
         if unknown := [n for n in chosen if n not in self.scanners]:
             raise KeyError(f"unknown scanners: {', '.join(unknown)}")
         out = None
         for n in chosen:
-            part = self.scanners[n](files)
+            part = self.checked(n, files)
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return out
+
+    def checked(self, name: str, files: DataFrame) -> DataFrame:
+        """What one scanner finds, or a row with ``scanner`` and ``scan_error``: its result is written before others see it."""
+        from ..operators.graph import cut
+
+        try:
+            return cut(self.scanners[name](files))
+        except Exception as e:  # any scanner's own failure, whatever it is
+            return files.sparkSession.createDataFrame([(name, f"{type(e).__name__}: {e}"[:500])], "scanner string, scan_error string")

@@ -68,12 +68,43 @@ def log_signals(df: DataFrame) -> DataFrame:
     return df.select("*", F.explode(F.array_compact(F.array(*found))).alias("s")).select(*df.columns, "s.*")
 
 
-def lint_candidates(df: DataFrame) -> DataFrame:
-    """Unused imports reported by a linter; a fallback row where only the marker shows (DET-40)."""
-    p = r"^([^\n:]+):(\d+):\d+:\s+F401\s+`([^`]+)`\s+imported but unused"
-    full = df.filter(C("text").rlike(p)).select(F.regexp_extract("text", p, 1).alias("target_file"), F.regexp_extract("text", p, 2).cast("int").alias("target_line"), F.regexp_extract("text", p, 3).alias("symbol"), F.lit(0.92).alias("confidence"))
-    marked = df.filter(C("text").contains("F401") & ~C("text").rlike(p)).select(F.lit("unknown").alias("target_file"), F.lit(0).alias("target_line"), F.lit("").alias("symbol"), F.lit(0.75).alias("confidence"))
-    return full.unionByName(marked).distinct()
+#: Id, marker, pattern (file, line, symbol), confidence where parsed and where only marked.
+CANDIDATES = [
+    ("ruff-f401-remove-unused-import", "F401", r"^([^\n:]+):(\d+):\d+:\s+F401\s+`([^`]+)`\s+imported but unused", 0.92, 0.75),
+    ("mypy-incompatible-return", "Incompatible return value type", r"^([^\n:]+):(\d+):\s+error:\s+Incompatible return value type()", 0.88, 0.72),
+]
+
+
+def lint_candidates(df: DataFrame, log: str | None = None) -> DataFrame:
+    """Repairs for known failures in the lines of logs, once for each (id, file, line), the last line's (DET-40).
+
+    Where a log (column ``log``; else all lines are one) shows the marker of a kind but no line of it can be
+    parsed, a row without a place stands for it.
+    """
+    keys, found = ([log] if log else []), None
+    rows = df.withColumn("place", F.struct(*[c for c in ("doc_id", "line_no", "text") if c in df.columns]))
+    for name, marker, p, parsed, marked in CANDIDATES:
+        some = rows.filter(C("text").contains(marker))
+        hit = some.filter(C("text").rlike(p)).select(*keys, F.regexp_extract("text", p, 1).alias("target_file"), F.regexp_extract("text", p, 2).cast("int").alias("target_line"), F.regexp_extract("text", p, 3).alias("symbol"), "place")
+        hit = hit.groupBy(*keys, "target_file", "target_line").agg(F.max_by("symbol", "place").alias("symbol")).withColumn("confidence", F.lit(parsed))
+        alone = some.groupBy(*keys).agg(F.max(C("text").rlike(p)).alias("any"), F.count(F.lit(1)).alias("n")).filter(~C("any") & (C("n") > 0))
+        alone = alone.select(*keys, F.lit("unknown").alias("target_file"), F.lit(0).alias("target_line"), F.lit("").alias("symbol"), F.lit(marked).alias("confidence"))
+        part = hit.unionByName(alone).withColumn("candidate", F.lit(name))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+#: What is run where no signal shows.
+DEFAULT_COMMANDS = ["pytest -q", "ruff check src tests", "mypy src"]
+
+
+def healing_plans(df: DataFrame, log: str) -> DataFrame:
+    """For each log whether signals were found, how many, and the commands to run, each once, in the order of the signals (DET-41)."""
+    order = {k: i for i, (k, *_) in enumerate(dims.LOG_SIGNALS)}
+    hits = log_signals(df).groupBy(log, "key").agg(F.first("command").alias("command")).withColumn("at", dims.pick("key", order, len(order)))
+    per_log = hits.groupBy(log).agg(F.count(F.lit(1)).cast("int").alias("n_signals"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "command"))), lambda x: x["command"])).alias("commands"))
+    out = df.select(log).distinct().join(per_log, log, "left")
+    return out.select(log, F.when(C("n_signals").isNull(), "no-signals-detected").otherwise("signals-detected").alias("status"), F.coalesce("n_signals", F.lit(0)).alias("n_signals"), F.coalesce("commands", F.array(*map(F.lit, DEFAULT_COMMANDS))).alias("commands"))
 
 
 def named_calls(df: DataFrame, rules: list[tuple] = dims.DEPRECATED) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from . import graph
 
 C = F.col
 
@@ -41,8 +42,13 @@ def prioritised(df: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """Add 1-based positions in a total order without bringing all rows into one task."""
+    """Add 1-based positions in a total order without bringing all rows into one task.
+
+    The sorted rows are written once with the partition they lie in: a second run of the sort could draw
+    other bounds, and counts and rows must speak of the same partitions.
+    """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    ordered = graph.cut(ordered)
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return ordered.join(F.broadcast(counts.withColumn("_before", before)), "_part").withColumn(name, C("_before") + C("_row") - C("_first") + 1).drop("_part", "_row", "_n", "_first", "_before")
@@ -57,7 +63,7 @@ def folder() -> Column:
     return F.when(C("file").contains("/"), F.regexp_extract("file", r"^(.*)/[^/]*$", 1)).otherwise(F.lit("."))
 
 
-def batches(df: DataFrame, max_files: int = 5, max_prs: int = 10) -> DataFrame:
+def batches(df: DataFrame, max_files: int = 5, max_prs: int = 5) -> DataFrame:
     """Findings in batches of one folder each, folders in first-seen order, the first ``max_prs`` batches (SRT-3)."""
     rows = df.withColumn("folder", folder())
     firsts = rows.groupBy("folder").agg(F.min("seq").alias("folder_first"))
@@ -92,16 +98,24 @@ def insert_absent(new: DataFrame, store: DataFrame, keys: list[str]) -> DataFram
 
 
 def similar_history(findings: DataFrame, history: DataFrame, k: int = 5) -> DataFrame:
-    """For each finding the k best precedents of its type (JOIN-8).
+    """For each finding the k best past rows of its type (JOIN-8).
 
-    History is first reduced to one row for each distinct description, so the join on type meets
-    patterns, not all past rows.
+    What scores equally is one case: for each (type, library, pattern, file pattern) only the first k
+    rows can be among a finding's best, so a case holds these in an array.  Findings are reduced in
+    the same way, to their distinct profiles, before they meet the cases; the k best rows of each
+    profile are then joined back to its findings.
     """
-    cases = history.groupBy("finding_type", "library", "pattern", "file_pattern").agg(F.min("seq").alias("hseq"), F.count(F.lit(1)).alias("cases")).withColumnsRenamed({"library": "h_library", "pattern": "h_pattern"})
-    score = F.lit(1.0) + F.when(F.lower("library") == F.lower("h_library"), 2.0).otherwise(0.0)
-    score = score + F.when((C("pattern") != "") & F.contains(F.lower("h_pattern"), F.lower("pattern")), 1.5).otherwise(0.0) + F.when(F.contains(folder(), C("file_pattern")), 0.5).otherwise(0.0)
-    met = findings.join(cases, findings["type"] == cases["finding_type"]).withColumn("match_score", score)
-    return top_k(met, k, F.desc("match_score"), F.asc("hseq"), by=["seq"])
+    kind = ["finding_type", F.lower("library").alias("h_library"), F.lower("pattern").alias("h_pattern"), "file_pattern"]
+    first = F.row_number().over(Window.partitionBy("finding_type", "h_library", "h_pattern", "file_pattern").orderBy("seq"))
+    cases = history.select(*kind, "seq").withColumn("n", first).filter(C("n") <= k).groupBy("finding_type", "h_library", "h_pattern", "file_pattern").agg(F.sort_array(F.collect_list("seq")).alias("rows"))
+    profile = ["type", "p_library", "p_pattern", "p_folder"]
+    mine = findings.withColumn("p_library", F.lower("library")).withColumn("p_pattern", F.lower("pattern")).withColumn("p_folder", folder())
+    score = F.lit(1.0) + F.when(C("p_library") == C("h_library"), 2.0).otherwise(0.0)
+    score = score + F.when((C("p_pattern") != "") & F.contains("h_pattern", "p_pattern"), 1.5).otherwise(0.0) + F.when(F.contains("p_folder", "file_pattern"), 0.5).otherwise(0.0)
+    met = mine.select(*profile).distinct().join(cases, C("type") == C("finding_type")).withColumn("match_score", score)
+    best = top_k(met.select(*profile, "match_score", F.explode("rows").alias("hseq")), k, F.desc("match_score"), F.asc("hseq"), by=profile)
+    lists = best.groupBy(*profile).agg(F.sort_array(F.collect_list(F.struct("rank", "hseq", "match_score"))).alias("best"))
+    return mine.join(lists, profile).select(*findings.columns, F.inline("best"))
 
 
 def enclosing_function(findings: DataFrame, functions: DataFrame) -> DataFrame:

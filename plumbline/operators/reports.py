@@ -12,8 +12,8 @@ C = F.col
 
 def by_type_and_severity(df: DataFrame) -> DataFrame:
     """Both distributions from one pass (AGG-1, AGG-32)."""
-    rows = df.groupingSets([["type"], ["severity"]], "type", "severity").agg(F.count(F.lit(1)).alias("n"))
-    return rows.select(F.when(C("type").isNotNull(), "type").otherwise("severity").alias("facet"), F.coalesce("type", "severity").alias("value"), "n")
+    rows = df.groupingSets([["type"], ["severity"]], "type", "severity").agg(F.count(F.lit(1)).alias("n"), F.grouping("type").alias("g"))
+    return rows.select(F.when(C("g") == 0, "type").otherwise("severity").alias("facet"), F.when(C("g") == 0, C("type")).otherwise(C("severity")).alias("value"), "n")
 
 
 def hotspots(df: DataFrame, column: str, k: int) -> DataFrame:

@@ -13,9 +13,9 @@ T = dims.text_sql
 TODO = T(detect.todo_pattern())
 
 
-@query("SELECT doc_id, line_no, path, text FROM lines WHERE line_no <= 3", "lines")
+@query("SELECT doc_id, line_no, path, text FROM lines", "lines")
 def line_explode(v):
-    return v.lines.filter("line_no <= 3")
+    return v.lines
 
 
 SEV = "CASE tag WHEN 'FIXME' THEN 'high' WHEN 'HACK' THEN 'high' ELSE 'medium' END"
@@ -33,14 +33,14 @@ BLAME = "blame AS (SELECT DISTINCT path, line_no, 'author' || (line_no % 5) AS a
 @query(
     f"""WITH {TODOS}, {BLAME}, b AS (SELECT todo.*, author, date_diff('day', authored, DATE '2024-03-01') AS age FROM todo LEFT JOIN blame USING (path, line_no)),
 s AS (SELECT *, CASE WHEN age > 180 THEN 'critical' WHEN age > 90 THEN 'high' WHEN age > 45 AND {SEV} IN ('low', 'info') THEN 'medium' ELSE {SEV} END AS severity FROM b)
-SELECT doc_id, line_no, author, age::INT AS age_days, severity, least(200, 10 * {dims.pick_sql('severity', dims.SEVERITY_WEIGHT, 4.0)} + least(50, 20.0::DOUBLE * age / 90))::DOUBLE AS priority FROM s WHERE author IS NOT NULL""",
+SELECT doc_id, line_no, author, age::INT AS age_days, severity, least(200, 10 * {dims.pick_sql('severity', dims.SEVERITY_WEIGHT, 4.0)} + coalesce(least(50, 20.0::DOUBLE * age / 90), 0))::DOUBLE AS priority FROM s""",
     "lines",
 )
 def todo_priority(v):
     n = C("line_no")
     blame = v.lines.filter(n % 2 == 0).select("path", "line_no", F.concat(F.lit("author"), n % 5).alias("author"), F.date_sub(F.lit("2024-01-01").cast("date"), (n * 17 % 400).cast("int")).alias("authored")).distinct()
     aged = detect.aged(detect.blamed(detect.todos(v.lines), blame, F.lit("2024-03-01").cast("date")))
-    return aged.filter("author IS NOT NULL").select("doc_id", "line_no", "author", "age_days", "severity", "priority")
+    return aged.select("doc_id", "line_no", "author", "age_days", "severity", "priority")
 
 
 RULE_ROWS = [(i, c, s, w, p) for i, (c, _, s, w, p) in enumerate(dims.SECURITY_RULES)]
@@ -77,16 +77,31 @@ def ci_signals(v):
     return detect.log_signals(v.lines).select("doc_id", "line_no", "key", "confidence", "command")
 
 
-F401 = T(r"^([^\n:]+):(\d+):\d+:\s+F401\s+`([^`]+)`\s+imported but unused")
+F401, MYPY = (T(c[2]) for c in detect.CANDIDATES)
+
+
+def candidate_sql(number: int, pattern: str) -> str:
+    name, marker, _, parsed, marked = detect.CANDIDATES[number]
+    return f"""SELECT path, regexp_extract(text, {pattern}, 1) AS target_file, regexp_extract(text, {pattern}, 2)::INT AS target_line, max_by(regexp_extract(text, {pattern}, 3), (doc_id, line_no, text)) AS symbol, {parsed}::DOUBLE AS confidence, '{name}' AS candidate
+  FROM lines WHERE regexp_matches(text, {pattern}) GROUP BY ALL
+UNION ALL SELECT path, 'unknown', 0, '', {marked}::DOUBLE, '{name}' FROM lines WHERE contains(text, '{marker}') GROUP BY path HAVING NOT bool_or(regexp_matches(text, {pattern}))"""
+
+
+@query(candidate_sql(0, F401) + " UNION ALL " + candidate_sql(1, MYPY), "lines")
+def patch_candidates(v):
+    return detect.lint_candidates(v.lines, "path")
+
+
+SIGNALS = " UNION ALL ".join(f"SELECT path, {i} AS ord, '{cmd}' AS command FROM lines WHERE regexp_matches(text, {T('(?im)' + p)})" for i, (k, c, cmd, p) in enumerate(dims.LOG_SIGNALS))
 
 
 @query(
-    f"""SELECT DISTINCT regexp_extract(text, {F401}, 1) AS target_file, regexp_extract(text, {F401}, 2)::INT AS target_line, regexp_extract(text, {F401}, 3) AS symbol, 0.92::DOUBLE AS confidence FROM lines WHERE regexp_matches(text, {F401})
-UNION SELECT 'unknown', 0, '', 0.75::DOUBLE FROM lines WHERE contains(text, 'F401') AND NOT regexp_matches(text, {F401})""",
+    f"""WITH s AS (SELECT DISTINCT path, ord, command FROM ({SIGNALS})), f AS (SELECT path, command, min(ord) AS ord FROM s GROUP BY ALL), c AS (SELECT path, array_to_string(list(command ORDER BY ord), ' && ') AS commands FROM f GROUP BY path), n AS (SELECT path, count(*)::INT AS n_signals FROM s GROUP BY path)
+SELECT path, CASE WHEN n_signals IS NULL THEN 'no-signals-detected' ELSE 'signals-detected' END AS status, coalesce(n_signals, 0)::INT AS n_signals, coalesce(commands, '{" && ".join(detect.DEFAULT_COMMANDS)}') AS commands FROM (SELECT DISTINCT path FROM lines) LEFT JOIN n USING (path) LEFT JOIN c USING (path)""",
     "lines",
 )
-def patch_candidates(v):
-    return detect.lint_candidates(v.lines)
+def healing_plan(v):
+    return detect.healing_plans(v.lines, "path").select("path", "status", "n_signals", F.array_join("commands", " && ").alias("commands"))
 
 
 NAMES = T(r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+)")
@@ -149,14 +164,14 @@ BAD = [("core", "ui"), ("data", "ui"), ("data", "core")]
 
 @query(
     f"""WITH l AS (SELECT * FROM {dims.values_sql(list(LAYERS.items()), 'package, layer')}), f AS (SELECT * FROM {dims.values_sql(BAD, 'from_layer, to_layer')}),
-i AS (SELECT DISTINCT path, 'app.p' || (doc_id % 8) || '.p' || (line_no % 8) AS imported FROM lines WHERE line_no <= 4),
+i AS (SELECT DISTINCT path, 'app.p' || (doc_id % 8) || '.p' || (line_no % 8) AS imported FROM lines),
 s AS (SELECT i.*, layer AS from_layer FROM i JOIN l ON l.package = CASE WHEN starts_with(path, 'src/') THEN string_split(path, '/')[2] ELSE string_split(path, '/')[1] END),
 p AS (SELECT s.*, unnest(string_split(imported, '.')) AS part, unnest(range(10)[:len(string_split(imported, '.'))]) AS pos FROM s), h AS (SELECT path, imported, from_layer, min_by(layer, pos) AS to_layer FROM p JOIN l ON l.package = part GROUP BY ALL)
 SELECT * FROM h JOIN f USING (from_layer, to_layer)""",
     "lines",
 )
 def layer_violations(v):
-    imports = v.lines.filter("line_no <= 4").select("path", F.concat(F.lit("app.p"), C("doc_id") % 8, F.lit(".p"), C("line_no") % 8).alias("imported")).distinct()
+    imports = v.lines.select("path", F.concat(F.lit("app.p"), C("doc_id") % 8, F.lit(".p"), C("line_no") % 8).alias("imported")).distinct()
     return detect.layer_violations(imports, LAYERS, BAD)
 
 

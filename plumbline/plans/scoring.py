@@ -243,7 +243,7 @@ def work_item_order(v):
 
 @query(
     """WITH a AS (SELECT seq, regexp_replace(file, '/[^/]*$', '') AS folder FROM findings), b AS (SELECT *, min(seq) OVER (PARTITION BY folder) AS ff, row_number() OVER (PARTITION BY folder ORDER BY seq) AS rn FROM a),
-c AS (SELECT *, (rn - 1) // 5 AS part FROM b), h AS (SELECT ff, part, row_number() OVER (ORDER BY ff, part)::INT AS batch FROM (SELECT DISTINCT ff, part FROM c)) SELECT seq, folder, batch FROM c JOIN h USING (ff, part) WHERE batch <= 10""",
+c AS (SELECT *, (rn - 1) // 5 AS part FROM b), h AS (SELECT ff, part, row_number() OVER (ORDER BY ff, part)::INT AS batch FROM (SELECT DISTINCT ff, part FROM c)) SELECT seq, folder, batch FROM c JOIN h USING (ff, part) WHERE batch <= 5""",
     "findings",
 )
 def pr_batches(v):
@@ -280,9 +280,12 @@ def severity_threshold(v):
 
 
 @query(
-    """WITH c AS (SELECT finding_type, library AS hl, pattern AS hp, file_pattern, min(seq) AS hseq, count(*) AS cases FROM history GROUP BY ALL),
-m AS (SELECT f.seq, hseq, cases, 1.0::DOUBLE + CASE WHEN lower(library) = lower(hl) THEN 2 ELSE 0 END + CASE WHEN contains(lower(hp), lower('pattern ' || (f.seq % 4))) THEN 1.5 ELSE 0 END + CASE WHEN contains(regexp_replace(file, '/[^/]*$', ''), file_pattern) THEN 0.5 ELSE 0 END AS match_score
-  FROM findings f JOIN c ON f.type = c.finding_type) SELECT seq, hseq, match_score, row_number() OVER (PARTITION BY seq ORDER BY match_score DESC, hseq)::INT AS rank FROM m QUALIFY row_number() OVER (PARTITION BY seq ORDER BY match_score DESC, hseq) <= 5""",
+    """WITH f AS (SELECT *, 'pattern ' || (seq % 4) AS pattern, regexp_replace(file, '/[^/]*$', '') AS folder FROM findings),
+p AS (SELECT DISTINCT type, library, pattern, folder FROM f),
+m AS (SELECT p.*, h.seq AS hseq, 1.0::DOUBLE + CASE WHEN lower(p.library) = lower(h.library) THEN 2 ELSE 0 END + CASE WHEN contains(lower(h.pattern), lower(p.pattern)) THEN 1.5 ELSE 0 END + CASE WHEN contains(folder, file_pattern) THEN 0.5 ELSE 0 END AS match_score
+  FROM p JOIN history h ON p.type = h.finding_type),
+r AS (SELECT *, row_number() OVER (PARTITION BY type, library, pattern, folder ORDER BY match_score DESC, hseq)::INT AS rank FROM m QUALIFY rank <= 5)
+SELECT seq, hseq, match_score, rank FROM f JOIN r USING (type, library, pattern, folder)""",
     "findings history",
 )
 def similar_history(v):
@@ -290,11 +293,11 @@ def similar_history(v):
 
 
 @query(
-    """WITH q AS (SELECT seq, 'f' || (seq % 50) AS file, line FROM findings WHERE seq % 3 = 0) SELECT q.seq, min_by(name, f.seq) AS function, count(*) AS n_holding FROM q JOIN functions f ON f.file = q.file AND line BETWEEN start_line AND end_line GROUP BY q.seq""",
+    """WITH q AS (SELECT seq, 'f' || (seq % 50) AS file, line FROM findings) SELECT q.seq, min_by(name, f.seq) AS function, count(*) AS n_holding FROM q JOIN functions f ON f.file = q.file AND line BETWEEN start_line AND end_line GROUP BY q.seq""",
     "findings functions",
 )
 def enclosing_function(v):
-    return ranking.enclosing_function(v.findings.filter("seq % 3 = 0").select("seq", F.concat(F.lit("f"), C("seq") % 50).alias("file"), "line"), v.functions)
+    return ranking.enclosing_function(v.findings.select("seq", F.concat(F.lit("f"), C("seq") % 50).alias("file"), "line"), v.functions)
 
 
 @query(

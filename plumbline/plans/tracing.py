@@ -10,14 +10,15 @@ from .catalogue import query
 
 C = F.col
 
-REACH = """WITH RECURSIVE back(node, hop) AS (SELECT * FROM (VALUES (1, 0), (7, 0)) AS t(a, b) UNION SELECT e.src, b.hop + 1 FROM edges e JOIN back b ON e.dst = b.node WHERE b.hop < 20),
-least AS (SELECT node, min(hop) AS hop FROM back GROUP BY node)"""
+REACH = """WITH RECURSIVE back(node, hop) USING KEY (node) AS (SELECT * FROM (VALUES (1, 0), (31, 0)) AS t(a, b)
+  UNION SELECT e.src, min(b.hop) + 1 FROM edges e JOIN back b ON e.dst = b.node WHERE e.src NOT IN (SELECT node FROM recurring.back) GROUP BY e.src),
+least AS (SELECT node, hop FROM back)"""
 
 
 @query(f"{REACH} SELECT node::INT AS node, hop::INT AS hop FROM least", "edges")
 def blast_nodes(v):
     e = v.edges.select(C("dst").alias("src"), C("src").alias("dst"))
-    return graph.reach(e, graph.frame(v.spark, [1, 7]))
+    return graph.reach(e, graph.frame(v.spark, [1, 31]))
 
 
 @query(
@@ -26,33 +27,37 @@ SELECT *, CASE WHEN radius > 0.3 THEN 'critical' WHEN radius > 0.15 THEN 'high'
     "edges",
 )
 def blast_radius(v):
-    return graph.blast_radius(v.edges, [1, 7], 60)
+    return graph.blast_radius(v.edges, [1, 31], 60)
 
 
 @query(
-    """WITH RECURSIVE walk(entry, node, path) AS (SELECT a, a, [a] FROM (VALUES (2), (5)) AS t(a) UNION ALL SELECT w.entry, e.dst, list_append(w.path, e.dst) FROM walk w JOIN edges e ON e.src = w.node WHERE len(w.path) <= 4 AND NOT list_contains(w.path, e.dst))
+    """WITH RECURSIVE walk(entry, node, path) AS (SELECT a, a, [a] FROM (VALUES (2), (23), (45)) AS t(a) UNION ALL SELECT w.entry, e.dst, list_append(w.path, e.dst) FROM walk w JOIN edges e ON e.src = w.node WHERE NOT list_contains(w.path, e.dst))
 SELECT entry::INT AS entry, node::INT AS node, array_to_string(path, '>') AS chain FROM (SELECT *, row_number() OVER (PARTITION BY entry, node ORDER BY len(path), path) AS rn FROM walk) WHERE rn = 1""",
     "edges",
 )
 def reachability(v):
-    paths = graph.shortest_paths(v.edges, graph.frame(v.spark, [2, 5]), hops=4)
+    paths = graph.shortest_paths(v.edges, graph.frame(v.spark, [2, 23, 45]))
     return paths.select("entry", "node", F.array_join(C("path").cast("array<string>"), ">").alias("chain"))
 
 
 @query(
-    """WITH RECURSIVE walk(first, tip, path) AS (SELECT src, dst, [src, dst] FROM edges WHERE src < dst UNION ALL SELECT w.first, e.dst, list_append(w.path, e.dst) FROM walk w JOIN edges e ON e.src = w.tip WHERE len(w.path) < 4 AND e.dst > w.first AND NOT list_contains(w.path, e.dst))
+    """WITH RECURSIVE walk(first, tip, path) AS (SELECT src, dst, [src, dst] FROM edges WHERE src < dst UNION ALL SELECT w.first, e.dst, list_append(w.path, e.dst) FROM walk w JOIN edges e ON e.src = w.tip WHERE e.dst > w.first AND NOT list_contains(w.path, e.dst))
 SELECT DISTINCT array_to_string(list_sort(path), ',') AS members, len(path)::INT AS size FROM walk w JOIN edges e ON e.src = w.tip AND e.dst = w.first""",
     "edges",
 )
 def circular_deps(v):
-    return graph.cycles(v.edges, 4).select(F.array_join(C("members").cast("array<string>"), ",").alias("members"), F.size("members").alias("size"))
+    return graph.cycles(v.edges).select(F.array_join(C("members").cast("array<string>"), ",").alias("members"), F.size("members").alias("size"))
 
 
-DAG = "dag AS (SELECT DISTINCT greatest(src, dst) AS src, least(src, dst) AS dst FROM edges WHERE src % 10 < 4), nds AS (SELECT unnest(range(60))::INT AS node)"
+DAG = "dag AS (SELECT DISTINCT greatest(src, dst) AS src, least(src, dst) AS dst FROM edges), nds AS (SELECT DISTINCT o_orderkey::INT AS node FROM orders)"
 
 
 def dag(v):
-    return v.edges.filter("src % 10 < 4").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    return v.edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+
+
+def stages(v):
+    return v.table("orders").select(C("o_orderkey").cast("int").alias("node")).distinct()
 
 
 @query(
@@ -60,16 +65,16 @@ def dag(v):
     "edges",
 )
 def stage_levels(v):
-    return graph.levels(dag(v), v.spark.range(60).select(C("id").cast("int").alias("node")))
+    return graph.levels(dag(v), stages(v))
 
 
 @query(
-    f"""WITH RECURSIVE {DAG}, hit(node, hop) AS (SELECT 3, 0 UNION SELECT d.src, 1 FROM dag d JOIN hit h ON d.dst = h.node), s AS (SELECT node, max(hop) AS hop, min(hop) AS lo FROM hit GROUP BY node)
+    f"""WITH RECURSIVE {DAG}, hit(node, hop) AS (SELECT node, 0 FROM nds WHERE node % 30 = 3 UNION SELECT d.src, 1 FROM dag d JOIN hit h ON d.dst = h.node), s AS (SELECT node, max(hop) AS hop, min(hop) AS lo FROM hit GROUP BY node)
 SELECT node, CASE WHEN lo = 0 THEN 'failed' WHEN hop > 0 THEN 'rolled_back' ELSE 'completed' END AS status FROM nds LEFT JOIN s USING (node)""",
     "edges",
 )
 def stage_cascade(v):
-    return graph.cascade(dag(v), graph.frame(v.spark, [3]), v.spark.range(60).select(C("id").cast("int").alias("node")))
+    return graph.cascade(dag(v), stages(v).filter("node % 30 = 3"), stages(v))
 
 
 @query(

@@ -44,6 +44,9 @@ MARKERS = [
 ]
 SPREAD = 53
 
+#: Orders in a block of the dependency graph.
+BLOCK = 24
+
 SQL = {
     "findings": f"""findings AS (
   SELECT o_orderkey AS seq, {"CASE o_orderkey % 6 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TYPES)) + " END"} AS type,
@@ -76,8 +79,8 @@ SQL = {
     CASE o_orderkey % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'modified' END AS action FROM orders)""",
     "snapshots": """snapshots AS (
   SELECT cast(ts AS DATE) AS day, event_type AS kind, count(*) AS n FROM events GROUP BY ALL)""",
-    "edges": """edges AS (
-  SELECT DISTINCT (l_suppkey % 60)::INT AS src, (l_partkey % 60)::INT AS dst FROM lineitem WHERE l_orderkey % 61 = 0 AND l_linenumber = 1 AND l_suppkey % 60 <> l_partkey % 60)""",
+    "edges": f"""edges AS (
+  SELECT DISTINCT src, dst FROM (SELECT l_orderkey::INT AS src, CASE WHEN l_orderkey % 8 = 0 AND l_linenumber <= 3 THEN l_orderkey + 7 ELSE l_orderkey - 1 END::INT AS dst FROM lineitem) WHERE dst >= 0 AND src // {BLOCK} = dst // {BLOCK})""",
     "history": """history AS (
   SELECT c_custkey AS seq, CASE c_custkey % 3 WHEN 0 THEN 'deprecated_api' WHEN 1 THEN 'security' ELSE 'code_smell' END AS finding_type, 'LIB' || (c_custkey % 5) AS library,
     'pattern ' || (c_custkey % 4) AS pattern, 'src/d' || (c_custkey % 7) AS file_pattern, 'team' || c_nationkey AS team, c_acctbal > 0 AS success FROM customer)""",
@@ -91,7 +94,7 @@ SQL = {
   SELECT p_partkey AS seq, CASE p_partkey % 6 WHEN 0 THEN 'Pydantic' WHEN 1 THEN 'httpx' WHEN 2 THEN 'PyGithub' WHEN 3 THEN 'fastmcp' WHEN 4 THEN 'requests' ELSE 'unknown_pkg' END AS package,
     CASE p_partkey % 5 WHEN 0 THEN '==' WHEN 1 THEN '<' WHEN 2 THEN '' WHEN 3 THEN '>=' ELSE '<=' END AS op, (p_size % 4) || '.' || (p_partkey % 40) || '.' || (p_size % 3) AS ver FROM part)""",
     "functions": """functions AS (
-  SELECT o_orderkey AS seq, 'f' || (o_custkey % 50) AS file, 'fn' || (o_orderkey % 97) AS name, (o_orderkey % 400 + 1)::INT AS start_line, (o_orderkey % 400 + 1 + o_custkey % 60)::INT AS end_line FROM orders WHERE o_orderkey % 5 = 0)""",
+  SELECT o_orderkey AS seq, 'f' || (o_custkey % 50) AS file, 'fn' || (o_orderkey % 97) AS name, (o_orderkey % 400 + 1)::INT AS start_line, (o_orderkey % 400 + 1 + o_custkey % 60)::INT AS end_line FROM orders)""",
 }
 
 
@@ -199,8 +202,11 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").filter("l_orderkey % 61 = 0 AND l_linenumber = 1 AND l_suppkey % 60 <> l_partkey % 60")
-    return rows.select((F.col("l_suppkey") % 60).cast("int").alias("src"), (F.col("l_partkey") % 60).cast("int").alias("dst")).distinct()
+    """Every order depends on the one before it in its block; every eighth, with a line up to 3, on the seventh after it too: chains of up to a block, cycles of eight."""
+    k = F.col("l_orderkey")
+    dst = F.when((k % 8 == 0) & (F.col("l_linenumber") <= 3), k + 7).otherwise(k - 1)
+    rows = read(spark, sf_dir, "lineitem").select(k.cast("int").alias("src"), dst.cast("int").alias("dst"))
+    return rows.filter((F.col("dst") >= 0) & (F.floor(F.col("src") / BLOCK) == F.floor(F.col("dst") / BLOCK))).distinct()
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,6 +258,6 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    return read(spark, sf_dir, "orders").filter(k % 5 == 0).select(
+    return read(spark, sf_dir, "orders").select(
         k.alias("seq"), F.concat(F.lit("f"), c % 50).alias("file"), F.concat(F.lit("fn"), k % 97).alias("name"), (k % 400 + 1).cast("int").alias("start_line"), (k % 400 + 1 + c % 60).cast("int").alias("end_line")
     )

@@ -6,6 +6,7 @@ Python code is parsed once for each file, into tagged fact rows; detectors are S
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,15 +22,15 @@ FACTS = "path string, kind string, name string, line int, end_line int, paramete
 def source_files(spark: SparkSession, root: str, extensions: list[str], excludes: list[str] | None = None) -> DataFrame:
     """path, ext and text of the files under a root, without those that a pattern excludes (SRC-1, SRC-2).
 
-    Paths are filtered before contents are used, so excluded files aren't read.
+    The order is that of the paths; a file is one row, however many extensions match it.
     """
     pattern = "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + root.rstrip("/") + "/", "")
+    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(re.sub(r"^[a-z]+:/*", "/", root).rstrip("/")) + "/", "")
     rows = raw.select(path.alias("path"), "content")
     if excludes:
         rows = rows.filter(~(dims.any_glob(C("path"), excludes) | dims.any_glob(F.concat(F.lit("/"), "path"), excludes)))
-    return rows.select("path", F.regexp_extract("path", r"\.(\w+)$", 1).alias("ext"), F.decode("content", "UTF-8").alias("text"))
+    return rows.select("path", F.regexp_extract("path", r"\.(\w+)$", 1).alias("ext"), F.decode("content", "UTF-8").alias("text")).orderBy("path")
 
 
 def monthly_ledger(spark: SparkSession, folder: str, schema: str, period: str | None = None) -> DataFrame:
