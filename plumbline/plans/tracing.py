@@ -141,3 +141,33 @@ def project_facts(v):
 @query("SELECT doc_id, len(regexp_extract_all(text, 'the'))::INT AS n, len(regexp_extract_all(text, 'the')) = 1 AS replaceable FROM documents")
 def replace_precondition(v):
     return formats.occurrences(v.table("documents").select("doc_id", "text"), "the").select("doc_id", "n", "replaceable")
+
+
+TOOL_FILES = """files AS (SELECT doc_id % 50 AS repo, CASE doc_id % 7 WHEN 0 THEN 'pyproject.toml' WHEN 1 THEN 'tests/conftest.py' WHEN 2 THEN 'go.mod' WHEN 3 THEN 'a/x_test.go' WHEN 4 THEN 'src/m' || doc_id || '.py' WHEN 5 THEN 'package.json' ELSE 'setup.cfg' END AS path,
+  CASE doc_id % 4 WHEN 0 THEN '[tool.ruff] django' WHEN 1 THEN '"mocha" [pylint -> ' WHEN 2 THEN '[tool.mypy] pytest' ELSE 'x' END AS text FROM documents)"""
+
+
+def tool_files(v):
+    d = C("doc_id")
+    path = F.when(d % 7 == 0, "pyproject.toml").when(d % 7 == 1, "tests/conftest.py").when(d % 7 == 2, "go.mod").when(d % 7 == 3, "a/x_test.go").when(d % 7 == 4, F.concat(F.lit("src/m"), d, F.lit(".py"))).when(d % 7 == 5, "package.json").otherwise("setup.cfg")
+    text = F.when(d % 4 == 0, "[tool.ruff] django").when(d % 4 == 1, '"mocha" [pylint -> ').when(d % 4 == 2, "[tool.mypy] pytest").otherwise("x")
+    return v.table("documents").select((d % 50).alias("repo"), path.alias("path"), text.alias("text"))
+
+
+@query(
+    f"""WITH {TOOL_FILES}, t AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join("NULL" if x is None else "'" + x + "'" for x in row) + ")" for row in formats.TOOLS)}) AS t(kind, name, file, marker))
+SELECT DISTINCT repo, kind, name FROM files JOIN t ON path = file AND (marker IS NULL OR contains(text, marker))
+UNION SELECT repo, 'test', 'go-test' FROM files GROUP BY repo HAVING bool_or(path = 'go.mod') AND bool_or(ends_with(path, '_test.go'))"""
+)
+def project_tools(v):
+    return formats.project_tools(tool_files(v))
+
+
+@query(f"WITH {TOOL_FILES}, p AS (SELECT * FROM files WHERE ends_with(path, '.py') QUALIFY row_number() OVER (PARTITION BY repo ORDER BY path) <= 10) SELECT repo, bool_or(contains(text, '-> ') OR contains(text, ': str') OR contains(text, ': int')) AS typed FROM p GROUP BY repo")
+def typed_projects(v):
+    return formats.typed_project(tool_files(v))
+
+
+@query(f"WITH {TOOL_FILES} SELECT repo, CASE WHEN ends_with(path, '.py') THEN 'python' ELSE 'go' END AS language, count(*) AS n FROM files WHERE ends_with(path, '.py') OR ends_with(path, '.go') GROUP BY ALL")
+def language_counts(v):
+    return formats.language_counts(tool_files(v))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -104,6 +104,59 @@ def project_facts(files: DataFrame) -> DataFrame:
     return files.select("repo", F.explode(facts).alias("fact"))
 
 
+#: Kind, name, file, and the text that must stand in it (none: the file's being there is enough).
+TOOLS = [
+    ("test", "pytest", "conftest.py", None),
+    ("test", "pytest", "tests/conftest.py", None),
+    ("test", "pytest", "pyproject.toml", "pytest"),
+    ("test", "unittest", "pyproject.toml", "unittest"),
+    ("test", "jest", "jest.config.js", None),
+    ("test", "jest", "jest.config.ts", None),
+    ("test", "mocha", "package.json", '"mocha"'),
+    ("test", "jest", "package.json", '"jest"'),
+    ("linter", "ruff", "ruff.toml", None),
+    ("linter", "ruff", "pyproject.toml", "[tool.ruff]"),
+    ("linter", "mypy", "mypy.ini", None),
+    ("linter", "mypy", ".mypy.ini", None),
+    ("linter", "mypy", "pyproject.toml", "[tool.mypy]"),
+    ("linter", "eslint", ".eslintrc.js", None),
+    ("linter", "eslint", ".eslintrc.json", None),
+    ("linter", "prettier", ".prettierrc", None),
+    ("linter", "prettier", ".prettierrc.json", None),
+    ("linter", "flake8", ".flake8", None),
+    ("linter", "flake8", "pyproject.toml", "[flake8]"),
+    ("linter", "pylint", "setup.cfg", "[pylint"),
+    ("framework", "django", "manage.py", None),
+    ("framework", "django", "pyproject.toml", "django"),
+    ("framework", "flask", "pyproject.toml", "flask"),
+    ("framework", "fastapi", "pyproject.toml", "fastapi"),
+    ("framework", "pytest", "conftest.py", None),
+    ("framework", "pytest", "pyproject.toml", "pytest"),
+]
+
+
+def project_tools(files: DataFrame) -> DataFrame:
+    """Test frameworks, linters and frameworks of each repository (repo, path, text), each once (TXT-32, TXT-34, TXT-36)."""
+    table = F.broadcast(files.sparkSession.createDataFrame(TOOLS, "kind string, name string, marker_file string, marker string"))
+    found = files.join(table, (C("path") == C("marker_file")) & (C("marker").isNull() | F.contains("text", "marker"))).select("repo", "kind", "name")
+    go = files.groupBy("repo").agg((F.max(C("path") == "go.mod") & F.max(F.endswith("path", F.lit("_test.go")))).alias("both")).filter("both")
+    return found.unionByName(go.select("repo", F.lit("test").alias("kind"), F.lit("go-test").alias("name"))).distinct()
+
+
+def typed_project(files: DataFrame, n: int = 10) -> DataFrame:
+    """Whether one of a repository's first ``n`` Python files, by path, shows type hints (TXT-37)."""
+    hints = C("text").contains("-> ") | C("text").contains(": str") | C("text").contains(": int")
+    rows = files.filter(F.endswith("path", F.lit(".py"))).withColumn("n", F.row_number().over(Window.partitionBy("repo").orderBy("path"))).filter(C("n") <= n)
+    return rows.groupBy("repo").agg(F.max(hints).alias("typed"))
+
+
+def language_counts(files: DataFrame, k: int = 10) -> DataFrame:
+    """Files of each language of a repository, the ``k`` most frequent (AGG-33)."""
+    rows = files.withColumn("language", dims.pick(F.regexp_extract(F.lower("path"), r"\.(\w+)$", 1), LANGUAGES, None)).filter("language is not null")
+    n = rows.groupBy("repo", "language").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("n"), "language"))).filter(C("rank") <= k).drop("rank")
+
+
 def occurrences(df: DataFrame, needle: str) -> DataFrame:
     """How often a text holds a string; only one place can be replaced safely (TXT-24)."""
     n = ((F.length("text") - F.length(F.replace(C("text"), F.lit(needle), F.lit("")))) / len(needle)).cast("int")

@@ -42,11 +42,21 @@ def run(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -
 
 
 def rescored(events: DataFrame, findings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Apply each micro-batch of events to a table of findings and append the new scores (STM-7)."""
+    """Fold each micro-batch of events into the scores that the one before left (STM-7).
+
+    The findings after batch n are the folder ``batch=n``, written over if the batch is run again; the next
+    batch begins with it.  Boosts add up over batches and a pause stays, as in one batch over all events.
+    """
     from ..operators.scoring import reprioritise
 
     def apply(batch: DataFrame, number: int) -> None:
-        reprioritise(findings, batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        spark = batch.sparkSession
+        now = spark.read.parquet(f"{path}/batch={number - 1}") if number else findings.withColumn("paused", F.lit(False)).withColumn("n_boosts", F.lit(0).cast("long"))
+        new = reprioritise(now, batch).select("seq", "priority", C("paused").alias("_paused"), C("n_boosts").alias("_boosts"))
+        after = now.join(new, "seq", "left")
+        after = after.withColumn("priority_score", F.coalesce("priority", "priority_score")).withColumn("paused", C("paused") | F.coalesce("_paused", F.lit(False)))
+        after = after.withColumn("n_boosts", C("n_boosts") + F.coalesce("_boosts", F.lit(0)))
+        after.drop("priority", "_paused", "_boosts").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

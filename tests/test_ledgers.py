@@ -49,3 +49,27 @@ def test_settings(spark):
     reg.register("two", lambda d: d.select(F.lit("two").alias("scanner"), F.lit(1).alias("extra")))
     assert reg.scan(spark.range(2)).count() == 4
     assert os.path.sep
+
+
+def test_scores_add_up_over_batches(spark, tmp_path):
+    from plumbline.operators.scoring import reprioritise
+    from plumbline.plans.scoring import EVENTS
+    from plumbline.sources import adaptors
+
+    from .conftest import DATA
+
+    shape = "eseq int, kind string, target string, boost double, ratio double"
+    names = ["eseq", "kind", "target", "boost", "ratio"]
+    folder = tmp_path / "events"
+    folder.mkdir()
+    for k, e in enumerate(EVENTS):
+        file = folder / f"{k}.json"
+        file.write_text(json.dumps(dict(zip(names, e, strict=True))))
+        os.utime(file, (1_000_000 + k, 1_000_000 + k))
+    findings = adaptors.findings(spark, DATA)
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).json(str(folder))
+    ledgers.rescored(stream, findings, str(tmp_path / "scores"), str(tmp_path / "c")).awaitTermination(120)
+    last = spark.read.parquet(str(tmp_path / "scores" / f"batch={len(EVENTS) - 1}"))
+    got = {r.seq: (r.priority_score, r.paused, r.n_boosts) for r in last.collect()}
+    want = {r.seq: (r.priority, r.paused, r.n_boosts) for r in reprioritise(findings, spark.createDataFrame(EVENTS, shape)).collect()}
+    assert got == want

@@ -127,3 +127,38 @@ def test_empty_inputs(spark):
     none = spark.createDataFrame([], "seq int, type string, severity string, file string, description string")
     assert reports.by_type_and_severity(none).count() == 0
     assert reports.review_summary(none).first().risk == "none"
+
+
+def test_positions_at_scale(spark):
+    """Over many partitions and with ties, positions are those of row_number and no row is lost."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        n = 400_000
+        df = spark.range(n).select(F.col("id").alias("seq"), (F.xxhash64("id") % 900).cast("double").alias("priority_score"), (F.xxhash64("id", F.lit(1)) % 50).cast("double").alias("business_impact_score"), F.repeat(F.lit("x"), 40).alias("pad"))
+        got = ranking.prioritised(df).select("seq", "score", "position")
+        placed = got.toPandas().sort_values("position")
+        assert placed["position"].tolist() == list(range(1, n + 1))
+        keys = list(zip((-placed["score"]).tolist(), placed["seq"].tolist(), strict=True))
+        assert keys == sorted(keys)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_graph_has_no_depth_cap(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(30)], "src int, dst int")
+    assert graph.reach(chain, graph.frame(spark, [0])).count() == 31
+    ring = spark.createDataFrame([(i, (i + 1) % 6) for i in range(6)] + [(9, 0)], "src int, dst int")
+    assert [list(r.members) for r in graph.cycles(ring).collect()] == [[0, 1, 2, 3, 4, 5]]
+
+
+def test_failing_scanner_gives_a_row(spark):
+    from plumbline.functions.settings import Registry
+
+    files = spark.createDataFrame([("a.py", "x")], "path string, text string")
+    r = Registry()
+    r.register("good", lambda f: f.select("path"))
+    r.register("broken", lambda f: f.select("nothing_like_it"))
+    r.register("late", lambda f: f.selectExpr("path", "cast(text AS int) AS n"))
+    rows = r.scan(files).collect()
+    assert sum(x.path == "a.py" for x in rows) == 1 and {x.scanner for x in rows if x.scan_error} == {"broken", "late"}
