@@ -184,7 +184,7 @@ def summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     order = np.argsort(index.astype(np.uint16), kind="stable")
     ordered = index[order]
     first = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
-    return ordered[first], np.add.reduceat(rows[order], first, axis=0), np.diff(np.append(first, len(index)))
+    return ordered[first], np.add.reduceat(rows.take(order, axis=0), first, axis=0), np.diff(np.append(first, len(index)))
 
 
 PARTS = ("context", "mixing", "group", "target")
@@ -216,7 +216,7 @@ class LogBilinear:
         """The vectors of contexts, with a one behind."""
         size = self.context.shape[1]
         q = np.ones((prev.shape[1], size + 1), np.float32)
-        q[:, :size] = sum(self.context[p] @ m.reshape(size, size) for p, m in zip(prev, self.mixing, strict=True))
+        q[:, :size] = sum(self.context.take(p, axis=0) @ m.reshape(size, size) for p, m in zip(prev, self.mixing, strict=True))
         return q
 
     def log_probs(self, prev: np.ndarray, units: np.ndarray) -> np.ndarray:
@@ -253,7 +253,7 @@ class LogBilinear:
 class Trainer:
     """Noise-contrastive steps over batches, from a shared model; remembers how often every row was touched."""
 
-    def __init__(self, model: LogBilinear, noise: int = 64, few: int = 1, rate: float = 0.15, seed: int = 5, steps: dict | None = None):
+    def __init__(self, model: LogBilinear, noise: int = 40, few: int = 1, rate: float = 0.15, seed: int = 5, steps: dict | None = None):
         self.m, self.noise, self.few, self.rate, self.rng = model, noise, few, rate, np.random.default_rng(seed)
         self.squares = {k: np.full(len(getattr(model, k)), 1e-6, np.float32) for k in PARTS} if steps is None else {k: v.copy() for k, v in steps.items()}
         self.touched = {k: np.zeros(len(getattr(model, k)), np.float64) for k in PARTS}
@@ -281,7 +281,7 @@ class Trainer:
         # which group: noise drawn once for the batch
         g = m.group_of[units]
         drawn = rng.choice(len(m.group), self.noise, p=m.group_share)
-        own, others = m.group[g], m.group[drawn]
+        own, others = m.group.take(g, axis=0), m.group[drawn]
         right = 1 - self.real(np.einsum("nd,nd->n", q, own), m.group_log[g], self.noise)
         wrong = -self.real(q @ others.T, m.group_log[drawn], self.noise)
         dq = right[:, None] * own + wrong @ others
@@ -289,23 +289,24 @@ class Trainer:
         # which unit of the group: noise drawn for every token
         several = np.flatnonzero(m.unit_share[units] < 1)
         if len(several):
-            u, gu, qu = units[several], g[several], q[several]
+            u, gu, qu = units[several], g[several], q.take(several, axis=0)
             high = m.upto[m.starts[1:] - 1]
             other = np.searchsorted(m.upto, high[gu] - rng.random((self.few, len(u))) * m.group_share[gu])
             other = np.clip(other, m.starts[gu], m.starts[gu + 1] - 1)
-            rows = [u, *other]
+            rows, back = [u, *other], np.zeros_like(qu)
             for k, r in enumerate(rows):
-                v = m.target[r]
+                v = m.target.take(r, axis=0)
                 y = self.real(np.einsum("nd,nd->n", qu, v), m.unit_log[r], self.few)
                 y = (1 - y if k == 0 else -y)[:, None]
-                dq[several] += y * v
+                back += y * v
                 rows[k] = (r, y * qu)
+            dq[several] += back
             moves.append(("target", np.concatenate([r for r, _ in rows]), np.concatenate([x for _, x in rows])))
         dq = dq[:, :size]
         change, moved = [], []
         for j in range(len(prev)):
             mix = m.mixing[j].reshape(size, size)
-            change.append((m.context[prev[j]].T @ dq).ravel())
+            change.append((m.context.take(prev[j], axis=0).T @ dq).ravel())
             moved.append(dq @ mix.T)
         moves.append(("context", prev.ravel(), np.concatenate(moved)))
         for name, index, rows in moves:
