@@ -203,6 +203,7 @@ def write(docs: DataFrame, folder: str, shards: int, vocabulary: str | None = No
                 raise ValueError("ids don't fit the width")
             writer.add(b["doc_id"], np.diff(offsets) + 1, np.insert(ids, offsets[1:], end))
             ends += [b["doc_id"][0].as_py(), b["doc_id"][-1].as_py()]
+        encoder.release()
         if writer:
             head = writer.close()
             yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "uri": [uri], "records": [head["records"]], "ids": [head["ids"]], "first_id": pa.array([ends[0]], pa.int64()), "last_id": pa.array([ends[-1]], pa.int64())})

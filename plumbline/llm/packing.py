@@ -161,6 +161,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, e
             n = np.diff(offsets)
             whole = np.insert(ids, offsets[1:], end)
             yield from packer.add(b["doc_id"].to_pylist(), n + 1, whole)
+        encoder.release()
         if packer.size:
             yield packer.solve(True)
 

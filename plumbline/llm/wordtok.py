@@ -91,6 +91,12 @@ class WordEncoder:
         self.parts = RaggedCache(lambda w: [e.ids for e in part.encode_batch_fast(w, add_special_tokens=False)], cache_words)
         self.others = RaggedCache(lambda w: [e.ids for e in self.whole.encode_batch_fast(w, add_special_tokens=False)], cache_words // 4)
 
+    def release(self) -> None:
+        """Forget all words: a worker that waits for other work holds no memory of this."""
+        self.parts.clear()
+        self.others.clear()
+        pa.default_memory_pool().release_unused()
+
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, lengths and ids of distinct words."""
         plain = pc.match_substring_regex(words, PLAIN)
@@ -151,7 +157,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(vocabulary: str) -> WordEncoder:
-    """The process's encoder for a vocabulary; Python workers keep it from task to task."""
+    """The process's encoder for a vocabulary; Python workers keep it from task to task, without its words once a task releases them."""
     if vocabulary not in _encoders:
         _encoders[vocabulary] = WordEncoder(vocabulary)
     return _encoders[vocabulary]
