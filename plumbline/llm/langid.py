@@ -112,11 +112,14 @@ class Model:
             own = slice(first, first + len(starts))
             has[own] |= np.add.reduceat((u[:m] != 32).astype(np.int64), np.minimum(starts, m - 1)) > 0
             found = grams(u)
+            ends = np.append(starts[1:] - 3, m)
+            gaps = (ends[:-1, None] + np.arange(3)).ravel()  # n-grams that begin there reach into the next text
             for j in range(k):
                 w = self.weights[:, j]
                 v = w[found[0]] + w[found[1]] + w[found[2]]
+                v[gaps] = 0
                 total[own, j] += np.add.reduceat(v, np.minimum(starts, m - 1), dtype=np.float64)
-            n[own] += 3 * np.diff(np.append(starts, m))
+            n[own] += 3 * (ends - starts)
         return total / np.maximum(n, 1)[:, None] + self.bias, has
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -174,11 +177,14 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray, int]], epochs: int = 4, al
     return model
 
 
-def train(docs: DataFrame, trainable: Column, per_language: int = 600) -> Model:
-    """Fit on about ``per_language`` labelled rows of each language among those that ``trainable`` marks."""
+def train(docs: DataFrame, trainable: Column, per_language: int = 600, languages: int = 200) -> Model:
+    """Fit on about ``per_language`` labelled rows of each of the ``languages`` most frequent labels among the rows that ``trainable`` marks.
+
+    Both bound what comes to the driver, so that stray labels can't fill it.
+    """
     common.prepare(docs.sparkSession)
     rows = common.columns(docs, "doc_id", "text", "lang").filter(trainable & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    have = rows.groupBy("lang").count()
+    have = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
     pick = F.broadcast(have.select("lang", F.least(F.lit(per_language) / F.col("count"), F.lit(1.0)).alias("share")))
     sample = rows.join(pick, "lang").filter(F.pmod(F.xxhash64("doc_id", F.crc32(F.encode("text", "UTF-8"))), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("lang", "text")
 
