@@ -58,11 +58,19 @@ def blast_radius(edges: DataFrame, changed: list[int], total: int, hops: int | N
 
 def shortest_paths(edges: DataFrame, entries: DataFrame, hops: int | None = None) -> DataFrame:
     """For every entry point and node the shortest chain, the least in text order of equals (GR-6 to GR-9)."""
-    best = entries.select(C("node").alias("entry"), "node", F.array("node").alias("path"))
+    return grown(edges, entries.select(C("node").alias("entry"), "node", F.array("node").alias("path")), ["entry", "node"], hops)
+
+
+def nearest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """For every node that can be reached the shortest chain from any start, the least in text order of equals (DET-7, DET-9)."""
+    return grown(edges, starts.select("node", F.array("node").alias("path")).distinct(), ["node"], None)
+
+
+def grown(edges: DataFrame, best: DataFrame, keys: list[str], hops: int | None) -> DataFrame:
     front = best
     for h in steps(hops):
-        step = front.join(edges, front["node"] == edges["src"]).select("entry", C("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        front = cut(step.groupBy("entry", "node").agg(F.min("path").alias("path")).join(best.select("entry", "node"), ["entry", "node"], "left_anti"))
+        step = front.join(edges, front["node"] == edges["src"]).select(*keys[:-1], C("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        front = cut(step.groupBy(*keys).agg(F.min("path").alias("path")).join(best.select(*keys), keys, "left_anti"))
         if front.isEmpty():
             break
         best = best.unionByName(front)

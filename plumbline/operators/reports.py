@@ -16,6 +16,15 @@ def by_type_and_severity(df: DataFrame) -> DataFrame:
     return rows.select(F.when(C("g") == 0, "type").otherwise("severity").alias("facet"), F.when(C("g") == 0, C("type")).otherwise(C("severity")).alias("value"), "n")
 
 
+def dashboard(findings: DataFrame, plans: DataFrame, forecast: DataFrame) -> DataFrame:
+    """Both distributions, the number of all findings and of plans at hand, and the forecast where there is one (AGG-7)."""
+    n = F.count(F.lit(1)).alias("n")
+    rows = by_type_and_severity(findings)
+    for facet, df in (("total", findings), ("plans", plans)):
+        rows = rows.unionByName(df.agg(n).select(F.lit(facet).alias("facet"), F.lit("").alias("value"), "n"))
+    return rows.unionByName(forecast.select(F.lit("trend").alias("facet"), C("trend").alias("value"), C("predicted").cast("long").alias("n")))
+
+
 def hotspots(df: DataFrame, column: str, k: int) -> DataFrame:
     """Most frequent values, ties in first-seen order (AGG-2)."""
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq")).orderBy(F.desc("n"), "first_seq").limit(k)

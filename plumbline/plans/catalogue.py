@@ -45,4 +45,4 @@ def query(sql: str | None = None, views: str = ""):
     return add
 
 
-from . import detecting, recording, reporting, scoring, tracing  # noqa: E402, F401
+from . import coding, detecting, recording, reporting, scoring, tracing  # noqa: E402, F401

@@ -6,7 +6,11 @@ Python code is parsed once for each file, into tagged fact rows; detectors are S
 from __future__ import annotations
 
 import ast
+import io
+import json
+import math
 import re
+import tokenize
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import dims
 
 C = F.col
-FACTS = "path string, kind string, name string, line int, end_line int, parameters int, depth int, complexity int, cognitive int, typed boolean, entry boolean, owner string"
+FACTS = "path string, kind string, name string, line int, end_line int, parameters int, depth int, complexity int, cognitive int, typed boolean, entry boolean, owner string, place int, value double, detail string"
 
 
 def source_files(spark: SparkSession, root: str, extensions: list[str], excludes: list[str] | None = None) -> DataFrame:
@@ -68,20 +72,103 @@ def toml_dependencies(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(go, "path string, package string, spec string")
 
 
+# Names of route decorators and of base classes of views.
+ROUTES = {"route", "get", "post", "put", "patch", "delete"}
+VIEWS = {"View", "APIView", "GenericAPIView", "ModelViewSet", "ViewSet"}
+
+
+def route_kind(mark: ast.expr) -> str | None:
+    """Framework of a route decorator: that of ``router.get(..)`` is fastapi, any other's flask (DET-43)."""
+    target = mark.func if isinstance(mark, ast.Call) else mark
+    if not isinstance(target, ast.Attribute) or target.attr not in ROUTES:
+        return None
+    called_on = target.value.id if isinstance(mark, ast.Call) and isinstance(target.value, ast.Name) else ""
+    return "fastapi" if called_on == "router" else "flask"
+
+
+def entry_point(tree: ast.Module) -> tuple[str, str] | None:
+    """Kind and detail of a module's first way in, by level of the tree; a main guard comes last (DET-42)."""
+    guard = None
+    for node in ast.walk(tree):
+        match node:
+            case ast.FunctionDef(decorator_list=marks) if kinds := [k for k in map(route_kind, marks) if k]:
+                return kinds[0], f"{node.name}()"
+            case ast.FunctionDef(name="handler") if {"event", "context"} <= {a.arg for a in node.args.args}:
+                return "lambda", "handler(event, context)"
+            case ast.ClassDef(bases=bases) if any(getattr(b, "id", getattr(b, "attr", "")) in VIEWS for b in bases):
+                return "django", f"class {node.name}"
+            case ast.If(test=ast.Compare(left=ast.Name(id="__name__"))):
+                guard = "main", 'if __name__ == "__main__"'
+    return guard
+
+
+def halstead_volume(tree: ast.Module) -> float:
+    """Length times log2 of the vocabulary, over arithmetic, logic and comparisons; operands are told apart by function."""
+    operators, operands, length = set(), set(), 0
+
+    def look(node: ast.AST, where: str) -> None:
+        nonlocal length
+        match node:
+            case ast.BinOp(left=a, op=op, right=b) | ast.AugAssign(target=a, op=op, value=b):
+                signs, sides = [op], [a, b]
+            case ast.UnaryOp(op=op, operand=a):
+                signs, sides = [op], [a]
+            case ast.BoolOp(op=op, values=sides):
+                signs = [op]
+            case ast.Compare(left=a, ops=signs, comparators=rest):
+                sides = [a, *rest]
+            case _:
+                signs, sides = [], []
+        length += len(signs) + len(sides)
+        operators.update(type(s).__name__ for s in signs)
+        operands.update((where, getattr(x, "id", getattr(x, "attr", repr(x.value) if isinstance(x, ast.Constant) else id(x)))) for x in sides)
+        for child in ast.iter_child_nodes(node):
+            look(child, node.name if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else where)
+
+    look(tree, "")
+    words = len(operators) + len(operands)
+    return length * math.log2(words) if words else 0.0
+
+
+def maintainability(tree: ast.Module, text: str, branches: int) -> float:
+    """Maintainability index from 0 to 100: volume, branches, statements and share of comments (DET-20).
+
+    Statements are counted in the tree; text of several lines that stands alone counts as comment.
+    """
+    notes, code = 0, set()
+    for t in tokenize.generate_tokens(io.StringIO(text).readline):
+        if t.type == tokenize.COMMENT:
+            notes += 1
+        elif t.type not in (tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER):
+            code.update(range(t.start[0], t.end[0] + 1))
+    alone = {n for x in ast.walk(tree) if isinstance(x, ast.Expr) and isinstance(x.value, ast.Constant) and isinstance(x.value.value, str) and x.end_lineno > x.lineno for n in range(x.lineno, x.end_lineno + 1)}
+    statements = sum(isinstance(x, (ast.stmt, ast.ExceptHandler)) for x in ast.walk(tree))
+    volume, lines = halstead_volume(tree), len(code - alone)
+    if volume <= 0 or statements <= 0:
+        return 100.0
+    share = (notes + len(alone)) / lines * 100 if lines else 0.0
+    # The index's weights.
+    raw = 171 - 5.2 * math.log(volume) - 0.23 * (1 + branches) - 16.2 * math.log(statements) + 50 * math.sin(math.sqrt(2.46 * math.radians(share)))
+    return min(max(raw * 100 / 171, 0.0), 100.0)
+
+
+def bare(called: ast.expr) -> str:
+    return called.attr if isinstance(called, ast.Attribute) else getattr(called, "id", "")
+
+
 class Facts(ast.NodeVisitor):
     """Fact rows of one module."""
 
     BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.IfExp, ast.Assert, ast.comprehension)
     NESTING = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.ExceptHandler)
-    # Names of entry points and of route decorators.
+    # Names of entry points.
     ENTRIES = {"main", "handler", "handle_request", "run"}
-    ROUTES = {"route", "get", "post", "put", "patch", "delete"}
 
     def __init__(self, path: str):
-        self.path, self.rows, self.alias, self.owner = path, [], {}, ""
+        self.path, self.rows, self.alias, self.owner, self.places = path, [], {}, "", {}
 
     def add(self, kind: str, name: str, node: ast.AST | None, **more) -> None:
-        row = {"path": self.path, "kind": kind, "name": name, "line": getattr(node, "lineno", 0), "end_line": getattr(node, "end_lineno", 0) or 0, "parameters": 0, "depth": 0, "complexity": 0, "cognitive": 0, "typed": False, "entry": False, "owner": self.owner}
+        row = {"path": self.path, "kind": kind, "name": name, "line": getattr(node, "lineno", 0), "end_line": getattr(node, "end_lineno", 0) or 0, "parameters": 0, "depth": 0, "complexity": 0, "cognitive": 0, "typed": False, "entry": False, "owner": self.owner, "place": 0, "value": 0.0, "detail": ""}
         self.rows.append(row | more)
 
     def visit_Import(self, node: ast.Import) -> None:
@@ -115,12 +202,27 @@ class Facts(ast.NodeVisitor):
             total += self.cognitive(c, level + nests)
         return total
 
+    def branches(self, node: ast.AST) -> int:
+        inner = list(ast.walk(node))
+        return sum(isinstance(x, self.BRANCHES) for x in inner) + sum(len(x.values) - 1 for x in inner if isinstance(x, ast.BoolOp))
+
+    def module(self, text: str) -> None:
+        """All rows of a module's text, with its way in and its maintainability."""
+        tree = ast.parse(text)
+        self.places = {id(x): i for i, x in enumerate(ast.walk(tree))}
+        self.visit(tree)
+        if found := entry_point(tree):
+            self.add("entry_point", found[0], None, detail=found[1])
+        self.add("module", "", None, value=maintainability(tree, text, self.branches(tree)))
+
     def function(self, node) -> None:
         args = [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]
         own = [a for a in args if a.arg not in ("self", "cls")]
-        branches = sum(isinstance(x, self.BRANCHES) for x in ast.walk(node)) + sum(len(x.values) - 1 for x in ast.walk(node) if isinstance(x, ast.BoolOp))
-        marks = {d.attr if isinstance(d, ast.Attribute) else getattr(d, "id", "") for d in node.decorator_list}
-        self.add("function", node.name, node, parameters=len(args), depth=self.depth(node), complexity=1 + branches, cognitive=self.cognitive(node), typed=node.returns is not None and all(a.annotation for a in own), entry=node.name in self.ENTRIES or bool(marks & self.ROUTES))
+        marks = {(d.attr if isinstance(d, ast.Attribute) else getattr(d, "id", "")).lower() for d in node.decorator_list}
+        hints = {"returns": ast.unparse(node.returns) if node.returns else None, "parameters": [{"name": a.arg, "hint": ast.unparse(a.annotation) if a.annotation else None} for a in node.args.args]}
+        self.add("function", node.name, node, parameters=len(args), depth=self.depth(node), complexity=1 + self.branches(node), cognitive=self.cognitive(node), typed=node.returns is not None and all(a.annotation for a in own), entry=node.name.lower() in self.ENTRIES or bool(marks & ROUTES), place=self.places.get(id(node), 0), detail=json.dumps(hints))
+        for name in sorted({bare(x.func) for x in ast.walk(node) if isinstance(x, ast.Call)} - {""}):
+            self.add("calls", name, node, owner=node.name, place=self.places.get(id(node), 0))
         before, self.owner = self.owner, node.name
         self.generic_visit(node)
         self.owner = before
@@ -130,6 +232,8 @@ class Facts(ast.NodeVisitor):
     def visit_Call(self, node: ast.Call) -> None:
         if name := self.dotted(node.func):
             self.add("call", name, node)
+        if name := bare(node.func):
+            self.add("call_site", name, node)
         self.generic_visit(node)
 
     def visit_Attribute(self, node: ast.Attribute) -> None:
@@ -146,7 +250,8 @@ class Facts(ast.NodeVisitor):
 def syntax_facts(files: DataFrame) -> DataFrame:
     """Functions with their measures, imports, calls, attributes and references; ``error`` rows for code that doesn't parse.
 
-    DET-7, DET-10 to DET-13, DET-18, DET-19, DET-21, DET-22, DET-25, DET-26, DET-31, DET-37, TXT-25, TXT-28, TXT-29, TXT-45.
+    A function's ``calls`` rows name what it calls, also within inner functions; ``place`` is a node's rank by level.
+    DET-10 to DET-13, DET-18 to DET-22, DET-25, DET-26, DET-31, DET-37, DET-42, TXT-25, TXT-28, TXT-29, TXT-45.
     """
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,8 +261,9 @@ def syntax_facts(files: DataFrame) -> DataFrame:
             for path, text in zip(b["path"], b["text"], strict=True):
                 facts = Facts(path)
                 try:
-                    facts.visit(ast.parse(text or ""))
-                except (SyntaxError, ValueError, RecursionError):
+                    facts.module(text or "")
+                except (SyntaxError, ValueError, RecursionError, tokenize.TokenError):
+                    facts.rows = []
                     facts.add("error", "syntax", None)
                 rows += facts.rows
             yield pd.DataFrame(rows, columns=names)
@@ -183,6 +289,13 @@ def smells(facts: DataFrame, length: int = 50, parameters: int = 5, depth: int =
     return f.select("path", "name", "line", F.explode(found).alias("s")).select("path", "name", "line", "s.*")
 
 
+def low_maintainability(facts: DataFrame) -> DataFrame:
+    """Files whose index isn't above 19 (DET-20)."""
+    grade = F.when(C("value") > 9, "B").otherwise("C")
+    rows = facts.filter("kind = 'module' and value <= 19").select("path", F.lit(1).alias("line"), "value", grade.alias("grade"))
+    return rows.withColumn("severity", F.when(C("grade") == "C", "high").otherwise("medium")).withColumn("priority", F.least(F.lit(200.0), 60 + 3 * (20 - C("value"))))
+
+
 def dangerous_calls(facts: DataFrame) -> DataFrame:
     """Calls that run text as code (DET-37)."""
     return facts.filter((C("kind") == "call") & C("name").isin("eval", "exec", "compile", "__import__"))
