@@ -17,6 +17,66 @@ def merged(base: Mapping[str, Any], over: Mapping[str, Any]) -> dict[str, Any]:
     return out
 
 
+# Settings and what they are when nobody sets them.
+DEFAULTS: dict[str, Any] = {
+    "version": "1.0",
+    "scanners": {
+        "deprecated_apis": {"enabled": True, "severity": "high", "libraries": ["pandas", "numpy", "requests", "django", "flask"], "custom_patterns": [], "exclude": ["migrations/**", "vendor/**"]},
+        "todo_comments": {"enabled": True, "max_age_days": 90, "patterns": ["TODO", "FIXME", "HACK", "XXX"], "languages": ["py", "go", "cs", "js", "ts", "java"]},
+        "code_smells": {"enabled": True, "cyclomatic_complexity": 10, "function_length": 50, "nesting_depth": 4, "max_parameters": 5, "file_length": 500},
+        "security_patterns": {"enabled": True, "detect_hardcoded_secrets": True, "detect_weak_crypto": True, "detect_sql_injection": True, "detect_command_injection": True, "languages": ["py", "go", "cs", "js", "ts", "java"]},
+        "type_coverage": {"enabled": True, "target_coverage": 80, "strict_mode": False},
+        "dependency_upgrades": {"enabled": True, "tracked_files": ["requirements.txt", "requirements-dev.txt", "requirements-test.txt", "pyproject.toml", "uv.lock", "poetry.lock"]},
+    },
+    "behavior": {"max_prs_per_run": 5, "require_human_review": True, "confidence_threshold": 7, "max_files_per_pr": 5, "max_lines_per_pr": 500, "auto_split_prs": True, "proposal_mode_threshold": 5, "enable_alternatives": True},
+    "notifications": {"channels": [], "severity_threshold": "medium", "events": ["pr_created", "pipeline_failed"]},
+    "advanced": {"backup_retention_days": 7, "cache_ttl": 3600, "exclude_paths": ["vendor/**", "node_modules/**", "*.min.js", "migrations/**", ".venv/**", "build/**", "dist/**"]},
+    "budget": {"monthly_budget": 500.0, "alert_thresholds": [50, 80, 90, 100], "hard_limit": True},
+    "approval": {"require_plan_approval": False, "require_pr_approval": True, "approved_repos": [], "sensitive_paths": ["**/auth/**", "**/payments/**", "**/security/**"]},
+    "sla": {"enabled": True, "failure_spike_threshold": 10.0},
+    "learning": {"enabled": True, "target_success_rate": 0.9, "auto_adjust_confidence": True},
+    "business_impact": {"enabled": True, "usage_weight": 100.0, "criticality_weight": 50.0, "change_frequency_weight": 30.0, "velocity_impact_weight": 40.0, "regulatory_risk_weight": 80.0},
+    "forecasting": {"enabled": True, "forecast_horizon_days": 90, "min_snapshots": 3},
+    "onboarding": {"auto_detect_language": True, "auto_detect_ci": True},
+    "migrations": {"enabled": False, "pr_strategy": "staged", "max_files_per_stage": 10, "playbooks": {}},
+}
+# The ranges that numbers must keep to, None for no bound.
+RANGES = {
+    "behavior.confidence_threshold": (1, 10),
+    "behavior.proposal_mode_threshold": (1, 10),
+    "behavior.max_files_per_pr": (1, None),
+    "behavior.max_lines_per_pr": (1, None),
+    "budget.monthly_budget": (0, None),
+    "sla.failure_spike_threshold": (0, None),
+    "learning.target_success_rate": (0, 1),
+    "business_impact.usage_weight": (0, None),
+    "business_impact.criticality_weight": (0, None),
+    "business_impact.change_frequency_weight": (0, None),
+    "business_impact.velocity_impact_weight": (0, None),
+    "business_impact.regulatory_risk_weight": (0, None),
+    "forecasting.forecast_horizon_days": (7, None),
+    "forecasting.min_snapshots": (2, None),
+    "migrations.max_files_per_stage": (1, None),
+}
+
+
+def settings(*layers: Mapping[str, Any]) -> dict[str, Any]:
+    """The defaults with layers over them, the last one first in rank; ranges and kinds of values are checked (UDF-5, UDF-6).
+
+    Sections that only services need (repository host, chat, cloud) pass through unread.
+    """
+    out = merged({}, DEFAULTS)
+    for layer in layers:
+        out = merged(out, layer)
+    for name, (low, high) in RANGES.items():
+        section, key = name.split(".")
+        value = out[section][key]
+        if isinstance(value, bool) or not isinstance(value, (int, float)) or (low is not None and value < low) or (high is not None and value > high):
+            raise ValueError(f"{name} must be a number from {low} to {high if high is not None else 'any'}, not {value!r}")
+    Thresholds(out["behavior"]["confidence_threshold"], out["behavior"]["proposal_mode_threshold"])
+    return out
+
+
 def coerced(text: str) -> Any:
     low = text.strip().lower()
     if low in ("true", "false"):

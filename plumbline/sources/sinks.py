@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,29 @@ def markdown(df: DataFrame, title: str, limit: int = 100) -> str:
     return f"# {title}\n\n{head}\n{body}\n"
 
 
+def report_page(summary: DataFrame, by_type: DataFrame, title: str) -> str:
+    """A report as one HTML page: the summary's row, a table by type and bars of its numbers, drawn without scripts (SNK-7).
+
+    summary has one row; by_type has a row for each finding type, its name in the first column.
+    """
+    esc = lambda v: html.escape("" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v))
+    cells = lambda values, tag="td": "".join(f"<{tag}>{esc(v)}</{tag}>" for v in values)
+    head, rows = by_type.columns, [tuple(r) for r in by_type.orderBy(by_type.columns[0]).collect()]
+    top = "".join(f"<tr>{cells(pair)}</tr>" for pair in summary.first().asDict().items())
+    body = "".join(f"<tr>{cells(r)}</tr>" for r in rows)
+    bars = ""
+    for i, name in enumerate(head[1:], 1):
+        numbers = [float(r[i] or 0) for r in rows]
+        most = max(map(abs, numbers), default=0) or 1
+        bars += f"<h3>{esc(name)}</h3>" + "".join(f'<div>{esc(r[0])} <meter max="1" value="{abs(x) / most:.4f}">{esc(x)}</meter></div>' for r, x in zip(rows, numbers, strict=True))
+    return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{esc(title)}</title></head><body><h1>{esc(title)}</h1><table>{top}</table><table><tr>{cells(head, "th")}</tr>{body}</table>{bars}</body></html>'
+
+
+def transaction_log(entries: DataFrame, path: str, order: str = "seq") -> None:
+    """Entries of a change log as JSON lines, in their order from file to file (SNK-11)."""
+    entries.orderBy(order).write.mode("overwrite").json(path)
+
+
 def snapshot(findings: DataFrame, path: str, repo_hash: str, day: str) -> None:
     """Totals by type of one scan as a JSON document (SNK-10, AGG-32)."""
     counts = findings.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
