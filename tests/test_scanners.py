@@ -61,3 +61,10 @@ def test_ledgers_and_snapshots_read_back(spark, tmp_path):
     for name, text in (("abc-2.json", '{"n": 2}'), ("abc-1.json", '{"n": 1}'), ("zzz-1.json", '{"n": 9}'), ("abc-3.json", "{broken")):
         (tmp_path / "snaps" / name).write_text(text)
     assert [r.n for r in files.snapshots(spark, str(tmp_path / "snaps"), "abc", "n long").collect()] == [1, 2]
+
+
+def test_advice_follows_the_trend(spark):
+    from plumbline.operators import forecast
+
+    rows = spark.createDataFrame([("worsening", 1.5, 140.0), ("improving", -1.0, 3.0)], "trend string, slope double, predicted double")
+    assert {r.action for r in forecast.actions(rows).collect()} == {"Debt grows by 1.5 findings a day", "Plan a clean-up sprint", "Keep the present pace"}
