@@ -47,9 +47,19 @@ def test_topk(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
-def test_topk_asks_with_every_row_of_an_id(spark, duck):
+@pytest.mark.parametrize("many", [False, True])
+def test_topk_of_repeated_ids(spark, duck, monkeypatch, many):
+    """Equal rows of an id are one query and one candidate, whether or not floors are sought first."""
     from plumbline.llm import queries
 
+    if many:
+        monkeypatch.setattr(topk, "SAMPLED_FROM", 0)
+        monkeypatch.setattr(topk, "SAMPLE", 2)
+        monkeypatch.setattr(topk, "CHUNK_BYTES", 100)
+        monkeypatch.setattr(topk, "FAN", 2)
+    again = [(i, [float(1 + i == 50), float(i)]) for i in range(44, 51)] + [(50, [0.0, 50.0])] * 2
+    found = topk.search(spark.createDataFrame(again, "vec_id long, embedding array<double>"), F.col("vec_id") == 50, 5).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in found] == [(1, 49), (2, 48), (3, 47), (4, 46), (5, 45)]
     rnd = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rnd.normal(size=3)]) for i in range(1, 60)]
     rows += [(50, [9.0, 0.0, 0.0]), (50, [0.0, -9.0, 0.0]), (50, [1.0, 2.0]), (100, [1.0, 1.0]), (100, [0.0, 0.0, 5.0]), (100, [0.0, 0.0, 5.0])]
