@@ -1,133 +1,228 @@
 """Reachability, impact, cycles and cascades over edges.
 
-Frontiers grow by joins until they are empty, or for ``hops`` (``longest``) steps where a caller sets
-them; every hop's new nodes are anti-joined with those seen, so a cyclic graph ends.  Lineage is cut every few hops by writing the frontier to the shared checkpoint folder.
+One loop, ``spread``, carries values along edges until nothing improves.  It works on the nodes that changed in
+the round before, and from the third round on also along shortcuts over stretches without a fork, whose
+lengths double in each round: so a chain of any length takes rounds in the logarithm of it, and other graphs take
+as many as they have forks in a row.  Nodes hold a value, no path; paths are rebuilt for the targets that ask for them,
+from a table of parents and its doubled ancestors.  Every round is one written table, whose rows are counted
+while it is written.
 """
 
 from __future__ import annotations
 
 import itertools
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 C = F.col
-EVERY = 4
+#: Rounds along plain edges before shortcuts are made; rounds between two merges of what was found.
+PLAIN, EVERY = 3, 6
 
 
-def cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset, in local mode."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-"))
+    return (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def steps(hops: int | None):
-    return itertools.count(1) if hops is None else range(1, hops + 1)
+def stored(df: DataFrame) -> tuple[DataFrame, int]:
+    """A table written to the shared folder and read again, with its number of rows: cuts lineage and survives lost executors."""
+    path, seen = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}", Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
+def turned(edges: DataFrame) -> DataFrame:
+    return edges.select(C("dst").alias("src"), C("src").alias("dst"))
+
+
+def unforked(edges: DataFrame, length: int) -> DataFrame:
+    """The edges of nodes that have one alone."""
+    return edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst")).filter("n = 1").select("src", "dst", F.lit(length).cast("long").alias("length"))
+
+
+def spread(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = (), length: int = 1, most: bool = False, hops: int | None = None, limit: int | None = None) -> DataFrame:
+    """The least (``most``: greatest) value of every node, for each of ``keys``: those of ``starts`` (keys, node, value) plus ``length`` an edge.
+
+    ``hops`` stops after so many edges; a value beyond ``limit`` is an error, since only a cycle can give one.
+    """
+    by, pick = [*keys, "node"], F.max if most else F.min
+    edges, _ = stored(edges.select("src", "dst").distinct())
+    ways = edges.withColumn("length", F.lit(length).cast("long"))
+    front, n = stored(starts.select(*by, C("value").cast("long").alias("value")).groupBy(*by).agg(pick("value").alias("value")))
+    found, jumps, left = front, None, 1
+    for r in itertools.count(1):
+        if not n or hops is not None and r > hops:
+            break
+        if hops is None and r > PLAIN and left:
+            jumps = unforked(edges, length) if jumps is None else jumps
+            longer = jumps.alias("a").join(jumps.alias("b"), C("a.dst") == C("b.src")).select("a.src", "b.dst", (C("a.length") + C("b.length")).alias("length"))
+            jumps, left = stored(longer.filter("src <> dst"))
+            ways = ways.unionByName(jumps)
+        step = front.join(ways, front["node"] == ways["src"]).select(*keys, C("dst").alias("node"), (C("value") + C("length")).alias("value"))
+        step = step.groupBy(*by).agg(pick("value").alias("value"))
+        old = found.select(*[C(k).alias(f"old_{k}") for k in by], C("value").alias("old_value"))
+        same = [C(k) == C(f"old_{k}") for k in by]
+        front, n = stored(step.join(old, [*same, C("old_value") >= C("value") if most else C("old_value") <= C("value")], "left_anti"))
+        if limit is not None and n and front.agg(F.max("value")).first()[0] > limit:
+            raise ValueError("nodes depend on each other in a cycle")
+        found = found.unionByName(front)
+        if r % EVERY == 0:
+            found, _ = stored(found.groupBy(*by).agg(pick("value").alias("value")))
+    return found.groupBy(*by).agg(pick("value").alias("value"))
 
 
 def reach(edges: DataFrame, start: DataFrame, hops: int | None = None) -> DataFrame:
     """Least hops from the start nodes to every node, along src to dst (GR-3, GR-5)."""
-    seen = start.select(C("node"), F.lit(0).alias("hop")).distinct()
-    front = seen
-    for h in steps(hops):
-        step = front.join(edges, front["node"] == edges["src"]).select(C("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(h))
-        front = cut(step)
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-        seen = cut(seen) if h % EVERY == 0 else seen
-    return seen
-
-
-def blast_radius(edges: DataFrame, changed: list[int], total: int, hops: int | None = None) -> DataFrame:
-    """What depends on changed modules, and how bad that is (GR-3, SET-5, GR-11).  edges: src imports dst."""
-    spark = edges.sparkSession
-    start = spark.createDataFrame([(c,) for c in changed], "node int")
-    found = reach(edges.select(C("dst").alias("src"), C("src").alias("dst")), start, hops)
-    n = lambda when: F.sum(when.cast("long"))
-    out = found.agg(n(C("hop") == 1).alias("direct"), n(C("hop") > 1).alias("transitive"), F.count(F.lit(1)).alias("affected"))
-    radius = F.round(C("affected") / F.lit(float(total)), 4)
+    return spread(edges, start.select("node", F.lit(0).alias("value")), hops=hops).select("node", C("value").cast("int").alias("hop"))
+
+
+def blast_radius(edges: DataFrame, changed: DataFrame, modules: DataFrame | None = None, hops: int | None = None) -> DataFrame:
+    """What depends on changed modules, and how bad that is (GR-3, SET-5, GR-11).  edges: src imports dst.
+
+    The radius is the part of all ``modules`` (column node; the nodes of the edges, if none are given) that is affected.
+    """
+    found = reach(turned(edges), changed, hops)
+    every = edges.select(C("src").alias("node")).union(edges.select("dst")) if modules is None else modules.select("node")
+    total = every.agg(F.greatest(F.count_distinct("node"), F.lit(1)).alias("total"))
+    n = lambda when: F.coalesce(F.sum(when.cast("long")), F.lit(0))
+    out = found.agg(n(C("hop") == 1).alias("direct"), n(C("hop") > 1).alias("transitive"), F.count(F.lit(1)).alias("affected")).withColumn("total", total.scalar())
+    radius = F.round(C("affected") / C("total").cast("double"), 4)
     risk = F.when(C("radius") > 0.3, "critical").when(C("radius") > 0.15, "high").when(C("radius") > 0.05, "medium").otherwise("low")
-    return out.withColumn("radius", radius).withColumn("risk", risk).withColumn("gate_passed", C("radius") <= 0.3)
+    return out.withColumn("radius", radius).drop("total").withColumn("risk", risk).withColumn("gate_passed", C("radius") <= 0.3)
 
 
-def shortest_paths(edges: DataFrame, entries: DataFrame, hops: int | None = None) -> DataFrame:
-    """For every entry point and node the shortest chain, the least in text order of equals (GR-6 to GR-9)."""
-    return grown(edges, entries.select(C("node").alias("entry"), "node", F.array("node").alias("path")), ["entry", "node"], hops)
+def parents(edges: DataFrame, found: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, node, value, parent: the least of the nodes that an edge leads from and that are one step nearer; none for starts."""
+    near = found.select(*keys, C("node").alias("src"), C("value").alias("before"))
+    step = near.join(edges.select("src", "dst").distinct(), "src").select(*keys, C("dst").alias("node"), (C("before") + 1).alias("value"), "src")
+    return found.join(step, [*keys, "node", "value"], "left").groupBy(*keys, "node", "value").agg(F.min("src").alias("parent"))
 
 
-def nearest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """For every node that can be reached the shortest chain from any start, the least in text order of equals (DET-7, DET-9)."""
-    return grown(edges, starts.select("node", F.array("node").alias("path")).distinct(), ["node"], None)
+def chains(up: DataFrame, targets: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, node, path: the nodes from the start to each target (keys, node; all nodes, if none are given) over a table of parents.
 
+    Ancestors are doubled: a round gives each row of a target the row as far above it again.
+    """
+    up, _ = stored(up)
+    ask = up if targets is None else up.join(targets.select(*keys, "node").distinct(), [*keys, "node"], "left_semi")
+    rows, _ = stored(ask.select(*keys, C("node").alias("target"), "node", "value"))
+    above, n = stored(up.filter("parent IS NOT NULL").select(*keys, "node", C("parent").alias("to")))
+    step = 1
+    while n:
+        more = rows.filter(C("value") >= step).join(above, [*keys, "node"]).select(*keys, "target", C("to").alias("node"), (C("value") - step).alias("value"))
+        rows, _ = stored(rows.unionByName(more))
+        a, b = above.alias("a"), above.alias("b")
+        on = [C(f"a.{k}") == C(f"b.{k}") for k in keys] + [C("a.to") == C("b.node")]
+        above, n = stored(a.join(b, on).select(*[f"a.{k}" for k in keys], "a.node", "b.to"))
+        step *= 2
+    path = F.sort_array(F.collect_list(F.struct("value", "node")))
+    return rows.groupBy(*keys, "target").agg(path.alias("path")).select(*keys, C("target").alias("node"), C("path.node").alias("path"))
+
+
+def shortest_paths(edges: DataFrame, entries: DataFrame, hops: int | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """For every entry point and target (column node; all, if none are given) one shortest chain: back from the target, always over the least node (GR-6 to GR-9)."""
+    keys = ("entry",)
+    found, _ = stored(spread(edges, entries.select(C("node").alias("entry"), "node", F.lit(0).alias("value")), keys, hops=hops))
+    ask = None if targets is None else found.join(targets.select("node").distinct(), "node", "left_semi")
+    return chains(parents(edges, found, keys), ask, keys)
 
-def grown(edges: DataFrame, best: DataFrame, keys: list[str], hops: int | None) -> DataFrame:
-    front = best
-    for h in steps(hops):
-        step = front.join(edges, front["node"] == edges["src"]).select(*keys[:-1], C("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        front = cut(step.groupBy(*keys).agg(F.min("path").alias("path")).join(best.select(*keys), keys, "left_anti"))
-        if front.isEmpty():
-            break
-        best = best.unionByName(front)
-        best = cut(best) if h % EVERY == 0 else best
-    return best
+
+def nearest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """For every node that can be reached one shortest chain from the nearest start, chosen as in ``shortest_paths`` (DET-7, DET-9)."""
+    found, _ = stored(spread(edges, starts.select("node", F.lit(0).alias("value"))))
+    return chains(parents(edges, found))
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """Edges without those that no cycle can hold: from a node that nothing leads to, or to one that leads nowhere."""
-    left, n = cut(edges.select("src", "dst").filter("src <> dst").distinct()), -1
-    while (now := left.count()) != n:
-        n = now
-        left = cut(left.join(left.select(C("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(C("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-    return left
+def trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those of nodes that nothing leads to or that lead nowhere."""
+    held = edges.join(edges.select(C("src").alias("dst")).distinct(), "dst", "left_semi")
+    return held.join(edges.select(C("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
 
 
-def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
-    """Node sets of all cycles, or of those of up to ``longest`` edges, one row each (DET-32).
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node and component (its least node) of all strongly connected components of two nodes or more.
 
-    A path only grows over nodes above its first, so each cycle is found from its least node; paths
-    over the same nodes to the same tip are one.
+    Forward and backward colouring: every node takes the least colour of all nodes that lead to it, where the
+    colours are hashes of the nodes, anew in each pass.  A component is what leads to the node that a colour comes from,
+    within the colour.  Edges between colours can't be in a component; what is left goes to the next pass.
     """
-    edges = on_cycles(edges) if longest is None else edges
-    paths = edges.filter("src < dst").select(C("src").alias("first"), C("dst").alias("tip"), F.array("src", "dst").alias("path"))
-    found = None
-    for size in itertools.count(2):
-        closed = paths.join(edges, (paths["tip"] == edges["src"]) & (paths["first"] == edges["dst"])).select(C("path").alias("members"))
-        found = closed if found is None else found.unionByName(closed)
-        if size == longest:
+    left, n = stored(edges.filter("src <> dst").select("src", "dst").distinct())
+    done = None
+    for r in itertools.count(1):
+        left, n = stored(trimmed(trimmed(left)))
+        if not n:
             break
-        longer = paths.join(edges, paths["tip"] == edges["src"]).filter((C("dst") > C("first")) & ~F.array_contains("path", C("dst")))
-        paths = cut(longer.select("first", C("dst").alias("tip"), F.array_sort(F.concat("path", F.array("dst"))).alias("path")).distinct())
-        if paths.isEmpty():
-            break
-        found = cut(found) if size % EVERY == 0 else found
-    return found.distinct()
+        nodes = left.select(C("src").alias("node")).union(left.select("dst")).distinct().withColumn("value", F.xxhash64("node", F.lit(r)))
+        colour, _ = stored(spread(left, nodes, length=0).withColumnRenamed("value", "colour"))
+        of = lambda side: colour.select(C("node").alias(side), C("colour").alias(f"{side}_colour"))
+        left, _ = stored(left.join(of("src"), "src").join(of("dst"), "dst").filter("src_colour = dst_colour").select("src", "dst"))
+        origins = colour.filter(C("colour") == F.xxhash64("node", F.lit(r))).select("node", F.lit(0).alias("value"))
+        back, _ = stored(spread(turned(left), origins, length=0).select("node"))
+        members = back.join(colour, "node").groupBy("colour").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+        found, _ = stored(back.join(colour, "node").join(members, "colour").select("node", "component"))
+        done = found if done is None else done.unionByName(found)
+        for side in ("src", "dst"):
+            left = left.join(back.select(C("node").alias(side)), side, "left_anti")
+    return done if done is not None else left.select(C("src").alias("node"), C("src").alias("component"))
+
+
+def closed_walks(edges: DataFrame) -> DataFrame:
+    """component, src, dst and path: one closed walk for every edge that leads back (DET-32).
+
+    Within a strongly connected component, an edge leads back if it doesn't lead farther from the component's least node;
+    every cycle holds one.  The walk goes from the edge's end to its beginning: down the shortest chain from the least node,
+    where that chain holds the end, else over the least node.
+    """
+    of = stored(strong_components(edges))[0]
+    side = lambda s: of.select(C("node").alias(s), C("component").alias(f"{s}_component"))
+    inner = edges.filter("src <> dst").select("src", "dst").distinct().join(side("src"), "src").join(side("dst"), "dst").filter("src_component = dst_component")
+    inner, _ = stored(inner.select("src", "dst", C("src_component").alias("component")))
+    least = of.filter("node = component").select("node", F.lit(0).alias("value"))
+    away, _ = stored(spread(inner, least))
+    home, _ = stored(spread(turned(inner), least))
+    far = lambda s: away.select(C("node").alias(s), C("value").alias(f"{s}_far"))
+    back, _ = stored(inner.join(far("src"), "src").join(far("dst"), "dst").filter("dst_far <= src_far").select("src", "dst", "component", "dst_far"))
+    down = chains(parents(inner, away), back.select(C("src").alias("node"))).select(C("node").alias("src"), C("path").alias("down"))
+    # the end of an edge lies on the chain to its beginning at the place of its own distance, or not at all
+    met = back.join(down, "src").withColumn("held", F.try_element_at("down", (C("dst_far") + 1).cast("int")) == C("dst"))
+    met, _ = stored(met)
+    over = met.filter("NOT held")
+    up = chains(parents(turned(inner), home), over.select(C("dst").alias("node"))).select(C("node").alias("dst"), C("path").alias("home"))
+    direct = met.filter("held").select("component", "src", "dst", F.expr("slice(down, int(dst_far) + 1, size(down))").alias("path"))
+    round_about = over.join(up, "dst").select("component", "src", "dst", F.concat(F.expr("slice(reverse(home), 1, size(home) - 1)"), "down").alias("path"))
+    return direct.unionByName(round_about)
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """Node sets of the closed walks, one row each (DET-32)."""
+    return closed_walks(edges).select(F.array_sort(F.array_distinct("path")).alias("members")).distinct()
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Longest distance from a stage without dependencies: an order of stages (SRT-10).  edges: src depends on dst; a cycle is an error."""
-    level = nodes.select("node", F.lit(0).alias("level"))
-    front = level
-    most = edges.select(C("src").alias("node")).union(edges.select("dst")).distinct().count()
-    for h in itertools.count(1):
-        front = cut(front.join(edges, front["node"] == edges["dst"]).select(C("src").alias("node")).distinct())
-        if front.isEmpty():
-            break
-        if h >= most:
-            raise ValueError("stages depend on each other in a cycle")
-        level = level.unionByName(front.withColumn("level", F.lit(h)))
-        level = cut(level) if h % EVERY == 0 else level
-    return level.groupBy("node").agg(F.max("level").alias("level"))
+    edges, _ = stored(edges.select("src", "dst").distinct())
+    every, n = stored(nodes.select("node").union(edges.select("src")).union(edges.select("dst")).distinct())
+    found = spread(turned(edges), every.withColumn("value", F.lit(0)), most=True, limit=n)
+    return found.select("node", C("value").cast("int").alias("level"))
 
 
 def cascade(edges: DataFrame, failed: DataFrame, nodes: DataFrame, hops: int | None = None) -> DataFrame:
     """Stages that depend on a failed one are rolled back (GR-10)."""
-    hit = reach(edges.select(C("dst").alias("src"), C("src").alias("dst")), failed, hops)
+    hit = reach(turned(edges), failed, hops)
     return nodes.join(hit, "node", "left").select("node", F.when(C("hop") == 0, "failed").when(C("hop") > 0, "rolled_back").otherwise("completed").alias("status"))
 
 

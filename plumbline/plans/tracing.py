@@ -22,17 +22,17 @@ def blast_nodes(v):
 
 
 @query(
-    f"""{REACH}, s AS (SELECT sum((hop = 1)::INT)::BIGINT AS direct, sum((hop > 1)::INT)::BIGINT AS transitive, count(*) AS affected FROM least), r AS (SELECT *, round(affected / 60.0::DOUBLE, 4) AS radius FROM s)
+    f"""{REACH}, s AS (SELECT sum((hop = 1)::INT)::BIGINT AS direct, sum((hop > 1)::INT)::BIGINT AS transitive, count(*) AS affected FROM least), m AS (SELECT count(*) AS n FROM (SELECT src FROM edges UNION SELECT dst FROM edges)), r AS (SELECT *, round(affected / (SELECT n FROM m)::DOUBLE, 4) AS radius FROM s)
 SELECT *, CASE WHEN radius > 0.3 THEN 'critical' WHEN radius > 0.15 THEN 'high' WHEN radius > 0.05 THEN 'medium' ELSE 'low' END AS risk, radius <= 0.3 AS gate_passed FROM r""",
     "edges",
 )
 def blast_radius(v):
-    return graph.blast_radius(v.edges, [1, 31], 60)
+    return graph.blast_radius(v.edges, graph.frame(v.spark, [1, 31]))
 
 
 @query(
     """WITH RECURSIVE walk(entry, node, path) AS (SELECT a, a, [a] FROM (VALUES (2), (23), (45)) AS t(a) UNION ALL SELECT w.entry, e.dst, list_append(w.path, e.dst) FROM walk w JOIN edges e ON e.src = w.node WHERE NOT list_contains(w.path, e.dst))
-SELECT entry::INT AS entry, node::INT AS node, array_to_string(path, '>') AS chain FROM (SELECT *, row_number() OVER (PARTITION BY entry, node ORDER BY len(path), path) AS rn FROM walk) WHERE rn = 1""",
+SELECT entry::INT AS entry, node::INT AS node, array_to_string(path, '>') AS chain FROM (SELECT *, row_number() OVER (PARTITION BY entry, node ORDER BY len(path), list_reverse(path)) AS rn FROM walk) WHERE rn = 1""",
     "edges",
 )
 def reachability(v):

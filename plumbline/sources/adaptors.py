@@ -44,9 +44,6 @@ MARKERS = [
 ]
 SPREAD = 53
 
-#: Orders in a block of the dependency graph.
-BLOCK = 24
-
 SQL = {
     "findings": f"""findings AS (
   SELECT o_orderkey AS seq, {"CASE o_orderkey % 6 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TYPES)) + " END"} AS type,
@@ -79,8 +76,8 @@ SQL = {
     CASE o_orderkey % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'modified' END AS action FROM orders)""",
     "snapshots": """snapshots AS (
   SELECT cast(ts AS DATE) AS day, event_type AS kind, count(*) AS n FROM events GROUP BY ALL)""",
-    "edges": f"""edges AS (
-  SELECT DISTINCT src, dst FROM (SELECT l_orderkey::INT AS src, CASE WHEN l_orderkey % 8 = 0 AND l_linenumber <= 3 THEN l_orderkey + 7 ELSE l_orderkey - 1 END::INT AS dst FROM lineitem) WHERE dst >= 0 AND src // {BLOCK} = dst // {BLOCK})""",
+    "edges": """edges AS (
+  SELECT DISTINCT src, dst FROM (SELECT l_orderkey::INT AS src, CASE WHEN l_orderkey % 8 = 0 AND l_linenumber <= 3 THEN l_orderkey + 7 ELSE l_orderkey - 1 END::INT AS dst FROM lineitem) WHERE dst >= 0)""",
     "history": """history AS (
   SELECT c_custkey AS seq, CASE c_custkey % 3 WHEN 0 THEN 'deprecated_api' WHEN 1 THEN 'security' ELSE 'code_smell' END AS finding_type, 'LIB' || (c_custkey % 5) AS library,
     'pattern ' || (c_custkey % 4) AS pattern, 'src/d' || (c_custkey % 7) AS file_pattern, 'team' || c_nationkey AS team, c_acctbal > 0 AS success FROM customer)""",
@@ -202,11 +199,11 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order depends on the one before it in its block; every eighth, with a line up to 3, on the seventh after it too: chains of up to a block, cycles of eight."""
+    """Every order depends on the one before it; every eighth, with a line up to 3, on the seventh after it too: long chains, cycles of eight."""
     k = F.col("l_orderkey")
     dst = F.when((k % 8 == 0) & (F.col("l_linenumber") <= 3), k + 7).otherwise(k - 1)
     rows = read(spark, sf_dir, "lineitem").select(k.cast("int").alias("src"), dst.cast("int").alias("dst"))
-    return rows.filter((F.col("dst") >= 0) & (F.floor(F.col("src") / BLOCK) == F.floor(F.col("dst") / BLOCK))).distinct()
+    return rows.filter("dst >= 0").distinct()
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
