@@ -1,11 +1,11 @@
 """Reachability, impact, cycles and cascades over edges.
 
 One loop, ``spread``, carries values along edges until nothing improves.  It works on the nodes that changed in
-the round before, and from the third round on also along shortcuts over stretches without a fork, whose
-lengths double in each round: so a chain of any length takes rounds in the logarithm of it, and other graphs take
-as many as they have forks in a row.  Nodes hold a value, no path; paths are rebuilt for the targets that ask for them,
-from a table of parents and its doubled ancestors.  Every round is one written table, whose rows are counted
-while it is written.
+the round before, and from the third round on also along shortcuts: chains of least neighbours and chains of
+greatest neighbours, whose lengths double in each round.  So a chain of any length takes rounds in the logarithm of it,
+and other paths as many as they change between the two.  Nodes hold a value, no path; paths are rebuilt for the
+targets that ask for them, from a table of parents and its doubled ancestors.  Every round is one written table, whose
+rows are counted while it is written.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 C = F.col
-#: Rounds along plain edges before shortcuts are made; rounds between two merges of what was found.
-PLAIN, EVERY = 3, 6
+#: Rounds along plain edges before shortcuts are made.
+PLAIN = 3
+#: Colours of each node in a pass of the component search.
+COLOURINGS = 3
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,51 +40,78 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> int:
+    """Write a table and count its rows on the way."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return seen.get["n"]
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, int]:
     """A table written to the shared folder and read again, with its number of rows: cuts lineage and survives lost executors."""
-    path, seen = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}", Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+    path = new_folder(df.sparkSession)
+    n = written(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), n
 
 
 def turned(edges: DataFrame) -> DataFrame:
     return edges.select(C("dst").alias("src"), C("src").alias("dst"))
 
 
-def unforked(edges: DataFrame, length: int) -> DataFrame:
-    """The edges of nodes that have one alone."""
-    return edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst")).filter("n = 1").select("src", "dst", F.lit(length).cast("long").alias("length"))
+def way_schema(edges: DataFrame, on: tuple[str, ...]) -> str:
+    kind = dict(edges.dtypes)
+    return ", ".join(f"{c} {kind[c]}" for c in (*on, "src", "dst")) + ", length long, kind int, step int"
 
 
-def spread(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = (), length: int = 1, most: bool = False, hops: int | None = None, limit: int | None = None) -> DataFrame:
+def onward(ways: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    """For every node the edge to its least neighbour and, as another kind, to its greatest."""
+    both = ways.groupBy(*on, "src").agg(F.min("dst").alias("low"), F.max("dst").alias("high"), F.min("length").alias("length"))
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), C("low").alias("dst")), F.struct(F.lit(1).alias("kind"), C("high").alias("dst")))
+    return both.select(*on, "src", "length", F.inline(kinds)).select(*on, "src", "dst", "length", "kind")
+
+
+def spread(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = (), length: int = 1, most: bool = False, hops: int | None = None, limit: int | None = None, on: tuple[str, ...] = ()) -> DataFrame:
     """The least (``most``: greatest) value of every node, for each of ``keys``: those of ``starts`` (keys, node, value) plus ``length`` an edge.
 
-    ``hops`` stops after so many edges; a value beyond ``limit`` is an error, since only a cycle can give one.
+    ``on`` are those of the keys that edges have too: they lead on within their own key.  ``hops`` stops after so many edges; a value beyond ``limit`` is an error, since only a cycle can give one.
     """
     by, pick = [*keys, "node"], F.max if most else F.min
-    edges, _ = stored(edges.select("src", "dst").distinct())
-    ways = edges.withColumn("length", F.lit(length).cast("long"))
-    front, n = stored(starts.select(*by, C("value").cast("long").alias("value")).groupBy(*by).agg(pick("value").alias("value")))
-    found, jumps, left = front, None, 1
+    spark, folder = edges.sparkSession, new_folder(edges.sparkSession)
+    ways = lambda: spark.read.schema(way_schema(edges, on)).parquet(folder)
+    first = edges.select(*on, "src", "dst").distinct().select(*on, "src", "dst", F.lit(length).cast("long").alias("length"), F.lit(0).alias("kind"))
+    first.write.parquet(f"{folder}/step=0")
+    state, n = changes(starts.select(*by, C("value").cast("long").alias("value")), by, pick, None)
+    left = 1
     for r in itertools.count(1):
         if not n or hops is not None and r > hops:
             break
         if hops is None and r > PLAIN and left:
-            jumps = unforked(edges, length) if jumps is None else jumps
-            longer = jumps.alias("a").join(jumps.alias("b"), C("a.dst") == C("b.src")).select("a.src", "b.dst", (C("a.length") + C("b.length")).alias("length"))
-            jumps, left = stored(longer.filter("src <> dst"))
-            ways = ways.unionByName(jumps)
-        step = front.join(ways, front["node"] == ways["src"]).select(*keys, C("dst").alias("node"), (C("value") + C("length")).alias("value"))
-        step = step.groupBy(*by).agg(pick("value").alias("value"))
-        old = found.select(*[C(k).alias(f"old_{k}") for k in by], C("value").alias("old_value"))
-        same = [C(k) == C(f"old_{k}") for k in by]
-        front, n = stored(step.join(old, [*same, C("old_value") >= C("value") if most else C("old_value") <= C("value")], "left_anti"))
-        if limit is not None and n and front.agg(F.max("value")).first()[0] > limit:
+            jumps = onward(ways().filter("step = 0"), on) if r == PLAIN + 1 else ways().filter(C("step") == r - PLAIN - 1).drop("step")
+            meet = [C("a.dst") == C("b.src"), *[C(f"a.{k}") == C(f"b.{k}") for k in (*on, "kind")]]
+            longer = jumps.alias("a").join(jumps.alias("b"), meet).select(*[f"a.{k}" for k in on], "a.src", "b.dst", (C("a.length") + C("b.length")).alias("length"), "a.kind")
+            left = written(longer.filter("src <> dst"), f"{folder}/step={r - PLAIN}")
+        front = state.filter("changed").drop("changed")
+        step = front.withColumnRenamed("node", "src").join(ways(), [*on, "src"]).select(*keys, C("dst").alias("node"), (C("value") + C("length")).alias("value"))
+        state, n = changes(step, by, pick, state)
+        if limit is not None and n and state.agg(F.max("value")).first()[0] > limit:
             raise ValueError("nodes depend on each other in a cycle")
-        found = found.unionByName(front)
-        if r % EVERY == 0:
-            found, _ = stored(found.groupBy(*by).agg(pick("value").alias("value")))
-    return found.groupBy(*by).agg(pick("value").alias("value"))
+    return state.drop("changed")
+
+
+def changes(step: DataFrame, by: list[str], pick, state: DataFrame | None) -> tuple[DataFrame, int]:
+    """The values of ``state`` and ``step`` by node, written, with a mark on those that are new, and how many are."""
+    rows = step.withColumn("old", F.lit(None).cast("long"))
+    if state is not None:
+        rows = rows.unionByName(state.select(*by, "value", C("value").alias("old")))
+    merged = rows.groupBy(*by).agg(pick("value").alias("value"), F.max("old").alias("old"))
+    merged = merged.select(*by, "value", (C("old").isNull() | (C("old") != C("value"))).alias("changed"))
+    seen, path = Observation(), new_folder(step.sparkSession)
+    merged.observe(seen, F.count_if("changed").alias("n")).write.parquet(path)
+    return step.sparkSession.read.schema(merged.schema).parquet(path), seen.get["n"]
 
 
 def reach(edges: DataFrame, start: DataFrame, hops: int | None = None) -> DataFrame:
@@ -156,27 +185,31 @@ def trimmed(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of all strongly connected components of two nodes or more.
 
-    Forward and backward colouring: every node takes the least colour of all nodes that lead to it, where the
-    colours are hashes of the nodes, anew in each pass.  A component is what leads to the node that a colour comes from,
-    within the colour.  Edges between colours can't be in a component; what is left goes to the next pass.
+    Forward and backward colouring: every node takes the least colour of all nodes that lead to it, and the least of
+    all that it leads to, for ``COLOURINGS`` colours of each node (hashes, anew in each pass).  Where both are the same, the
+    colour's origin leads to the node and back, so they are of one component.  An edge between nodes that differ in any
+    colour is in none.  What is left goes to the next pass.
     """
-    left, n = stored(edges.filter("src <> dst").select("src", "dst").distinct())
+    left, _ = stored(edges.filter("src <> dst").select("src", "dst").distinct())
     done = None
     for r in itertools.count(1):
         left, n = stored(trimmed(trimmed(left)))
         if not n:
             break
-        nodes = left.select(C("src").alias("node")).union(left.select("dst")).distinct().withColumn("value", F.xxhash64("node", F.lit(r)))
-        colour, _ = stored(spread(left, nodes, length=0).withColumnRenamed("value", "colour"))
-        of = lambda side: colour.select(C("node").alias(side), C("colour").alias(f"{side}_colour"))
-        left, _ = stored(left.join(of("src"), "src").join(of("dst"), "dst").filter("src_colour = dst_colour").select("src", "dst"))
-        origins = colour.filter(C("colour") == F.xxhash64("node", F.lit(r))).select("node", F.lit(0).alias("value"))
-        back, _ = stored(spread(turned(left), origins, length=0).select("node"))
-        members = back.join(colour, "node").groupBy("colour").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-        found, _ = stored(back.join(colour, "node").join(members, "colour").select("node", "component"))
+        both = left.withColumn("side", F.lit(0)).unionByName(turned(left).withColumn("side", F.lit(1)))
+        nodes = left.select(C("src").alias("node")).union(left.select("dst")).distinct()
+        colours = F.array(*[F.struct(F.lit(i).alias("seed"), F.xxhash64("node", F.lit(r), F.lit(i)).alias("value")) for i in range(COLOURINGS)])
+        starts = nodes.select("node", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), colours.alias("c")).select("node", "side", F.inline("c"))
+        spread_to = spread(both, starts, ("side", "seed"), length=0, on=("side",))
+        rows = spread_to.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("seed", "side", "value"))).alias("colours"))  # 2 * COLOURINGS in each
+        own = F.expr(f"get(filter(transform(sequence(0, {COLOURINGS - 1}), i -> struct(i, colours[2 * i].value AS a, colours[2 * i + 1].value AS b)), x -> x.a = x.b), 0).a")
+        rows, _ = stored(rows.select("node", "colours", own.alias("origin")))
+        members = rows.filter("origin IS NOT NULL").groupBy("origin").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+        found, _ = stored(rows.join(members, "origin").select("node", "component"))
         done = found if done is None else done.unionByName(found)
-        for side in ("src", "dst"):
-            left = left.join(back.select(C("node").alias(side)), side, "left_anti")
+        open_ = rows.filter("origin IS NULL")
+        of = lambda side: open_.select(C("node").alias(side), C("colours").alias(f"{side}_colours"))  # noqa: E731, B023
+        left = left.join(of("src"), "src").join(of("dst"), "dst").filter("src_colours = dst_colours").select("src", "dst")
     return done if done is not None else left.select(C("src").alias("node"), C("src").alias("component"))
 
 

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import dims
@@ -56,24 +58,61 @@ def test_deep_graphs_are_followed_to_the_end(spark):
     back = chain.select(F.col("dst").alias("src"), F.col("src").alias("dst")).cache()
     start, nodes = graph.frame(spark, [0]), spark.range(n + 1).select(F.col("id").cast("int").alias("node"))
     assert {r.node: r.hop for r in graph.reach(chain, start).collect()} == {i: i for i in range(n + 1)}
-    assert graph.blast_radius(back, [0], 100).first().affected == n + 1
+    assert graph.blast_radius(back, start).first().asDict() == {"direct": 1, "transitive": n - 1, "affected": n + 1, "radius": 1.0, "risk": "critical", "gate_passed": False}
+    assert graph.blast_radius(back, start, spark.range(1100).select(F.col("id").alias("node"))).first().risk == "low"
     assert {r.node: r.path for r in graph.shortest_paths(chain, start).collect()} == {i: list(range(i + 1)) for i in range(n + 1)}
     assert {r.node: r.level for r in graph.levels(back, nodes).collect()} == {i: i for i in range(n + 1)}
     assert {r.status for r in graph.cascade(back, start, nodes).filter("node > 0").collect()} == {"rolled_back"}
 
 
-def test_cycles_of_any_length(spark):
-    import itertools
-
-    edges = {(i, (i + 1) % 7) for i in range(7)} | {(2, 0), (3, 5), (5, 3), (7, 8), (8, 9), (6, 7), (4, 4)}
-    want = set()
-    for k in range(2, 8):
-        for p in itertools.permutations(range(7), k):
-            if all(e in edges for e in zip(p, (*p[1:], p[0]), strict=True)):
-                want.add(tuple(sorted(p)))
-    df = spark.createDataFrame(sorted(edges), "src int, dst int")
-    assert sorted(tuple(r.members) for r in graph.cycles(df).collect()) == sorted(want) and max(map(len, want)) == 7
-    assert {len(r.members) for r in graph.cycles(df, 3).collect()} == {2, 3}
+def components_by_search(edges):
+    """Least node of every node that lies on a cycle, by a search from each node."""
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+        after.setdefault(b, set())
+    reached = {}
+    for x in after:
+        seen, todo = {x}, [x]
+        while todo:
+            todo += (new := after[todo.pop()] - seen)
+            seen |= new
+        reached[x] = seen
+    least = {x: min(y for y in reached[x] if x in reached[y]) for x in after}
+    return {x: c for x, c in least.items() if list(least.values()).count(c) > 1}
+
+
+def test_cycles(spark):
+    """Components equal those of a plain search; each walk is closed and in one; without the edges that lead back no cycle is left."""
+    rnd = random.Random(3)
+    ring = [(i, (i + 1) % 7) for i in range(7)]
+    for edges in ([*ring, (2, 0), (3, 5), (5, 3), (7, 8), (8, 9), (6, 7), (4, 4)], [(rnd.randrange(40), rnd.randrange(40)) for _ in range(65)]):
+        df = spark.createDataFrame(edges, "src int, dst int")
+        want = components_by_search(edges)
+        assert {r.node: r.component for r in graph.strong_components(df).collect()} == want
+        walks = graph.closed_walks(df).collect()
+        for r in walks:
+            path = list(r.path)
+            assert path[0] == r.dst and path[-1] == r.src and {want[x] for x in path} == {r.component}
+            assert all(e in set(edges) for e in zip(path, path[1:] + path[:1], strict=True))
+        back = {(r.src, r.dst) for r in walks}
+        assert len(back) == len(walks) and components_by_search([e for e in edges if e not in back and e[0] != e[1]]) == {}
+    assert {tuple(r.members) for r in graph.cycles(spark.createDataFrame(ring, "src int, dst int")).collect()} == {tuple(range(7))}
+
+
+def test_a_chain_of_ten_thousand_takes_few_rounds(spark, monkeypatch):
+    """Nodes in random order; distances, levels and one asked chain; rounds in the logarithm of the length."""
+    rounds, changes = [], graph.changes
+    monkeypatch.setattr(graph, "changes", lambda *a: rounds.append(1) or changes(*a))
+    n = 10_000
+    order = list(range(n))
+    random.Random(2).shuffle(order)
+    chain = spark.createDataFrame(list(zip(order[:-1], order[1:], strict=True)), "src int, dst int").coalesce(2).cache()
+    found = dict(graph.reach(chain, graph.frame(spark, order[:1])).collect())
+    assert found == {x: i for i, x in enumerate(order)} and len(rounds) < 20
+    up = spark.createDataFrame([(x, i, order[i - 1] if i else None) for i, x in enumerate(order)], "node int, value long, parent int")
+    (path,) = graph.chains(up, graph.frame(spark, [order[-1]])).collect()
+    assert list(path.path) == order
 
 
 def test_levels_of_a_cycle_are_an_error(spark):
