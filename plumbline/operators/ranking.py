@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
-from . import graph
+from . import graph, matching
 
 C = F.col
 
@@ -120,6 +120,6 @@ def similar_history(findings: DataFrame, history: DataFrame, k: int = 5) -> Data
 
 def enclosing_function(findings: DataFrame, functions: DataFrame) -> DataFrame:
     """The first listed function of the same file whose lines hold the finding (DET-8, JOIN-6)."""
-    f = functions.select(C("file").alias("f_file"), C("name").alias("function"), "start_line", "end_line", C("seq").alias("fseq"))
-    met = findings.join(f, (findings["file"] == C("f_file")) & C("line").between(C("start_line"), C("end_line")))
+    f = functions.select("file", C("name").alias("function"), "start_line", "end_line", C("seq").alias("fseq"))
+    met = matching.within(findings.select("seq", "file", "line"), f, ["file"], "line", "start_line", "end_line")
     return met.groupBy("seq").agg(F.min_by("function", "fseq").alias("function"), F.count(F.lit(1)).alias("n_holding"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import matching
+
 C = F.col
 
 #: Alternatives that need no model (name, confidence), by type of finding.
@@ -140,13 +142,13 @@ def mark_resolved(store: DataFrame, resolved: DataFrame) -> DataFrame:
 def open_proposals(findings: DataFrame, issues: DataFrame, prefix: str = "[Proposal]", length: int = 40) -> DataFrame:
     """For each finding the first open issue whose title has the prefix and the description's first characters (SET-7).
 
-    Distinct beginnings meet the issues, not the findings; the condition is free text, so both sides
-    are dealt in tiles by the join itself.
+    Distinct beginnings and titles meet by an index of grams; a finding without a description meets every title.
     """
     start = F.substring("description", 1, length)
-    asked = findings.select(start.alias("beginning")).distinct()
-    titles = issues.filter((C("state") == "open") & F.startswith("title", F.lit(prefix))).select("number", "title")
-    met = asked.join(titles, F.contains("title", "beginning")).groupBy("beginning").agg(F.min("number").alias("duplicate"))
+    titles = issues.filter((C("state") == "open") & F.startswith("title", F.lit(prefix))).groupBy("title").agg(F.min("number").alias("number"))
+    pairs = matching.containing(titles.select(C("title").alias("text")), findings.select(start.alias("needle")))
+    met = pairs.join(titles.select(C("title").alias("text"), "number"), "text").groupBy(C("needle").alias("beginning")).agg(F.min("number").alias("duplicate"))
+    met = met.unionByName(titles.agg(F.min("number").alias("duplicate")).select(F.lit("").alias("beginning"), "duplicate"))
     return findings.withColumn("beginning", start).join(met, "beginning", "left").drop("beginning")
 
 

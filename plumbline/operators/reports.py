@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from . import running
 
 C = F.col
 
@@ -124,8 +125,7 @@ def budget_alerts(df: DataFrame, limit: float, thresholds: tuple[int, ...] = (50
 
 def running_spend(df: DataFrame, limit: float) -> DataFrame:
     """Running total of each team in ledger order and whether it is past the limit (AGG-17)."""
-    w = Window.partitionBy("team").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum("cost_usd").over(w)).withColumn("past_limit", C("running") > limit)
+    return running.running(df, ["team"], [F.asc("seq")], C("cost_usd"), "running").drop("running_all").withColumn("past_limit", C("running") > limit)
 
 
 def crossings(df: DataFrame, limit: float, thresholds: tuple[int, ...] = (50, 80, 90, 100)) -> DataFrame:
@@ -136,8 +136,7 @@ def crossings(df: DataFrame, limit: float, thresholds: tuple[int, ...] = (50, 80
 
 def sla_report(df: DataFrame) -> DataFrame:
     """Runs, durations with the 95th of a hundred, pull requests and an alert for each team (AGG-18, AGG-6)."""
-    place = F.row_number().over(Window.partitionBy("team").orderBy("duration_seconds", "seq"))
-    rows = df.withColumn("place", place).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("team")))
+    rows = running.placed(df, ["team"], [F.asc("duration_seconds"), F.asc("seq")]).withColumnRenamed("place_all", "n")
     p95 = F.max(F.when(C("place") == F.least(F.floor(C("n") * F.lit(0.95)), C("n") - 1) + 1, C("duration_seconds")))
     ok = C("success").cast("long")
     out = rows.groupBy("team").agg(
@@ -156,8 +155,7 @@ def failure_reasons(df: DataFrame, k: int = 5) -> DataFrame:
 
 def failure_trend(df: DataFrame) -> DataFrame:
     """Failure rates of the older and the newer half of a team's runs (AGG-19)."""
-    w = Window.partitionBy("team")
-    rows = df.withColumn("rn", F.row_number().over(w.orderBy("timestamp", "seq"))).withColumn("n", F.count(F.lit(1)).over(w))
+    rows = running.placed(df, ["team"], [F.asc("timestamp"), F.asc("seq")], "rn").withColumnRenamed("rn_all", "n")
     old = C("rn") <= F.floor(C("n") / 2)
     fail = (~C("success")).cast("double")
     out = rows.groupBy("team").agg(F.max("n").alias("n"), F.avg(F.when(old, fail)).alias("older"), F.avg(F.when(~old, fail)).alias("newer"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from . import graph, matching, running
 
 C = F.col
 
@@ -170,25 +171,52 @@ def complex_finding(df: DataFrame) -> DataFrame:
     return df.withColumn("is_complex", (C("complexity") > 10) | C("multi_file") | (C("severity") == "critical"))
 
 
+def event_hits(findings: DataFrame, events: DataFrame) -> DataFrame:
+    """seq and eseq of every boost that meets a finding: the values of a field meet the targets by an index, not findings events (FIL-8, FIL-9)."""
+    path = lambda c: F.lower(F.replace(C(c), F.lit("\\"), F.lit("/")))
+    known = ("production_incident", "cve_announced", "deadline_approaching", "budget_exceeded", "team_capacity_change")
+    ways = [("file", path("file"), C("kind") == "production_incident", matching.ending_either_way)]
+    ways += [(c, F.lower(c), C("kind") == "cve_announced", matching.containing) for c in ("cve", "description")]
+    ways += [("library", F.lower("library"), C("kind").isin("cve_announced", "deadline_approaching"), matching.containing)]
+    ways += [("file", F.lower("file"), ~C("kind").isin(*known), matching.containing)]
+    out = None
+    for _, value, kinds, join in ways:
+        asked = events.filter(kinds & (C("target") != "")).select("eseq", (path("target") if join is matching.ending_either_way else F.lower("target")).alias("needle"))
+        valued = findings.select("seq", value.alias("text"))
+        pairs = join(valued, asked).join(asked, "needle").select("text", "eseq")
+        hits = valued.join(pairs, "text").select("seq", "eseq")
+        out = hits if out is None else out.unionByName(hits)
+    return out.distinct()
+
+
 def reprioritise(findings: DataFrame, events: DataFrame) -> DataFrame:
     """Fold boosts and pauses of an ordered event log into the findings (SCO-11 to SCO-17).
 
-    events (eseq, kind, target, boost, ratio) are few and broadcast; every event meets every finding
-    once.  Boosts add up by a window over the event order, so each pause sees the score of its time.
+    events: eseq, kind, target, boost, ratio.  A finding's score only changes at its own hits, so a pause is sought in
+    the stretches between these: every event knows the next event of each kind of pause, and a stretch holds one
+    if that comes before the next hit.
     """
-    file, target = F.lower(F.replace(C("file"), F.lit("\\"), F.lit("/"))), F.lower(F.replace(C("target"), F.lit("\\"), F.lit("/")))
-    by_file = (C("target") != "") & ((file == target) | F.endswith(file, target) | F.endswith(target, file))
-    by_library = (C("target") != "") & F.contains(F.lower("library"), F.lower("target"))
-    by_cve = (C("target") != "") & (F.contains(F.lower("cve"), F.lower("target")) | by_library | F.contains(F.lower("description"), F.lower("target")))
-    by_pattern = (C("target") != "") & F.contains(F.lower("file"), F.lower("target"))
-    hit = F.when(C("kind") == "production_incident", by_file).when(C("kind") == "cve_announced", by_cve).when(C("kind") == "deadline_approaching", by_library).when(C("kind").isin("budget_exceeded", "team_capacity_change"), False).otherwise(by_pattern)
-    met = findings.crossJoin(F.broadcast(events)).withColumn("gain", F.when(hit, C("boost")).otherwise(0.0))
-    so_far = C("priority_score") + F.sum("gain").over(Window.partitionBy("seq").orderBy("eseq").rowsBetween(Window.unboundedPreceding, 0))
-    met = met.withColumn("score_then", so_far)
-    pause = ((C("kind") == "budget_exceeded") & (C("score_then") + C("business_impact_score") < 100)) | ((C("kind") == "team_capacity_change") & (C("ratio") < 0.5) & (C("score_then") < 50))
+    pauses = {"budget": C("kind") == "budget_exceeded", "capacity": (C("kind") == "team_capacity_change") & (C("ratio") < 0.5)}
+    log = events.select("eseq", "boost", *[F.when(when, C("eseq")).alias(f"at_{k}") for k, when in pauses.items()])
+    for k in pauses:
+        log = running.running(log.withColumn("_one", F.lit(0)), ["_one"], [F.desc("eseq")], C(f"at_{k}"), f"next_{k}", least=True).drop("_one", f"next_{k}_all")
+    log, _ = graph.stored(log.select("eseq", "boost", "next_budget", "next_capacity"))
+    first = log.agg(F.min("next_budget").alias("next_budget"), F.min("next_capacity").alias("next_capacity"))
+    hits = event_hits(findings, events).join(log, "eseq").select("seq", "eseq", C("boost").alias("gain"), "next_budget", "next_capacity")
+    starts = findings.select("seq", F.lit(None).cast(hits.schema["eseq"].dataType).alias("eseq"), F.lit(0.0).alias("gain"), *[first.select(f"next_{k}").scalar().alias(f"next_{k}") for k in pauses])
+    by = Window.partitionBy("seq").orderBy(F.asc_nulls_first("eseq"))
+    steps = starts.unionByName(hits).withColumn("gained", F.sum("gain").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("until", F.lead("eseq").over(by))
+    held = lambda k: C(f"next_{k}").isNotNull() & (C("until").isNull() | (C(f"next_{k}") < C("until")))
+    met = steps.join(findings.select("seq", "priority_score", "business_impact_score"), "seq").withColumn("score_then", C("priority_score") + C("gained"))
+    pause = (held("budget") & (C("score_then") + C("business_impact_score") < 100)) | (held("capacity") & (C("score_then") < 50))
     return met.groupBy("seq").agg((F.first("priority_score") + F.sum("gain")).alias("priority"), F.max(pause).alias("paused"), F.sum((C("gain") > 0).cast("long")).alias("n_boosts"))
 
 
+def active(scored: DataFrame) -> DataFrame:
+    """The findings that no event has paused (FIL-7)."""
+    return scored.filter(~C("paused"))
+
+
 def framework_mention(df: DataFrame, names: list[str]) -> DataFrame:
     """The first framework, in the given order, that a deprecation or migration mentions (SCO-23, FIL-25)."""
     low = F.lower("description")

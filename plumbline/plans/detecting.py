@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dims
-from ..operators import detect, ranking
+from ..operators import detect, matching, ranking
 from .catalogue import query
 
 C = F.col
@@ -257,9 +257,9 @@ def symbol_references(v):
 
 
 @query(
-    """WITH m AS (SELECT DISTINCT 'm' || (doc_id % 9) AS stem FROM documents), t AS (SELECT DISTINCT 'test_m' || (doc_id % 30) AS test FROM documents) SELECT stem, test FROM m JOIN t ON test = 'test_' || stem OR contains(test, stem)"""
+    """WITH m AS (SELECT DISTINCT 'm' || doc_id AS stem FROM documents), t AS (SELECT DISTINCT 'test_m' || (doc_id * 7 % 1009) AS test FROM documents) SELECT stem, test FROM m JOIN t ON test = 'test_' || stem OR contains(test, stem)"""
 )
 def test_discovery(v):
     d = v.table("documents")
-    m, t = d.select(F.concat(F.lit("m"), C("doc_id") % 9).alias("stem")).distinct(), d.select(F.concat(F.lit("test_m"), C("doc_id") % 30).alias("test")).distinct()
-    return m.join(F.broadcast(t), (C("test") == F.concat(F.lit("test_"), C("stem"))) | F.contains("test", "stem"))
+    stems, tests = d.select(F.concat(F.lit("m"), C("doc_id")).alias("needle")), d.select(F.concat(F.lit("test_m"), C("doc_id") * 7 % 1009).alias("text"))
+    return matching.containing(tests, stems).select(C("needle").alias("stem"), C("text").alias("test"))

@@ -207,19 +207,46 @@ EVENTS = [
 ]
 
 
-@query(
-    f"""WITH ev AS (SELECT * FROM {dims.values_sql(EVENTS, 'eseq, kind, target, boost, ratio')}),
-met AS (SELECT f.seq, f.priority_score, f.business_impact_score, e.*, CASE
+MET = """met AS (SELECT f.seq, f.priority_score, f.business_impact_score, e.*, CASE
     WHEN kind = 'production_incident' AND target <> '' AND (lower(file) = lower(target) OR ends_with(lower(file), lower(target)) OR ends_with(lower(target), lower(file))) THEN boost
     WHEN kind = 'cve_announced' AND target <> '' AND (contains(lower(cve), lower(target)) OR contains(lower(library), lower(target)) OR contains(lower(description), lower(target))) THEN boost
     WHEN kind = 'deadline_approaching' AND target <> '' AND contains(lower(library), lower(target)) THEN boost
     WHEN kind = 'custom' AND target <> '' AND contains(lower(file), lower(target)) THEN boost ELSE 0 END AS gain FROM findings f, ev e),
-thn AS (SELECT *, priority_score + sum(gain) OVER (PARTITION BY seq ORDER BY eseq) AS then_score FROM met)
-SELECT seq, (min(priority_score) + sum(gain))::DOUBLE AS priority, max((kind = 'budget_exceeded' AND then_score + business_impact_score < 100) OR (kind = 'team_capacity_change' AND ratio < 0.5 AND then_score < 50)) AS paused, sum((gain > 0)::INT)::BIGINT AS n_boosts FROM thn GROUP BY seq""",
+thn AS (SELECT *, priority_score + sum(gain) OVER (PARTITION BY seq ORDER BY eseq) AS then_score FROM met),
+folded AS (SELECT seq, (min(priority_score) + sum(gain))::DOUBLE AS priority, max((kind = 'budget_exceeded' AND then_score + business_impact_score < 100) OR (kind = 'team_capacity_change' AND ratio < 0.5 AND then_score < 50)) AS paused, sum((gain > 0)::INT)::BIGINT AS n_boosts FROM thn GROUP BY seq)"""
+FEW = f"ev AS (SELECT * FROM {dims.values_sql(EVENTS, 'eseq, kind, target, boost, ratio')})"
+
+
+def few(v):
+    return v.spark.createDataFrame(EVENTS, "eseq int, kind string, target string, boost double, ratio double")
+
+
+@query(f"WITH {FEW}, {MET} SELECT * FROM folded", "findings")
+def reprioritize_events(v):
+    return scoring.reprioritise(v.findings, few(v))
+
+
+@query(f"WITH {FEW}, {MET} SELECT seq, priority FROM folded WHERE NOT paused", "findings")
+def active_findings(v):
+    return scoring.active(scoring.reprioritise(v.findings, few(v))).select("seq", "priority")
+
+
+@query(
+    f"""WITH ev AS (SELECT min(event_id) AS eseq, CASE event_type WHEN 'error' THEN 'production_incident' WHEN 'purchase' THEN 'cve_announced' WHEN 'signup' THEN 'deadline_approaching' WHEN 'view' THEN 'team_capacity_change' WHEN 'click' THEN CASE WHEN user_id % 3 = 0 THEN 'budget_exceeded' ELSE 'custom' END END AS kind,
+    CASE event_type WHEN 'error' THEN 'd' || (user_id % 7) || '/f' || user_id || '.py' WHEN 'purchase' THEN 'cve-2024-' || user_id WHEN 'signup' THEN 'lib' || user_id WHEN 'view' THEN '' ELSE 'src/auth/f' || user_id END AS target,
+    (user_id % 5 + 1)::DOUBLE AS boost, (user_id % 10)::DOUBLE / 10 AS ratio FROM events GROUP BY user_id, event_type),
+{MET} SELECT * FROM folded""",
     "findings",
 )
-def reprioritize_events(v):
-    return scoring.reprioritise(v.findings, v.spark.createDataFrame(EVENTS, "eseq int, kind string, target string, boost double, ratio double"))
+def reprioritize_log(v):
+    """The first event of each user and type, as the log that is folded."""
+    t, u = C("event_type"), C("user_id")
+    first = v.table("events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("eseq"))
+    kind = F.when(t == "error", "production_incident").when(t == "purchase", "cve_announced").when(t == "signup", "deadline_approaching").when(t == "view", "team_capacity_change")
+    kind = kind.when((t == "click") & (u % 3 == 0), "budget_exceeded").when(t == "click", "custom")
+    target = F.when(t == "error", F.concat(F.lit("d"), u % 7, F.lit("/f"), u, F.lit(".py"))).when(t == "purchase", F.concat(F.lit("cve-2024-"), u)).when(t == "signup", F.concat(F.lit("lib"), u)).when(t == "view", "").otherwise(F.concat(F.lit("src/auth/f"), u))
+    log = first.select("eseq", kind.alias("kind"), target.alias("target"), (u % 5 + 1).cast("double").alias("boost"), ((u % 10).cast("double") / 10).alias("ratio"))
+    return scoring.reprioritise(v.findings, log)
 
 
 NAMES = ["flask", "django", "lib"]
