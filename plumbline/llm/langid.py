@@ -4,8 +4,8 @@ N-grams of one to three characters, taken over lower-case letters with everythin
 are hashed into a fixed number of columns.  The model is trained by the follow-the-regularised-
 leader rule with elastic-net penalties, and its temperature is set on rows kept out of training.
 
-The fit takes at most ``per_language`` labelled rows of each language in expectation, picked by a
-hash of id and text; this bound is documented here and is the only sample.  Prediction covers every
+The fit takes about ``per_language`` labelled rows of each language, fewer where their texts are long or
+labels are many (see ``train``), picked by a hash of id and text; this is the only sample, and no label is left out.  Prediction covers every
 whole text.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter, and all texts where
@@ -177,16 +177,22 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray, int]], epochs: int = 4, al
     return model
 
 
-def train(docs: DataFrame, trainable: Column, per_language: int = 600, languages: int = 200) -> Model:
-    """Fit on about ``per_language`` labelled rows of each of the ``languages`` most frequent labels among the rows that ``trainable`` marks.
+def train(docs: DataFrame, trainable: Column, per_language: int = 600, columns: int = 24_000_000) -> Model:
+    """Fit on a sample of the labelled rows that ``trainable`` marks, with every label among them.
 
-    Both bound what comes to the driver, so that stray labels can't fill it.
+    The sample is bounded in expectation: about ``per_language`` rows of each label, and about ``columns`` used
+    columns (12 bytes each) over all labels, of which each label has an equal part; but each label keeps one row.
     """
     common.prepare(docs.sparkSession)
     rows = common.columns(docs, "doc_id", "text", "lang").filter(trainable & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    have = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    pick = F.broadcast(have.select("lang", F.least(F.lit(per_language) / F.col("count"), F.lit(1.0)).alias("share")))
-    sample = rows.join(pick, "lang").filter(F.pmod(F.xxhash64("doc_id", F.crc32(F.encode("text", "UTF-8"))), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("lang", "text")
+    draw = F.pmod(F.xxhash64("doc_id", F.crc32(F.encode("text", "UTF-8"))), F.lit(1_000_003))
+    used = F.least(3 * F.length("text"), F.lit(1 << BITS)).cast("long")  # of a text, at most
+    have = common.keep(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(used).alias("used"), F.min(draw).alias("first")), "labels")
+    labels = have.count()
+    share = F.least(F.lit(per_language) / F.col("n"), F.lit(columns / max(labels, 1)) / F.greatest("used", F.lit(1)), F.lit(1.0))
+    pick = have.select("lang", "first", share.alias("share"))
+    sample = common.join_dimension(rows.withColumn("draw", draw), pick, "lang", "inner", labels)
+    sample = sample.filter((F.col("draw") < F.col("share") * 1_000_003) | (F.col("draw") == F.col("first"))).select("lang", "text")
 
     def count(batches):
         for b in batches:

@@ -38,6 +38,8 @@ from .pieces import slices
 HEAD, WORDS, CLUSTERS = 300_000, 32_768, 128
 #: Units of context, size of vectors, training tokens of a trainer in a round, rounds (each over a part of the documents), passes.
 BACK, SIZE, SHARE, ROUNDS, PASSES = 3, 16, 4_000_000, 3, 1
+#: Trainers whose changes of a block of the model are added in one group.
+FAN = 32
 
 
 def cluster(word: str) -> int:
@@ -347,18 +349,22 @@ def train(rows: DataFrame, vocab: Vocabulary, tokens: int) -> LogBilinear:
                 w = t.touched[name][at : at + block]
                 if w.any():
                     delta = ((now[at : at + block] - old[name][at : at + block]) * w[:, None]).astype("<f4")
-                    yield pa.record_batch({"part": [name], "at": [at], "w": [w.astype("<f8").tobytes()], "delta": [delta.tobytes()], "sq": [((t.squares[name] - s[name])[at : at + block]).astype("<f4").tobytes()]})
+                    yield pa.record_batch({"part": [name], "at": [at], "trainer": [TaskContext.get().partitionId()], "w": [w.astype("<f8").tobytes()], "delta": [delta.tobytes()], "sq": [((t.squares[name] - s[name])[at : at + block]).astype("<f4").tobytes()]})
 
     def add(table: pa.Table) -> pa.Table:
         total = lambda c, kind: sum(np.frombuffer(x, kind).astype(np.float64) for x in table[c].to_pylist())
-        return pa.table({"part": table["part"][:1], "at": table["at"][:1], "w": [total("w", "<f8").tobytes()], "delta": [total("delta", "<f4").astype("<f4").tobytes()], "sq": [total("sq", "<f4").astype("<f4").tobytes()]}, schema=table.schema)
+        return pa.table({"part": table["part"][:1], "at": table["at"][:1], "trainer": [table["trainer"][0].as_py() // FAN], "w": [total("w", "<f8").tobytes()], "delta": [total("delta", "<f4").astype("<f4").tobytes()], "sq": [total("sq", "<f4").astype("<f4").tobytes()]}, schema=table.schema)
 
-    shape = "part string, at long, w binary, delta binary, sq binary"
+    shape = "part string, at long, trainer long, w binary, delta binary, sq binary"
     for r in range(ROUNDS * PASSES):
         shared = context.broadcast((model, steps))
         mine = rows.filter(F.pmod("rid", F.lit(ROUNDS)) == r % ROUNDS).select("units")
-        sums = mine.coalesce(max(1, -(-tokens // (ROUNDS * SHARE)))).mapInArrow(go, shape)
-        for row in sums.groupBy("part", "at").applyInArrow(add, shape).toArrow().to_pylist():
+        trainers = max(1, -(-tokens // (ROUNDS * SHARE)))
+        sums = mine.coalesce(trainers).mapInArrow(go, shape)
+        # a tree of sums: a group holds a block of the model from FAN trainers at most, however many there are
+        while trainers > 1:
+            sums, trainers = sums.groupBy("part", "at", F.floor(F.col("trainer") / FAN)).applyInArrow(add, shape), -(-trainers // FAN)
+        for row in sums.toArrow().to_pylist():  # one row a block of the model
             w = np.frombuffer(row["w"], "<f8")
             part = getattr(model, row["part"])[row["at"] : row["at"] + len(w)]
             part += np.frombuffer(row["delta"], "<f4").reshape(len(w), -1) / np.maximum(w, 1)[:, None].astype(np.float32)

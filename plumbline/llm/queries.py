@@ -24,9 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents over 16 shards, sizes near equal."""
-    out = sharding.assign(table(spark, sf_dir, "documents"), shards=16)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
+    """All documents over 16 shards, sizes near equal, by a stored map; and their shards in its next version, with 17."""
+    out = sharding.assign(table(spark, sf_dir, "documents"), shards=16, map_folder=common.scratch_path(spark, "slotmap"), grown=True)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version", "next_shard", "next_version")
 
 
 @query

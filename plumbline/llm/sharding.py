@@ -104,10 +104,11 @@ def slot_sizes(records: DataFrame) -> DataFrame:
     return records.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
 
 
-def assign(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_folder: str | None = None, slot_map: SlotMap | None = None) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_folder: str | None = None, slot_map: SlotMap | None = None, grown: bool = False) -> DataFrame:
     """Every record with its shard and its place there (``slot``, gapless from 0).
 
-    The per-slot totals (one row for each of the fixed slots) come to the driver, where the map is
+    With ``map_folder`` the map is stored there and the stored version is what counts.  ``grown`` adds where each record lies
+    in the next version, which has one shard more and is stored beside it.  The per-slot totals (one row for each of the fixed slots) come to the driver, where the map is
     made; places are counted inside each virtual slot and moved by the slots before it.
     """
     spark = docs.sparkSession
@@ -116,12 +117,19 @@ def assign(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_folder: st
     m = slot_map or SlotMap.balanced({k: b for k, (b, _) in per_slot.items()}, shards, slots)
     if map_folder:
         m.save(spark, map_folder)
+        m = SlotMap.load(spark, map_folder, m.version)
+    following = m
+    if grown:
+        following = m.grown({k: b for k, (b, _) in per_slot.items()})
+        if map_folder:
+            following.save(spark, map_folder)
+            following = SlotMap.load(spark, map_folder, following.version)
     first, rows = [0] * m.shards, []
     for k, shard in enumerate(m.shard_of):
-        rows.append((k, shard, first[shard], m.version))
+        rows.append((k, shard, first[shard], m.version, following.shard_of[k], following.version))
         first[shard] += per_slot.get(k, (0, 0))[1]
-    table = spark.createDataFrame(rows, "vslot int, shard int, first long, map_version int")
+    table = spark.createDataFrame(rows, "vslot int, shard int, first long, map_version int, next_shard int, next_version int")
     inside = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
     return records.withColumn("inside", inside).join(F.broadcast(table), "vslot").select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("inside") - 1).alias("slot"), "vslot", "map_version"
+        "doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("inside") - 1).alias("slot"), "vslot", "map_version", *(("next_shard", "next_version") if grown else ())
     )

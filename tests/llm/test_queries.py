@@ -31,8 +31,9 @@ def test_op3(spark, folder):
         loads[r.shard] = loads.get(r.shard, 0) + r.size
         places.setdefault(r.shard, []).append(r.slot)
         assert r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < 16
+        assert (r.map_version, r.next_version) == (1, 2) and r.next_shard in (r.shard, 16)
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
-    assert max(loads.values()) - min(loads.values()) <= max(r.size for r in got)
+    assert max(loads.values()) - min(loads.values()) <= max(r.size for r in got) and any(r.next_shard == 16 for r in got)
 
 
 def test_op2(spark, folder):
@@ -120,10 +121,59 @@ def test_op10(spark, folder):
     assert all(abs(s - score[d]) < 1e-3 for d, _, s, _ in got)
 
 
-def test_few_labels_are_learned(spark):
+def test_every_label_is_learned(spark):
+    """However few rows and bytes a label may have in the sample, it keeps one."""
     docs = [(i, f"word{i} and text", f"l{i % 30}" if i % 2 else "en", "s", 1) for i in range(400)]
-    m = langid.train(spark.createDataFrame(docs, DOCS), langid.trainable(), languages=5)
-    assert len(m.languages) == 5 and "en" in m.languages
+    m = langid.train(spark.createDataFrame(docs, DOCS), langid.trainable(), columns=1)
+    assert set(m.languages) == {d[2] for d in docs if zlib.crc32(str(d[0]).encode()) % 4 != 2}
+
+
+def test_fit_follows_the_regularised_leader():
+    """Weights and temperature against a row-by-row update in plain Python."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(90):
+        at = np.sort(rng.choice(60, 12, replace=False)) + (i % 3) * 20
+        rows.append((f"l{i % 3}", at, rng.integers(1, 5, 12), 40))
+    rows.sort(key=lambda r: (r[0], r[3], int(r[1].sum())))
+    m = langid.fit(rows)
+    alpha, beta, l1, l2, d = 0.5, 1.0, 0.05, 0.05, 1 << langid.BITS
+    order = np.random.default_rng(7).permutation(len(rows)).tolist()
+    checks, trains = order[::5], [i for j, i in enumerate(order) if j % 5]
+    seen = [sum(c in rows[i][1] for i in trains) for c in range(100)]
+    idf = [np.log((1 + len(trains)) / (1 + x)) + 1 for x in seen]
+    z, n = {}, {}
+
+    def weight(c, k):
+        v = z.get((c, k), 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - np.sign(v) * l1) / ((beta + n[c, k] ** 0.5) / alpha + l2)
+
+    def logits(row):
+        x = {**{int(c): float(q) / row[3] * idf[c] * langid.SCALE for c, q in zip(row[1], row[2], strict=True)}, d: 1.0}
+        return x, [sum(v * weight(c, k) for c, v in x.items()) for k in range(3)]
+
+    for _ in range(4):
+        for i in trains:
+            x, out = logits(rows[i])
+            top = max(out)
+            p = [np.exp(o - top) / sum(np.exp(q - top) for q in out) for o in out]
+            for k in range(3):
+                for c, v in x.items():
+                    g, w, old = v * (p[k] - (rows[i][0] == f"l{k}")), weight(c, k), n.get((c, k), 0.0)
+                    n[c, k] = old + g * g
+                    z[c, k] = z.get((c, k), 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / alpha * w
+    assert m.languages == ["l0", "l1", "l2"] and np.allclose(m.bias, [weight(d, k) for k in range(3)])
+    assert all(np.isclose(m.weights[c, k], weight(c, k) * idf[c] * langid.SCALE, rtol=1e-4, atol=1e-6) for c in range(100) for k in range(3))
+    assert (m.weights[100:] == 0).all()
+
+    def loss(t):
+        nll = []
+        for i in checks:
+            out = [o / t for o in logits(rows[i])[1]]
+            nll.append(np.log(sum(np.exp(o - max(out)) for o in out)) - (out[int(rows[i][0][1])] - max(out)))
+        return sum(nll) / len(nll)
+
+    assert loss(m.temperature) <= min(loss(t) for t in np.geomspace(0.2, 10, 60)) + 1e-9
 
 
 def test_pipeline_stage_by_stage(spark, folder):

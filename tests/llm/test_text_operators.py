@@ -8,7 +8,7 @@ import pytest
 
 from plumbline.llm import common, idstore, langid, linedup, lm, packing, pieces, quality, wordtok
 
-from .helpers import ascii_lower, corpus, empty, frame, words
+from .helpers import DOCS, ascii_lower, corpus, empty, frame, words
 
 
 def ids_of(text, end):
@@ -361,3 +361,23 @@ def test_trainers_share_what_they_learned(spark, monkeypatch):
     monkeypatch.setattr(lm, "SHARE", 2_000)
     split = sum(r.score for r in lm.score(frame(spark, docs).repartition(4)).collect())
     assert abs(split - whole) < 0.1 * abs(whole)
+    # sums in a tree of small groups are those of one group
+    monkeypatch.setattr(lm, "FAN", 2)
+    tree = sum(r.score for r in lm.score(frame(spark, docs).repartition(4)).collect())
+    assert abs(tree - split) < 1e-3 * abs(split)
+
+
+def test_op6(spark, tmp_path):
+    """The registered query: counts and base scores against plain Python, scores of a proper distribution."""
+    from plumbline.llm import queries
+
+    docs = corpus(80)
+    spark.createDataFrame(docs, DOCS).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op6_log_bilinear"](spark, str(tmp_path)).collect()
+    out = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    tokens = lambda t: [*words(ascii_lower(t)), None]
+    c = Counter(w for d, t, *_ in docs if not out(d) for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    want = sorted((d, out(d), len(tokens(t)), sum(w in c for w in tokens(t)), n, round(sum(np.log10((c[w] + 1) / (n * 1.0 + v + 1)) for w in tokens(t)), 4)) for d, t, *_ in docs)
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
+    assert all(r.score < 0 for r in got)
