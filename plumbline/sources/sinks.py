@@ -7,6 +7,8 @@ import html
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..streaming import commits
+
 
 def write_findings(df: DataFrame, path: str, kind: str = "json") -> None:
     """JSON lines, CSV or Parquet (SNK-1)."""
@@ -49,9 +51,12 @@ def report_page(summary: DataFrame, by_type: DataFrame, title: str) -> str:
     return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{esc(title)}</title></head><body><h1>{esc(title)}</h1><table>{top}</table><table><tr>{cells(head, "th")}</tr>{body}</table>{bars}</body></html>'
 
 
-def transaction_log(entries: DataFrame, path: str, order: str = "seq") -> None:
-    """Entries of a change log as JSON lines, in their order from file to file (SNK-11)."""
-    entries.orderBy(order).write.mode("overwrite").json(path)
+def transaction_log(entries: DataFrame, path: str, transaction: str, order: str = "seq") -> int:
+    """Commit one transaction's entries to a change log as JSON lines, in their order from file to file (SNK-11).
+
+    The log is the sequence of commits; earlier ones are never sorted or written again, and a transaction that is tried again is there once.
+    """
+    return commits.append(entries, path, transaction, order=(order,))
 
 
 def snapshot(findings: DataFrame, path: str, repo_hash: str, day: str) -> None:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from . import commits
+
 C = F.col
 COSTS = "seq long, period string, team string, operation string, cost_usd double"
 FINDINGS = "seq long, fingerprint string, finding string"
@@ -16,6 +18,11 @@ def ledger(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(folder)
 
 
+def entries(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """New batches of a ledger that ``append`` fills."""
+    return commits.stream(spark, folder, schema)
+
+
 def spend(stream: DataFrame) -> DataFrame:
     """Running total of each period and team (STM-1)."""
     return stream.groupBy("period", "team").agg(F.sum("cost_usd").alias("spent"), F.count(F.lit(1)).alias("entries"))
@@ -31,9 +38,9 @@ def audited(df: DataFrame) -> DataFrame:
     return df.withColumn("entry_hash", F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256))
 
 
-def append(df: DataFrame, folder: str) -> None:
-    """Append rows to a ledger, a folder for each period (STM-2)."""
-    df.write.partitionBy("period").mode("append").json(folder)
+def append(df: DataFrame, folder: str, batch: str) -> int:
+    """Append a batch of rows to a ledger, a folder for each period; the same batch again adds nothing (STM-2)."""
+    return commits.append(df, folder, batch, by=("period",))
 
 
 def run(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:

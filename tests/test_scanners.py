@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.settings import settings
+from plumbline.streaming import commits
 from plumbline.sources import files, scanners, sinks
 
 TREE = [
@@ -47,8 +48,8 @@ def test_report_page_and_log(spark, tmp_path):
     assert "<td>period</td><td>2024-01</td>" in page and "todo&lt;b&gt;" in page and "<b>" not in page and 'value="0.5000"' in page and "Savings &amp; costs" in page
     assert page.index("security") < page.index("todo&lt;")
     log = spark.createDataFrame([(2, "edit"), (1, "backup")], "seq int, step string")
-    sinks.transaction_log(log, str(tmp_path / "log"))
-    assert [r.step for r in spark.read.json(str(tmp_path / "log")).orderBy("seq").collect()] == ["backup", "edit"]
+    sinks.transaction_log(log, str(tmp_path / "log"), "t1")
+    assert [r.step for r in commits.read(spark, str(tmp_path / "log"), "seq int, step string").orderBy("seq").collect()] == ["backup", "edit"]
 
 
 def test_ledgers_and_snapshots_read_back(spark, tmp_path):
