@@ -47,6 +47,18 @@ def framework_entries(facts: DataFrame) -> DataFrame:
     return facts.filter("kind = 'entry_point'").select("path", C("name").alias("framework"), "detail")
 
 
+def reaching_framework(edges: DataFrame, entries: DataFrame, findings: DataFrame) -> DataFrame:
+    """Findings (seq, node) with how many entry points reach their module and the framework of the first of these (GR-8).
+
+    entries: node, framework and ``place``, which orders them.
+    """
+    found = graph.spread(edges, entries.select(C("place"), "node", F.lit(0).alias("value")), ("place",))
+    frameworks = entries.select("place", "framework")
+    first = found.join(frameworks, "place").groupBy("node").agg(F.min_by("framework", "place").alias("framework"), F.count(F.lit(1)).alias("entry_points"))
+    met = findings.join(first, "node", "left")
+    return met.withColumn("reachable", C("framework").isNotNull()).withColumn("framework", F.coalesce("framework", F.lit("unknown"))).withColumn("entry_points", F.coalesce("entry_points", F.lit(0)))
+
+
 def call_sites(facts: DataFrame, names: list[str], k: int = 50) -> DataFrame:
     """Where the named functions are called: the first ``k`` places of each and the number of all (JOIN-11)."""
     rows = facts.filter((C("kind") == "call_site") & C("name").isin(names)).select("name", "path", "line")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dims
+from ..functions import dims, patterns
 
 C = F.col
 # Fixed value: comment tags.
@@ -39,10 +39,20 @@ def blamed(df: DataFrame, blame: DataFrame, as_of: Column) -> DataFrame:
 def rule_hits(lines: DataFrame, rules: list[tuple] = dims.SECURITY_RULES, categories: list[str] | None = None) -> DataFrame:
     """A row for each rule that a line matches (DET-5, DET-6)."""
     chosen = [(i, r) for i, r in enumerate(rules) if not categories or r[0] in categories]
-    flags = F.array_compact(F.array(*[F.when(C("text").rlike(p), F.struct(F.lit(i).alias("rule"), F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(w).alias("cwe"), F.lit(pr).alias("priority"))) for i, (c, p, s, w, pr) in chosen]))
+    flags = F.array_compact(F.array(*[F.when(patterns.matches(C("text"), p), F.struct(F.lit(i).alias("rule"), F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(w).alias("cwe"), F.lit(pr).alias("priority"))) for i, (c, p, s, w, pr) in chosen]))
     return lines.select("*", F.explode(flags).alias("hit")).select(*lines.columns, "hit.*")
 
 
+def with_impact(hits: DataFrame) -> DataFrame:
+    """Rule hits with the exploit scenario and the compliance clauses of their category; empty for other categories (DET-5)."""
+    scenario = F.lit("")
+    clauses = F.array().cast("array<string>")
+    for category, text in dims.EXPLOIT_SCENARIOS.items():
+        scenario = F.when(C("category") == category, text).otherwise(scenario)
+        clauses = F.when(C("category") == category, F.array(*map(F.lit, dims.COMPLIANCE[category]))).otherwise(clauses)
+    return hits.withColumn("exploit_scenario", scenario).withColumn("compliance", clauses)
+
+
 def secret_counts(df: DataFrame, patterns: list[str] = dims.SECRET_PATTERNS) -> DataFrame:
     """Matches of each secret pattern in a text (DET-36), as rows of pattern number and count."""
     counts = F.array(*[F.struct(F.lit(i).alias("pattern"), F.regexp_count("text", F.lit(p)).alias("n")) for i, p in enumerate(patterns)])

@@ -63,8 +63,21 @@ def folder() -> Column:
     return F.when(C("file").contains("/"), F.regexp_extract("file", r"^(.*)/[^/]*$", 1)).otherwise(F.lit("."))
 
 
-def batches(df: DataFrame, max_files: int = 5, max_prs: int = 5) -> DataFrame:
-    """Findings in batches of one folder each, folders in first-seen order, the first ``max_prs`` batches (SRT-3)."""
+def reference_lines(lines: DataFrame, symbol: str, k: int = 50) -> DataFrame:
+    """The first ``k`` lines that name a symbol, trimmed, and how many do (JOIN-10).  lines: path, line_no, text and what else orders them."""
+    held = lines.filter(F.contains("text", F.lit(symbol)))
+    others = [c for c in lines.columns if c not in ("path", "line_no", "text")]
+    first = top_k(held.withColumn("text", F.trim("text")), k, F.asc("path"), F.asc("line_no"), *map(F.asc, others))
+    return first.withColumn("total", held.agg(F.count(F.lit(1))).scalar())
+
+
+def batches(df: DataFrame, max_files: int = 5, max_prs: int = 5, auto_split: bool = True) -> DataFrame:
+    """Findings in batches of one folder each, folders in first-seen order, the first ``max_prs`` batches (SRT-3).
+
+    Without ``auto_split`` the first ``max_prs`` findings are one batch.
+    """
+    if not auto_split:
+        return top_k(df, max_prs, F.asc("seq")).withColumn("batch", F.lit(1))
     rows = df.withColumn("folder", folder())
     firsts = rows.groupBy("folder").agg(F.min("seq").alias("folder_first"))
     rows = rows.join(firsts, "folder").withColumn("rn", F.row_number().over(Window.partitionBy("folder").orderBy("seq"))).withColumn("part", F.floor((C("rn") - 1) / max_files))

@@ -51,6 +51,16 @@ def security_pattern_scan(v):
     return detect.rule_hits(v.lines).select("doc_id", "line_no", "rule", "category", "severity", "cwe", "priority")
 
 
+@query(
+    "WITH hits AS (" + " UNION ALL ".join(f"SELECT doc_id, line_no, {i}::INT AS rule, '{c}' AS category FROM lines WHERE regexp_matches(text, {T(x)})" for i, (c, x, *_) in enumerate(dims.SECURITY_RULES))
+    + f"), facts AS (SELECT * FROM (VALUES {', '.join('(' + T(c) + ', ' + T(t) + ', ' + T('; '.join(dims.COMPLIANCE[c])) + ')' for c, t in dims.EXPLOIT_SCENARIOS.items())}) AS t(category, exploit_scenario, compliance)) SELECT doc_id, line_no, rule, category, exploit_scenario, compliance FROM hits JOIN facts USING (category)",
+    "lines",
+)
+def security_impact(v):
+    hits = detect.with_impact(detect.rule_hits(v.lines))
+    return hits.select("doc_id", "line_no", "rule", "category", "exploit_scenario", F.array_join("compliance", "; ").alias("compliance"))
+
+
 @query(" UNION ALL ".join(f"SELECT doc_id, line_no, {i}::INT AS rule FROM lines WHERE regexp_matches(text, {T(x)})" for i, (c, x, *_) in enumerate(dims.SECURITY_RULES) if c in ("weak_crypto", "sql_injection")), "lines")
 def security_categories(v):
     return detect.rule_hits(v.lines, categories=["weak_crypto", "sql_injection"]).select("doc_id", "line_no", "rule")
@@ -256,6 +266,11 @@ def symbol_references(v):
     return ranking.top_k(v.lines.filter(C("text").contains("the ")).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line")), 50, F.desc("n"), F.asc("path"))
 
 
+@query("SELECT path, line_no, doc_id, trim(text) AS text, count(*) OVER () AS total FROM lines WHERE contains(text, 'the ') ORDER BY path, line_no, doc_id LIMIT 50", "lines")
+def reference_lines(v):
+    return ranking.reference_lines(v.lines, "the ").select("path", "line_no", "doc_id", "text", "total")
+
+
 @query(
     """WITH m AS (SELECT DISTINCT 'm' || doc_id AS stem FROM documents), t AS (SELECT DISTINCT 'test_m' || (doc_id * 7 % 1009) AS test FROM documents) SELECT stem, test FROM m JOIN t ON test = 'test_' || stem OR contains(test, stem)"""
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -262,6 +263,26 @@ def prioritized(v):
     return ranking.prioritised(v.findings).select("seq", "score", "position")
 
 
+@query("SELECT seq, severity, file, priority_score, row_number() OVER (ORDER BY priority_score DESC, seq) AS place FROM findings ORDER BY place LIMIT 10", "findings")
+def review_top_findings(v):
+    """The ten findings that a review shows (AGG-5)."""
+    top = ranking.top_k(v.findings, 10, F.desc("priority_score"), F.asc("seq"))
+    return top.select("seq", "severity", "file", "priority_score", F.row_number().over(Window.orderBy(F.desc("priority_score"), "seq")).alias("place"))
+
+
+@query("SELECT seq, file, 1 AS batch FROM findings ORDER BY seq LIMIT 7", "findings")
+def pr_batch_unsplit(v):
+    return ranking.batches(v.findings, max_prs=7, auto_split=False).select("seq", "file", "batch")
+
+
+@query("SELECT c_custkey AS plan, 'F' || (c_custkey * 3 % 40000) AS finding_id, type, severity, file FROM customer LEFT JOIN findings ON 'F' || seq = 'F' || (c_custkey * 3 % 40000)", "findings")
+def plans_with_findings(v):
+    """Plans with the finding that each names, if it is known (JOIN-3)."""
+    known = v.findings.select(F.concat(F.lit("F"), C("seq")).alias("finding_id"), "type", "severity", "file")
+    plans = v.table("customer").select(C("c_custkey").alias("plan"), F.concat(F.lit("F"), C("c_custkey") * 3 % 40000).alias("finding_id"))
+    return plans.join(known, "finding_id", "left").select("plan", "finding_id", "type", "severity", "file")
+
+
 @query(f"WITH w AS (SELECT seq, {P('severity', dims.SEVERITY_RANK, 5)} + {P('type', dims.TYPE_BONUS, 5)} AS rank_key, file, line FROM findings) SELECT seq, rank_key::INT AS rank_key, row_number() OVER (ORDER BY rank_key, file, line, seq) AS position FROM w", "findings")
 def work_item_order(v):
     rows = v.findings.withColumn("rank_key", ranking.work_order_key())

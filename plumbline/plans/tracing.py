@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import code, graph
 from ..sources import formats
 from .catalogue import query
 
@@ -40,6 +40,20 @@ def reachability(v):
     return paths.select("entry", "node", F.array_join(C("path").cast("array<string>"), ">").alias("chain"))
 
 
+@query(
+    """WITH RECURSIVE entry(place, node, framework) AS (SELECT row_number() OVER (ORDER BY s_suppkey), s_suppkey * 97, CASE s_suppkey % 3 WHEN 0 THEN 'flask' WHEN 1 THEN 'fastapi' ELSE 'django' END FROM supplier),
+met(place, node) AS (SELECT place, node FROM entry UNION SELECT m.place, e.dst FROM met m JOIN edges e ON e.src = m.node),
+first AS (SELECT m.node, min_by(framework, m.place) AS framework, count(*) AS n FROM met m JOIN entry USING (place) GROUP BY m.node)
+SELECT seq, first.node IS NOT NULL AS reachable, coalesce(framework, 'unknown') AS framework, coalesce(n, 0) AS entry_points FROM (SELECT o_orderkey AS seq FROM orders) LEFT JOIN first ON first.node = seq""",
+    "edges",
+)
+def reaching_frameworks(v):
+    k = C("s_suppkey")
+    entries = v.table("supplier").select(k.alias("place"), (k * 97).cast("int").alias("node"), F.when(k % 3 == 0, "flask").when(k % 3 == 1, "fastapi").otherwise("django").alias("framework"))
+    findings = v.table("orders").select(C("o_orderkey").alias("seq"), C("o_orderkey").cast("int").alias("node"))
+    return code.reaching_framework(v.edges, entries, findings).select("seq", "reachable", "framework", "entry_points")
+
+
 @query(
     """WITH RECURSIVE walk(first, tip, path) AS (SELECT src, dst, [src, dst] FROM edges WHERE src < dst UNION ALL SELECT w.first, e.dst, list_append(w.path, e.dst) FROM walk w JOIN edges e ON e.src = w.tip WHERE e.dst > w.first AND NOT list_contains(w.path, e.dst))
 SELECT DISTINCT array_to_string(list_sort(path), ',') AS members, len(path)::INT AS size FROM walk w JOIN edges e ON e.src = w.tip AND e.dst = w.first""",
