@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from . import trees
 
 C = F.col
 FACTS = "path string, kind string, name string, line int, end_line int, parameters int, depth int, complexity int, cognitive int, typed boolean, entry boolean, owner string, place int, value double, detail string"
@@ -26,15 +27,9 @@ FACTS = "path string, kind string, name string, line int, end_line int, paramete
 def source_files(spark: SparkSession, root: str, extensions: list[str], excludes: list[str] | None = None) -> DataFrame:
     """path, ext and text of the files under a root, without those that a pattern excludes (SRC-1, SRC-2).
 
-    The order is that of the paths; a file is one row, however many extensions match it.
+    A file is one row, however many extensions match it.  Rows are in no order: sort paths, not texts, where one is wanted.
     """
-    pattern = "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(re.sub(r"^[a-z]+:/*", "/", root).rstrip("/")) + "/", "")
-    rows = raw.select(path.alias("path"), "content")
-    if excludes:
-        rows = rows.filter(~(dims.any_glob(C("path"), excludes) | dims.any_glob(F.concat(F.lit("/"), "path"), excludes)))
-    return rows.select("path", F.regexp_extract("path", r"\.(\w+)$", 1).alias("ext"), F.decode("content", "UTF-8").alias("text")).orderBy("path")
+    return trees.read_tree(spark, root, extensions, excludes)
 
 
 def monthly_ledger(spark: SparkSession, folder: str, schema: str, period: str | None = None) -> DataFrame:
