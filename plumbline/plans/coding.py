@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import code, reports
-from ..sources import files, formats, sinks
+from ..sources import files, formats, runs, sinks
 from .catalogue import query
 
 C = F.col
@@ -21,7 +21,7 @@ def sources(v):
 
 
 CHAINS = """RECURSIVE r(k, chain) AS (SELECT s_suppkey, ['f' || s_suppkey] FROM supplier WHERE s_suppkey % 10 = 0 UNION ALL SELECT k // 2, list_append(chain, 'f' || (k // 2)) FROM r WHERE k >= 2),
-n AS (SELECT k, len(chain) AS size, chain FROM r QUALIFY row_number() OVER (PARTITION BY k ORDER BY len(chain), chain) = 1)"""
+n AS (SELECT k, len(chain) AS size, chain FROM r QUALIFY row_number() OVER (PARTITION BY k ORDER BY len(chain), list_reverse(chain)) = 1)"""
 
 
 @query(
@@ -126,3 +126,23 @@ def history_prompt(v):
 def dashboard(v):
     forecast = v.spark.createDataFrame([("stable", 12)], "trend string, predicted long")
     return reports.dashboard(v.findings, v.table("part"), forecast)
+
+
+def run_files(v):
+    """A file for each document, with marks of findings in its lines (see the adaptor of lines)."""
+    per = v.lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return per.select(F.concat(F.lit("src/p"), C("doc_id") % 13, F.lit("/d"), C("doc_id"), F.lit(".js")).alias("path"), F.lit("js").alias("ext"), "text")
+
+
+@query()
+def full_run(v):
+    """From files to batches, with all scanners that read files of this kind."""
+    batches, _ = runs.full_run(run_files(v), v.spark.createDataFrame([], "dedup_key string"))
+    return batches.select("seq", "scanner", "type", "severity", "file", "line", "position", "folder", "batch")
+
+
+@query()
+def run_report(v):
+    """What each scanner found and how much of it came into a batch."""
+    _, report = runs.full_run(run_files(v), v.spark.createDataFrame([], "dedup_key string"))
+    return report.select("scanner", "found", "fresh", "batched", F.coalesce("scan_error", F.lit("")).alias("scan_error"))
