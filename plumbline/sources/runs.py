@@ -28,7 +28,7 @@ def scanned(files: DataFrame, settings: Mapping[str, Any] = DEFAULTS, registry:
 def full_run(files: DataFrame, seen: DataFrame, settings: Mapping[str, Any] = DEFAULTS, registry: Registry | None = None, max_files: int = 5, max_prs: int = 5) -> tuple[DataFrame, DataFrame]:
     """Batches and report of a run over ``files`` (path, ext, text); ``seen`` holds the dedup keys of earlier runs.
 
-    Scan, first of equal findings, those unseen before, order by priority, batches.  The report has a row for each scanner:
+    Scan, first of equal findings, those unseen before, order by priority, batches.  The report has a row for each scanner that found something or failed:
     what it found, how much of that was new, how much lies in a batch, and its failure, if it had one.
     """
     found, _ = graph.stored(scanned(files, settings, registry))
