@@ -22,6 +22,8 @@ C = F.col
 PLAIN = 3
 #: Colours of each node in a pass of the component search.
 COLOURINGS = 3
+#: Edges of a block that one task solves, and least number of blocks.
+BLOCK, BLOCKS = 500_000, 8
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -182,7 +184,7 @@ def trimmed(edges: DataFrame) -> DataFrame:
     return held.join(edges.select(C("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def coloured(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of all strongly connected components of two nodes or more.
 
     Forward and backward colouring: every node takes the least colour of all nodes that lead to it, and the least of
@@ -213,6 +215,107 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return done if done is not None else left.select(C("src").alias("node"), C("src").alias("component"))
 
 
+def block_solver():
+    """A function from one block of a graph to its own components and to what may lie on cycles beyond it.
+
+    Rows of kind 0 are edges inside the block; of kind 1 nodes (src) that other blocks lead to; of kind 2 nodes that lead to
+    other blocks.  The result has rows of kind 0 for a node of a component of two or more (src) and its least node (dst), and
+    of kind 1 for edges between components that lie on a way from a node of kind 1 to one of kind 2.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def components(after: list[list[int]]) -> list[int]:
+        """A node of its component for each node, by one depth-first walk."""
+        index, low, of = [0] * len(after), [0] * len(after), [-1] * len(after)
+        stack, count = [], 0
+        for root in range(len(after)):
+            todo = [] if index[root] else [(root, iter(after[root]))]
+            while todo:
+                x, rest = todo[-1]
+                if not index[x]:
+                    count += 1
+                    index[x] = low[x] = count
+                    stack.append(x)
+                y = next((y for y in rest if of[y] < 0), None)
+                if y is not None and not index[y]:
+                    todo.append((y, iter(after[y])))
+                elif y is not None:
+                    low[x] = min(low[x], index[y])
+                else:
+                    todo.pop()
+                    if todo:
+                        low[todo[-1][0]] = min(low[todo[-1][0]], low[x])
+                    if low[x] == index[x]:
+                        while of[x] < 0:
+                            of[stack.pop()] = x
+        return of
+
+    def reached(starts, after: list[list[int]]) -> set[int]:
+        seen, todo = set(starts), list(starts)
+        while todo:
+            for y in after[todo.pop()]:
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return seen
+
+    def solve(block: pa.Table) -> pa.Table:
+        kind, n = block["kind"].to_numpy(), block.num_rows
+        names, code = np.unique(pa.concat_arrays([*block["src"].chunks, *block["dst"].fill_null(block["src"][0]).chunks]).to_numpy(zero_copy_only=False), return_inverse=True)
+        src, dst, inside = code[:n], code[n:], kind == 0  # in order of the nodes, so the least number is the least node
+        after: list[list[int]] = [[] for _ in names]
+        for x, y in zip(src[inside].tolist(), dst[inside].tolist(), strict=True):
+            after[x].append(y)
+        _, of = np.unique(components(after), return_inverse=True)
+        least = np.full(of.max() + 1, len(names))
+        np.minimum.at(least, of, np.arange(len(names)))
+        size, head = np.bincount(of), least[of]
+        pairs = np.unique(np.stack([head[src[inside]], head[dst[inside]]], 1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]].tolist()
+        on: list[list[int]] = [[] for _ in names]
+        back: list[list[int]] = [[] for _ in names]
+        for x, y in pairs:
+            on[x].append(y)
+            back[y].append(x)
+        through = reached(head[src[kind == 1]].tolist(), on) & reached(head[src[kind == 2]].tolist(), back)
+        pairs = [(x, y) for x, y in pairs if x in through and y in through]
+        mine = np.flatnonzero(size[of] > 1)
+        left, right = np.concatenate([mine, [x for x, _ in pairs]]).astype(int), np.concatenate([head[mine], [y for _, y in pairs]]).astype(int)
+        kinds = np.repeat([0, 1], [len(mine), len(pairs)]).astype(np.int32)
+        return pa.table({"kind": kinds, "src": pa.array(names[left], block.schema.field("src").type), "dst": pa.array(names[right], block.schema.field("src").type)})
+
+    return solve
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node and component (its least node) of all strongly connected components of two nodes or more.
+
+    Edges are cut to blocks by ranges of their beginnings, ``BLOCK`` edges in each.  A block finds its own components, and keeps of
+    the rest what lies on a way through it, from another block to another: often little, since names that lie together
+    import each other.  Components over several blocks are found among what is kept (``coloured``).  Nodes with more
+    than ``BLOCK`` edges are in no block.
+    """
+    edges, n = stored(edges.filter("src <> dst").select("src", "dst").distinct())
+    shape = f"kind int, src {dict(edges.dtypes)['src']}, dst {dict(edges.dtypes)['src']}"
+    large = edges.groupBy("src").count().filter(C("count") > BLOCK).select("src")
+    ranged, _ = stored(edges.join(large, "src", "left_anti").repartitionByRange(max(BLOCKS, -(-n // BLOCK)), "src").withColumn("block", F.spark_partition_id()))
+    of = lambda side: ranged.select(C("src").alias(side), C("block").alias(f"{side}_block")).distinct()
+    both, _ = stored(edges.join(edges.select(C("src").alias("dst")).distinct(), "dst", "left_semi").join(of("src"), "src", "left").join(of("dst"), "dst", "left"))
+    own = both.filter("src_block = dst_block").select(C("src_block").alias("block"), F.lit(0).alias("kind"), "src", "dst")
+    cross = both.filter("src_block IS NULL OR dst_block IS NULL OR src_block <> dst_block")
+    edge = lambda side, kind: cross.select(C(f"{side}_block").alias("block"), F.lit(kind).alias("kind"), C(side).alias("src"), F.lit(None).alias("dst")).distinct()
+    inside = own.unionByName(edge("dst", 1)).unionByName(edge("src", 2)).filter("block IS NOT NULL").select("block", "kind", "src", "dst")
+    solved, _ = stored(inside.groupBy("block").applyInArrow(block_solver(), shape))
+    local = solved.filter("kind = 0").select(C("src").alias("node"), C("dst").alias("head"))
+    head = lambda side: local.select(C("node").alias(side), C("head").alias(f"{side}_head"))
+    heads = [F.coalesce(f"{s}_head", s).alias(s) for s in ("src", "dst")]
+    kept = cross.select("src", "dst").join(head("src"), "src", "left").join(head("dst"), "dst", "left").select(*heads)
+    wide, _ = stored(coloured(solved.filter("kind = 1").select("src", "dst").unionByName(kept)).select(C("node").alias("head"), "component"))
+    merged = local.join(wide, "head", "left").select("node", F.coalesce("component", "head").alias("component"))
+    return merged.unionByName(wide.select(C("head").alias("node"), "component").join(local.select("node"), "node", "left_anti"))
+
+
 def closed_walks(edges: DataFrame) -> DataFrame:
     """component, src, dst and path: one closed walk for every edge that leads back (DET-32).
 
