@@ -293,7 +293,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
     Edges are cut to blocks by ranges of their beginnings, ``BLOCK`` edges in each.  A block finds its own components, and keeps of
     the rest what lies on a way through it, from another block to another: often little, since names that lie together
-    import each other.  Components over several blocks are found among what is kept (``coloured``).  Nodes with more
+    import each other.  Components over several blocks are found among what is kept: as one more block, if it is no larger,
+    else by ``coloured``.  Nodes with more
     than ``BLOCK`` edges are in no block.
     """
     edges, n = stored(edges.filter("src <> dst").select("src", "dst").distinct())
@@ -311,7 +312,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
     head = lambda side: local.select(C("node").alias(side), C("head").alias(f"{side}_head"))
     heads = [F.coalesce(f"{s}_head", s).alias(s) for s in ("src", "dst")]
     kept = cross.select("src", "dst").join(head("src"), "src", "left").join(head("dst"), "dst", "left").select(*heads)
-    wide, _ = stored(coloured(solved.filter("kind = 1").select("src", "dst").unionByName(kept)).select(C("node").alias("head"), "component"))
+    rest, m = stored(solved.filter("kind = 1").select("src", "dst").unionByName(kept).filter("src <> dst").distinct())
+    if m <= BLOCK:  # what is left is no more than a block
+        last = rest.select(F.lit(0).alias("block"), F.lit(0).alias("kind"), "src", "dst").groupBy("block").applyInArrow(block_solver(), shape)
+        wide = last.filter("kind = 0").select(C("src").alias("head"), C("dst").alias("component"))
+    else:
+        wide = coloured(rest).select(C("node").alias("head"), "component")
+    wide, _ = stored(wide)
     merged = local.join(wide, "head", "left").select("node", F.coalesce("component", "head").alias("component"))
     return merged.unionByName(wide.select(C("head").alias("node"), "component").join(local.select("node"), "node", "left_anti"))
 
