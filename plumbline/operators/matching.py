@@ -66,3 +66,23 @@ def within(points: DataFrame, spans: DataFrame, keys: list[str], at: str, first:
     bins = bins.withColumn("_bin", F.explode(F.sequence(F.expr(f"shiftright(cast({first} AS long), _size)"), F.expr(f"shiftright(cast({last} AS long), _size)"))))
     probes = points.withColumn("_size", F.explode(sizes)).withColumn("_bin", F.expr(f"shiftright(cast({at} AS long), _size)"))
     return probes.join(bins, [*keys, "_size", "_bin"]).filter(C(at).between(C(first), C(last))).drop("_size", "_bin")
+
+
+def first_within(points: DataFrame, spans: DataFrame, keys: list[str], at: str, first: str, last: str, order: str) -> DataFrame:
+    """The distinct points (keys, ``at``) that spans hold, with the least ``order`` of these and how many they are, ``n_holding``.
+
+    No pair is made.  A span is the sum of at most two aligned bins of each power of two; spans are counted by bin, and
+    a point adds up the bins that it lies in, one of each size, 63 at most.  So the rows grow with points and spans,
+    however many of them meet.
+    """
+    ends = [C(first).cast("long").alias("_from"), (C(last).cast("long") + 1).alias("_to")]
+    levels = F.length(F.bin(C("_to") - C("_from"))) - 1
+    whole = spans.filter(C(last) >= C(first)).select(*keys, *ends, order)
+    top = whole.agg(F.max(levels)).scalar()
+    same = whole.groupBy(*keys, "_from", "_to").agg(F.min(order).alias(order), F.count(F.lit(1)).alias("_n"))
+    low, high = F.expr("-shiftright(-_from, _size)"), F.expr("shiftright(_to, _size)")  # the bins of a size inside the span, the end excluded
+    parts = F.array(F.when((low < high) & (low % 2 != 0), low), F.when((low < high) & (high % 2 != 0), high - 1))
+    parts = same.withColumn("_size", F.explode(F.sequence(F.lit(0), levels))).withColumn("_bin", F.explode(parts)).filter("_bin IS NOT NULL")
+    index = parts.groupBy(*keys, "_size", "_bin").agg(F.min(order).alias(order), F.sum("_n").alias("_n"))
+    probes = points.select(*keys, at).distinct().withColumn("_size", F.explode(F.sequence(F.lit(0), top))).withColumn("_bin", F.expr(f"shiftright(cast({at} AS long), _size)"))
+    return probes.join(index, [*keys, "_size", "_bin"]).groupBy(*keys, at).agg(F.min(order).alias(order), F.sum("_n").alias("n_holding"))
